@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trackmend.llm import exact_dedup, warc
 from trackmend.llm._shared import shared_folder, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
@@ -15,6 +17,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_warc(spark, path))
+    pages = captures.select(F.col("capture_id").alias("target_id"), F.col("metadata.page").alias("target_page"))
+    found = captures.join(pages, F.col("response.refers_to") == F.col("target_id"), "left")
+    return found.select(
+        F.col("metadata.page").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        F.col("target_page").alias("refers_to"),
+    )
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-store")
     write_token_store(table(spark, sf_dir, "documents"), path)
@@ -22,8 +43,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_token_store)}
+    return {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op9_warc_captures, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_captures": warc.ORACLE_SQL}
