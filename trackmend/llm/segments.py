@@ -12,20 +12,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RUN = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Longer segments are encoded each time and not remembered.
 LONGEST_KEY = 64
 #: Segments that a worker remembers before it starts again.
-CACHE_ENTRIES = 400_000
-
-
-def segments(text: str) -> list[str]:
-    """Pieces that join to ``text``, cut only where every byte-level pre-tokenizer cuts."""
-    if "\0" in text or _RUN.search(text):
-        return _SAFE_CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+CACHE_ENTRIES = 1_000_000
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -37,8 +32,42 @@ def vocabulary_path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
+class Cut:
+    """The distinct parts of some texts, and where they stand.
+
+    A segment is a word with what follows it; punctuation behind a letter is a pre-token of its own, so a segment has
+    two parts, the second one often empty.  ``distinct[index[bounds[i]:bounds[i + 1]]]`` is text i.  Texts that hold
+    the separator are left out (as empty) and stand in ``whole`` instead.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.whole = {i: t for i, t in enumerate(texts) if "\0" in t}
+        marked = ["" if i in self.whole else "\0".join(_SAFE_CUT.split(t)) if _RUN.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for i, t in enumerate(texts)]
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+        coded = lists.values.dictionary_encode()
+        segments = coded.dictionary
+        heads = pc.utf8_rtrim(segments, ".,;:!?")
+        heads = pc.if_else(pc.utf8_is_alpha(pc.utf8_slice_codeunits(heads, -1)), heads, segments)
+        tails = self._behind(segments, heads)
+        parts = pa.chunked_array([heads, tails]).combine_chunks().dictionary_encode()
+        self.distinct: list[str] = parts.dictionary.to_pylist()
+        pairs = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+        self.index = pairs[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        self.bounds = 2 * lists.offsets.to_numpy().astype(np.int64)
+
+    @staticmethod
+    def _behind(segments: pa.Array, heads: pa.Array) -> pa.Array:
+        """What each segment holds behind its head; that is ASCII, so bytes are characters."""
+        data = np.frombuffer(segments.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(segments.buffers()[1], np.int64)[1 : len(segments) + 1]
+        n = pc.subtract(pc.binary_length(segments), pc.binary_length(heads)).to_numpy(zero_copy_only=False)
+        reached = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+        at = np.repeat(ends - reached[1:], n) + np.arange(reached[-1])
+        return pa.LargeStringArray.from_buffers(len(segments), pa.py_buffer(reached.tobytes()), pa.py_buffer(data[at].tobytes()))
+
+
 class SegmentEncoder:
-    """Encodes segments with the ``tokenizers`` library and remembers the ids as little-endian 32-bit integers."""
+    """Encodes parts of texts with the ``tokenizers`` library and remembers their ids as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,39 +78,77 @@ class SegmentEncoder:
         by_id = {i: token for token, i in self.tokenizer.get_vocab().items()}
         #: in a byte-level vocabulary each character of a token stands for one byte
         self.byte_length = np.array([len(by_id.get(i, "")) for i in range(max(by_id) + 1)], dtype=np.int64)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of each part.  Parts that surely start a pre-token are encoded in one go and cut by byte length."""
-        found: dict[str, bytes] = {}
-        joined = [p for p in parts if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() and "<|" not in p]
-        for at in range(0, len(joined), 4096):
-            run = joined[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, dtype="<u4")
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part.  Letters behind a space, or alone on a line, surely are a pre-token: such parts are
+        encoded in runs, which is much faster than one by one."""
+        found: list[bytes] = [b""] * len(parts)
+        self._runs(parts, [i for i, p in enumerate(parts) if p[:1] == " " and p[1:].isalpha()], "", found)
+        self._runs(parts, [i for i, p in enumerate(parts) if p.isalpha()], "\n", found)
+        alone = [i for i, x in enumerate(found) if not x]
+        for i, x in zip(alone, self.whole([parts[i] for i in alone]), strict=True):
+            found[i] = x
+        return found
+
+    def _runs(self, parts: list[str], words: list[int], before: str, found: list[bytes]) -> None:
+        skip = 4 * len(before)  # a line feed is one id
+        for at in range(0, len(words), 8192):
+            of = [before + parts[i] for i in words[at : at + 8192]]
+            coded = self.tokenizer.encode_batch_fast(["".join(of[k : k + 32]) for k in range(0, len(of), 32)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in coded])
             reached = np.cumsum(self.byte_length[ids])
-            ends = np.searchsorted(reached, np.cumsum([len(p.encode()) for p in run]), side="left") + 1
+            size = pc.binary_length(pa.array(of)).to_numpy(zero_copy_only=False)
+            ends = 4 * (np.searchsorted(reached, np.cumsum(size), side="left") + 1)
             start, flat = 0, ids.tobytes()
-            for part, end in zip(run, ends.tolist(), strict=True):
-                found[part] = flat[4 * start : 4 * end]
+            for i, end in zip(words[at : at + 8192], ends.tolist(), strict=True):
+                found[i] = flat[start + skip : end]
                 start = end
-        alone = [p for p in parts if p not in found]
-        for part, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[part] = np.array(e.ids, dtype="<u4").tobytes()
-        return found
+
+    def remembered(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, from the cache where it has them."""
+        got = list(map(self.known.get, parts))
+        if None in got:
+            missing = [i for i, v in enumerate(got) if v is None]
+            if len(self.known) > CACHE_ENTRIES:
+                self.known = {}
+            for i, v in zip(missing, self.encode([parts[i] for i in missing]), strict=True):
+                got[i] = v
+                if len(parts[i]) <= LONGEST_KEY:
+                    self.known[parts[i]] = v
+        return got
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts."""
-        cut = [segments(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        missing = set().union(*cut).difference(self.known) if cut else set()
-        long = {}
-        if missing:
-            found = self.encode(sorted(missing))
-            long = {p: v for p, v in found.items() if len(p) > LONGEST_KEY}
-            self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST_KEY)
-        look = self.known.__getitem__
-        return [b"".join([long[p] if p in long else look(p) for p in parts] if long else map(look, parts)) for parts in cut]
+        cut = Cut(texts)
+        got = self.remembered(cut.distinct)
+        flat = np.frombuffer(b"".join(got), "<u4")
+        n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        start = np.cumsum(n) - n
+        each = n[cut.index]
+        reached = np.concatenate(([0], np.cumsum(each)))
+        out = flat[np.repeat(start[cut.index] - reached[:-1], each) + np.arange(reached[-1])].tobytes()
+        ends = (4 * reached[cut.bounds]).tolist()
+        rows = [out[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i, t in cut.whole.items():
+            rows[i] = self.whole([t])[0]
+        return rows
+
+    def counts(self, texts: list[str], first: dict[str, int]) -> np.ndarray:
+        """The numbers of ids of whole texts; ``first`` is asked before the worker's cache."""
+        cut = Cut(texts)
+        got = list(map(first.get, cut.distinct))
+        missing = [i for i, v in enumerate(got) if v is None]
+        for i, v in zip(missing, self.remembered([cut.distinct[i] for i in missing]), strict=True):
+            got[i] = len(v) // 4
+        reached = np.concatenate(([0], np.cumsum(np.array(got, np.int64)[cut.index])))
+        out = reached[cut.bounds[1:]] - reached[cut.bounds[:-1]]
+        for i, t in cut.whole.items():
+            out[i] = len(self.whole([t])[0]) // 4
+        return out
 
 
 _encoders: dict[str, SegmentEncoder] = {}

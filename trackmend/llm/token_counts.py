@@ -14,13 +14,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmend.llm._shared import slices, text_column
-from trackmend.llm.segments import CACHE_ENTRIES, LONGEST_KEY, encoder, segments
+from trackmend.llm.segments import LONGEST_KEY, Cut, encoder
 
 #: Distinct segments that a task counts before it drops those seen once, and segments that it passes on.
 COUNTED, SUMMARY = 500_000, 2048
@@ -33,8 +34,8 @@ def frequent_segments(documents: DataFrame, text: str = "text", entries: int = 6
         seen: Counter[str] = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                for t in text_column(part, "text").to_pylist():
-                    seen.update(segments(t))
+                cut = Cut(text_column(part, "text").to_pylist())
+                seen.update(dict(zip(cut.distinct, np.bincount(cut.index, minlength=len(cut.distinct)).tolist(), strict=True)))
                 if len(seen) > COUNTED:
                     seen = Counter({k: n for k, n in seen.items() if n > 1})
                     if len(seen) > COUNTED:
@@ -51,31 +52,15 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
     tokens, and whether there are more than ``limit``."""
     spark = documents.sparkSession
     frequent = [r.segment for r in frequent_segments(documents, text, entries).collect()]  # a fixed number of rows
-    lengths = {part: len(ids) // 4 for part, ids in encoder(vocabulary).encode(frequent).items()} | {"": 0}
+    lengths = {part: len(ids) // 4 for part, ids in zip(frequent, encoder(vocabulary).encode(frequent), strict=True)}
     tier_one = spark.sparkContext.broadcast(lengths)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, coder = tier_one.value, encoder(vocabulary)
-        cache: dict[str, int] = coder.__dict__.setdefault("lengths", {})
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = text_column(part, "text")
-                cut = [segments(t) for t in texts.to_pylist()]
-                if len(cache) > CACHE_ENTRIES:
-                    cache.clear()
-                missing = [s for s in set().union(*cut).difference(first) if s not in cache]
-                long = {}
-                if missing:
-                    found = coder.encode(missing)
-                    long = {s: len(v) // 4 for s, v in found.items() if len(s) > LONGEST_KEY}
-                    cache.update((s, len(v) // 4) for s, v in found.items() if len(s) <= LONGEST_KEY)
-                counts = []
-                for parts in cut:
-                    got = list(map(first.get, parts))
-                    if None in got:
-                        got = [n if n is not None else cache[s] if s in cache else long[s] for n, s in zip(got, parts, strict=True)]
-                    counts.append(sum(got))
-                n = pa.array(counts, pa.int64())
+                n = pa.array(coder.counts(texts.to_pylist(), first), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
     source = documents.select(F.col(key), F.col(text).cast("string").alias("text"))

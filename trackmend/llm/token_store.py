@@ -38,7 +38,7 @@ SYMBOLS = 1 << 16  # what an unsigned 16-bit symbol can name
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_base int, keys array<{key}>, lengths array<int>, left binary, right binary, expansion binary, body binary"
 
 
-def compress(ids: np.ndarray, n_base: int, least: int = 16, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, n_base: int, least: int = 16, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(body, left, right, expansion lengths) of ids below ``n_base``, which leaves room for rules below 2**16."""
     seq = ids.astype(np.uint16)
     left, right, expansion = np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
@@ -46,31 +46,33 @@ def compress(ids: np.ndarray, n_base: int, least: int = 16, rounds: int = 6) ->
         room = SYMBOLS - n_base - len(left)
         if room <= 0 or len(seq) < 2 * least:
             break
-        pairs = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
-        ordered = np.sort(pairs)
+        bits = int(len(seq)).bit_length()
+        pairs = ((seq[:-1].astype(np.uint64) << np.uint64(16)) | seq[1:]) << np.uint64(bits)
+        placed = np.sort(pairs | np.arange(len(pairs), dtype=np.uint64))  # pair and place in one number
+        ordered = placed >> np.uint64(bits)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= max(least, counts.max() // 16))
         if counts.max() < least:
             break
-        best = often[np.argsort(-counts[often], kind="stable")][:room]
-        chosen = np.sort(ordered[starts[best]])
-        # which places hold a chosen pair: two small tables rule most places out before the search
-        is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        is_left[chosen >> 16], is_right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        where = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[where] == pairs[at]
-        at, where = at[hit], where[hit]
+        often = np.flatnonzero(counts >= max(least, counts.max() // 16))
+        best = np.sort(often[np.argsort(-counts[often], kind="stable")][:room])
+        rule = np.full(len(counts), -1, np.int32)
+        rule[best] = np.arange(len(best))
+        rule = np.repeat(rule, counts)
+        chosen = np.flatnonzero(rule >= 0)
+        at = np.sort((placed[chosen] & np.uint64((1 << bits) - 1)) << np.uint64(16) | rule[chosen].astype(np.uint64))
+        at, rule = (at >> np.uint64(16)).astype(np.int64), (at & np.uint64(0xFFFF)).astype(np.int64)
         # of overlapping places in a row, every other one from the left
         first = np.concatenate(([True], at[1:] != at[:-1] + 1))
         begun = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         keep = (np.arange(len(at)) - begun) % 2 == 0
-        at, where = at[keep], where[keep]
-        used, rule = np.unique(where, return_inverse=True)
-        a, b = (chosen[used] >> 16).astype(np.uint16), (chosen[used] & 0xFFFF).astype(np.uint16)
+        at, rule = at[keep], rule[keep]
+        used = np.bincount(rule, minlength=len(best)) > 0
+        number = np.cumsum(used) - 1
+        pair = ordered[starts[best[used]]]
+        a, b = (pair >> np.uint64(16)).astype(np.uint16), (pair & np.uint64(0xFFFF)).astype(np.uint16)
         long = np.concatenate((np.ones(n_base, np.uint32), expansion))
-        seq[at] = (n_base + len(left) + rule).astype(np.uint16)
+        seq[at] = (n_base + len(left) + number[rule]).astype(np.uint16)
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
         seq = seq[stays]
@@ -78,34 +80,40 @@ def compress(ids: np.ndarray, n_base: int, least: int = 16, rounds: int = 6) ->
     return seq, left, right, expansion
 
 
-def expand(body: np.ndarray, left: np.ndarray, right: np.ndarray, n_base: int) -> np.ndarray:
-    """The ids that ``body`` stands for.  Rules refer to earlier symbols only, so each level shrinks the symbols left."""
-    seq = body.astype(np.int64)
-    while True:
-        rule = seq >= n_base
-        if not rule.any():
-            return seq.astype(np.uint32)
+def _unfold(seq: np.ndarray, left: np.ndarray, right: np.ndarray, n_base: int) -> np.ndarray:
+    """Replaces rules by their two symbols until none is left."""
+    seq = seq.astype(np.int64)
+    while (rule := seq >= n_base).any():
         at = np.repeat(np.arange(len(seq)), rule + 1)
-        out = seq[at]
         second = np.concatenate(([False], at[1:] == at[:-1]))
-        one = rule[at]
-        which = out - n_base
-        out[one & ~second] = left[which[one & ~second]]
-        out[one & second] = right[which[one & second]]
-        seq = out
+        of, split = seq[at], rule[at]
+        which = np.where(split, of - n_base, 0)
+        seq = np.where(split, np.where(second, right[which], left[which]), of)
+    return seq
+
+
+def expand(body: np.ndarray, left: np.ndarray, right: np.ndarray, expansion: np.ndarray, n_base: int) -> np.ndarray:
+    """The ids that ``body`` stands for: all rules are written out once, then looked up."""
+    flat = np.concatenate((np.arange(n_base), _unfold(np.arange(n_base, n_base + len(left)), left, right, n_base))).astype(np.uint32)
+    n = np.concatenate((np.ones(n_base, np.int64), expansion.astype(np.int64)))
+    start = np.cumsum(n) - n
+    each = n[body]
+    reached = np.cumsum(each)
+    return flat[np.repeat(start[body] - (reached - each), each) + np.arange(each.sum())]
 
 
 def decode_document(shard: dict, i: int) -> np.ndarray:
     """The ids of document ``i`` of a shard row, from the symbols that cover it only."""
     left, right, body = (np.frombuffer(shard[c], "<u2") for c in ("left", "right", "body"))
     n_base = shard["n_base"]
-    long = np.concatenate((np.ones(n_base, np.int64), np.frombuffer(shard["expansion"], "<u4").astype(np.int64)))
+    expansion = np.frombuffer(shard["expansion"], "<u4")
+    long = np.concatenate((np.ones(n_base, np.int64), expansion.astype(np.int64)))
     reached = np.cumsum(long[body])
     start = int(np.sum(shard["lengths"][:i]))
     end = start + shard["lengths"][i]
     a, b = np.searchsorted(reached, start, side="right"), np.searchsorted(reached, end, side="left") + 1
     before = int(reached[a - 1]) if a else 0
-    return expand(body[a:b], left, right, n_base)[start - before : end - before]
+    return expand(body[a:b], left, right, expansion, n_base)[start - before : end - before]
 
 
 def write_token_store(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, shard_tokens: int = 1 << 20) -> None:
@@ -166,7 +174,8 @@ def read_token_store(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 body, left, right = (np.frombuffer(row[c].as_py(), "<u2") for c in ("body", "left", "right"))
-                flat = expand(body, left, right, row["n_base"].as_py()).astype("<u4").tobytes()
+                expansion = np.frombuffer(row["expansion"].as_py(), "<u4")
+                flat = expand(body, left, right, expansion, row["n_base"].as_py()).astype("<u4").tobytes()
                 lengths = np.asarray(row["lengths"].values, dtype=np.int64)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(flat[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
