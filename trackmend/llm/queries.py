@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmend.llm import exact_dedup, quality, toxicity, warc
+from trackmend.llm import decontam, exact_dedup, langid, quality, toxicity, warc
 from trackmend.llm._shared import shared_folder, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
@@ -26,11 +26,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, quality.fit_quality(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(documents, toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -53,7 +61,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op4_quality, op6_toxicity, op9_warc_captures, op10_token_store)}
+    return {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op8_decontamination, op9_warc_captures, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
