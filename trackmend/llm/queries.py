@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmend.llm import decontam, exact_dedup, langid, quality, toxicity, warc
+from trackmend.llm import decontam, exact_dedup, langid, pieces, quality, toxicity, warc
 from trackmend.llm._shared import shared_folder, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op8_decontamination, op9_warc_captures, op10_token_store)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op8_decontamination, op9_warc_captures, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
