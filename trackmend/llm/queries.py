@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmend.llm import decontam, exact_dedup, langid, pieces, quality, toxicity, warc
+from trackmend.llm import decontam, exact_dedup, langid, ngram_join, pieces, quality, toxicity, warc
 from trackmend.llm._shared import shared_folder, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
@@ -39,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +69,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op8_decontamination, op9_warc_captures, op10_token_store)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op7_ngram_join, op8_decontamination, op9_warc_captures, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
