@@ -99,13 +99,17 @@ class Schemes:
         return [b - 1, b] if b else [b]
 
     def signatures(self, s: np.ndarray, b: int) -> np.ndarray:
-        """The signatures of a set under scheme ``b``."""
+        """A 32-bit hash for each part of a set under scheme ``b``; 0 for parts that are left out.  With the scheme and
+        the part it makes the signature; equal hashes of different elements only add pairs to verify."""
         k, _, lower = self.scheme(b)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ _PRIME[3]), dtype=np.uint64)))
         cut = np.concatenate(([0], np.searchsorted(s, lower), [len(s)]))
         size, parts = np.diff(cut), len(lower) + 1
-        h = _mix(sums[cut[1:]] - sums[cut[:-1]] + (np.arange(parts, dtype=np.uint64) + np.uint64(b << 32)) * _PRIME[0])
-        return h if (size == 0).sum() >= parts - k else h[size > 0]
+        h = (_mix(sums[cut[1:]] - sums[cut[:-1]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        h[h == 0] = 1
+        if (size == 0).sum() < parts - k:
+            h[size == 0] = 0
+        return h
 
     def parity(self, s: np.ndarray, b: int) -> bytes:
         bits = 64 * self.scheme(b)[1]
@@ -120,20 +124,20 @@ def _described(documents: DataFrame, key: str, text: str) -> DataFrame:
         import xxhash
 
         schemes = Schemes()
-        kind = pa.list_(pa.struct([("scheme", pa.int32()), ("signatures", pa.list_(pa.int64())), ("parity", pa.binary())]))
+        kind = pa.list_(pa.struct([("scheme", pa.int32()), ("hashes", pa.list_(pa.int32())), ("parity", pa.binary())]))
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets = shingle_sets(text_column(part, "text"))
-                marks = [[(b, schemes.signatures(s, b).view(np.int64), schemes.parity(s, b)) for b in schemes.of(len(s))] if len(s) else [] for s in sets]
+                marks = [[(b, schemes.signatures(s, b), schemes.parity(s, b)) for b in schemes.of(len(s))] if len(s) else [] for s in sets]
                 flat = [m for one in marks for m in one]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m[1]) for m in flat]), pa.int32()), pa.array(np.concatenate([m[1] for m in flat]) if flat else np.zeros(0, np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m[1]) for m in flat]), pa.int32()), pa.array(np.concatenate([m[1] for m in flat]) if flat else np.zeros(0, np.int32)))
                 structs = pa.StructArray.from_arrays([pa.array([m[0] for m in flat], pa.int32()), lists, pa.array([m[2] for m in flat], pa.binary())], fields=list(kind.value_type))
                 nested = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m) for m in marks]), pa.int32()), structs)
                 hashes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), hashes, nested], ["key", "n_shingles", "set_hash", "marks"])
 
     source = documents.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(describe, "key long, n_shingles long, set_hash binary, marks array<struct<scheme:int,signatures:array<long>,parity:binary>>")
+    return source.mapInArrow(describe, "key long, n_shingles long, set_hash binary, marks array<struct<scheme:int,hashes:array<int>,parity:binary>>")
 
 
 def _near(parity: np.ndarray, size: np.ndarray, comp: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -252,10 +256,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     tied = same.join(tied.select(F.col("a").alias("least")).distinct(), same["rep"] == F.col("least"), "left_semi").select("key").join(same, "key").groupBy("key").agg(F.min("rep").alias("a")).join(same, "key").select("a", F.col("rep").alias("b")).where("a <> b")
 
     reps = nodes.join(same.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key", "set_hash"]).select("key", "n_shingles", F.explode("marks").alias("mark"))
-    reps = reps.select("key", "n_shingles", "mark.scheme", "mark.signatures", "mark.parity")
+    reps = reps.select("key", "n_shingles", "mark.scheme", "mark.hashes", "mark.parity")
     placed = Window.partitionBy("signature").orderBy("key")
-    members = reps.select("key", "scheme", F.explode("signatures").alias("signature")).select(
-        "signature", "key", "scheme", F.row_number().over(placed).alias("place"), (F.lag("key").over(placed).isNotNull() | F.lead("key").over(placed).isNotNull()).alias("shared")
+    # scheme, part and hash in one number: most of what is shuffled is this and the key
+    signed = reps.select("key", "scheme", F.posexplode("hashes").alias("part", "hash")).where("hash <> 0").select(F.expr("shiftleft(bigint(scheme), 52) | shiftleft(bigint(part), 32) | (bigint(hash) & 4294967295)").alias("signature"), "key")
+    members = signed.select(
+        "signature", "key", F.shiftrightunsigned("signature", 52).cast("int").alias("scheme"), F.row_number().over(placed).alias("place"), (F.lag("key").over(placed).isNotNull() | F.lead("key").over(placed).isNotNull()).alias("shared")
     )
     members = members.where("shared").select("signature", "scheme", "key", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block"))
     # the members of a bucket in blocks; equal blocks are looked at once
