@@ -57,3 +57,32 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         held += n + 1
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+class Recent:
+    """A look-up table of bounded size that keeps what was asked for of late.
+
+    Entries live in two halves.  When the newer one is full it becomes the older one, whose entries go unless they are
+    asked for again; frequent entries thus stay, at the price of two dictionaries.
+    """
+
+    def __init__(self, entries: int):
+        self.half, self.new, self.old = entries // 2, {}, {}
+
+    def many(self, keys: list) -> list:
+        """The values, None for keys that aren't there."""
+        got = list(map(self.new.get, keys))
+        if self.old and None in got:
+            old = self.old
+            for i, v in enumerate(got):
+                if v is None and (v := old.get(keys[i])) is not None:
+                    got[i] = self.new[keys[i]] = v
+        return got
+
+    def put(self, key, value) -> None:
+        self.new[key] = value
+
+    def turn(self) -> None:
+        """To be called between batches."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}

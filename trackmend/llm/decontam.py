@@ -41,7 +41,7 @@ def _word_hash(token: str) -> int:
     if (h := _words.get(token)) is None:
         word = token if token.isalnum() else "".join(c for c in token if c.isalnum())
         h = (xxhash.xxh64_intdigest(word) or 1) if word else 0
-        if len(_words) > 500_000:
+        if len(_words) > 250_000:
             _words.clear()
         if len(token) <= 64:
             _words[token] = h

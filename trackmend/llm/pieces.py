@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import slices, text_column
+from trackmend.llm._shared import Recent, slices, text_column
 from trackmend.llm.segments import vocabulary_path
 
 SPACE = "▁"
 _BREAK = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})")
-#: Characters whose suffixes are sorted at once; entries of a worker's caches; length up to which chunks are remembered.
-BLOCK, CACHE_ENTRIES, LONGEST_KEY = 1 << 18, 700_000, 64
+#: Characters whose suffixes are sorted at once; chunks and verdicts that a worker remembers; length up to which chunks are remembered.
+BLOCK, CACHE_ENTRIES, VERDICTS, LONGEST_KEY = 1 << 17, 400_000, 800_000, 64
 NONE = -1
 
 
@@ -66,7 +66,7 @@ class PieceCoder:
         self.low = self._pack(codes)
         codes[np.arange(codes.shape[1]) >= self.piece_size[:, None]] = (1 << self.bits) - 1
         self.high = self._pack(codes)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE_ENTRIES)
         self.stay: dict[int, bool] = {}
         # what each id stands for, in bytes
         text = [b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -187,7 +187,7 @@ class PieceCoder:
                     ids.extend(self.byte_ids[b] for b in reversed(raw)) if self.byte_ids[0] != self.unknown else ids.append(self.unknown)
                 e = back[e]
             out.append(np.array(ids[::-1], "<u4").tobytes())
-        if len(stay) > 4 * CACHE_ENTRIES:
+        if len(stay) > VERDICTS:
             stay.clear()
         return out
 
@@ -204,15 +204,13 @@ class PieceCoder:
         return out
 
     def remembered(self, chunks: list[str]) -> list[bytes]:
-        got = list(map(self.known.get, chunks))
+        got = self.known.many(chunks)
         missing = [i for i, v in enumerate(got) if v is None]
-        if missing:
-            if len(self.known) > CACHE_ENTRIES:
-                self.known = {}
-            for i, v in zip(missing, self.encode_chunks([chunks[i] for i in missing]), strict=True):
-                got[i] = v
-                if len(chunks[i]) <= LONGEST_KEY:
-                    self.known[chunks[i]] = v
+        for i, v in zip(missing, self.encode_chunks([chunks[i] for i in missing]), strict=True):
+            got[i] = v
+            if len(chunks[i]) <= LONGEST_KEY:
+                self.known.put(chunks[i], v)
+        self.known.turn()
         return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +269,7 @@ def encode_pieces(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = coder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 texts = text_column(part, "text").to_pylist()
                 ids, bounds = pieces.encode(texts)
                 back = [a == b.encode() for a, b in zip(pieces.decode(ids, bounds), texts, strict=True)]

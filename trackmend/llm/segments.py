@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from trackmend.llm._shared import Recent
+
 _RUN = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Longer segments are encoded each time and not remembered.
 LONGEST_KEY = 64
-#: Segments that a worker remembers before it starts again.
-CACHE_ENTRIES = 1_000_000
+#: Parts that a worker remembers.
+CACHE_ENTRIES = 800_000
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -78,7 +80,7 @@ class SegmentEncoder:
         by_id = {i: token for token, i in self.tokenizer.get_vocab().items()}
         #: in a byte-level vocabulary each character of a token stands for one byte
         self.byte_length = np.array([len(by_id.get(i, "")) for i in range(max(by_id) + 1)], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE_ENTRIES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,15 +112,14 @@ class SegmentEncoder:
 
     def remembered(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, from the cache where it has them."""
-        got = list(map(self.known.get, parts))
-        if None in got:
-            missing = [i for i, v in enumerate(got) if v is None]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known = {}
+        got = self.known.many(parts)
+        missing = [i for i, v in enumerate(got) if v is None]
+        if missing:
             for i, v in zip(missing, self.encode([parts[i] for i in missing]), strict=True):
                 got[i] = v
                 if len(parts[i]) <= LONGEST_KEY:
-                    self.known[parts[i]] = v
+                    self.known.put(parts[i], v)
+        self.known.turn()
         return got
 
     def ids(self, texts: list[str]) -> list[bytes]:
