@@ -44,7 +44,7 @@ class Logistic:
 
 def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int], ridge: float = 0.002) -> Logistic:
     """By Newton's method, each class weighted to its share among all labelled rows."""
-    x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+    x, y = np.asarray(x, float), np.asarray(y, float)
     width = x.shape[1]
     total = max(1, sum(sizes.values()))
     if len(set(y)) < 2:

@@ -63,7 +63,7 @@ def exact_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "tex
     alone = members(source).join(spread.where("texts = 1").select("digest", "best", "group_size"), "digest")
     if not spread.where("texts > 1").isEmpty():
         shared = spread.where("texts > 1").select("digest")
-        apart = exact_groups(documents.join(source.join(shared, "digest", "left_semi").select(F.col("key").alias(key)).distinct(), key, "left_semi"), key, text, salts)
+        apart = groups.join(shared, "digest", "left_semi")
         both = members(source.join(shared, "digest", "left_semi"), "norm").join(apart.withColumnRenamed("text", "norm"), ["digest", "norm"])
         alone = alone.unionByName(both.select(alone.columns))
     keep = F.lit(_LAST).cast("decimal(20,0)") - (F.col("best") % F.lit(_SPAN).cast("decimal(20,0)"))
