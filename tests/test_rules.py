@@ -174,3 +174,13 @@ def test_geometry_against_plain_arithmetic(spark):
         union, least = area(p) + area(q) - common, min(area(p), area(q))
         want = (common / union if common > 0 and union > 0 else 0, common / least if common > 0 and least > 0 else 0, area(p))
         assert tuple(got) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_percentiles_are_exact(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = [1, 2, 3, 7, 50, 100, 101, 999, 5000, 20_000, 50_000, 70_000][seed]
+    values = rng.normal(0, 100, n) if seed % 2 else rng.integers(0, max(2, n // 10), n).astype(float)
+    at = (0, 1, 5, 40, 50, 90, 99, 99.5, 99.9, 100)
+    df = spark.createDataFrame([(float(x),) for x in values], "x double")
+    assert list(calibration.percentiles(df, F.col("x"), "x", at).first()) == pytest.approx(np.percentile(values, at).tolist(), abs=1e-9)
