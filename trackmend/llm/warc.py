@@ -10,7 +10,7 @@ capture through their identifiers into one nested row.
 Which response a revisit refers to is found among (key, digest) pairs; payloads move once, to their key's partition.
 
 A null payload is empty; a null address is written as ``urn:page:<key>``.  Rows repeated under one key are captures of
-their own with equal identifiers but for a number.  Null keys are written as an empty field and read as null.  An empty
+their own with equal identifiers but for a number.  Null keys are written as an empty field, read as null, and never revisit.  An empty
 table writes and gives nothing.  Other columns are ignored.
 """
 
@@ -50,10 +50,11 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
     digest = F.unhex(F.sha2("body", 256))
     long = rows.where(F.octet_length("body") >= least).select("key", digest.alias("digest"))
     last = long.groupBy("digest").agg(F.max("key").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    moved = long.distinct().join(last, "digest").where("not (key <=> target)")
-    moved = moved.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("digest", "target")).alias("targets"))  # one for each payload of a key
+    moved = long.distinct().join(last, "digest").where("key <> target")
+    moved = moved.groupBy("key").agg(F.collect_set(F.struct("digest", "target")).alias("targets"))  # one for each payload of a key
 
-    full = rows.withColumn("digest", digest).join(moved, F.col("key").eqNullSafe(F.col("of")), "left")
+    # the join and the window deal rows by the same key: payloads move once
+    full = rows.withColumn("digest", digest).join(moved, "key", "left")
     full = full.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1)
     target = F.filter(F.col("targets"), lambda x: x["digest"] == F.col("digest"))
     full = full.withColumn("target", F.try_element_at(target, F.lit(1)))
