@@ -33,7 +33,7 @@ from trackmend.llm.segments import vocabulary_path
 SPACE = "▁"
 _BREAK = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})")
 #: Characters whose suffixes are sorted at once; chunks and verdicts that a worker remembers; length up to which chunks are remembered.
-BLOCK, CACHE_ENTRIES, VERDICTS, LONGEST_KEY = 1 << 17, 400_000, 800_000, 64
+BLOCK, CACHE_ENTRIES, VERDICTS, LONGEST_KEY = 1 << 18, 500_000, 800_000, 64
 NONE = -1
 
 
@@ -157,8 +157,9 @@ class PieceCoder:
         at = np.minimum(np.searchsorted(self.alphabet, text), len(self.alphabet) - 1)
         codes = np.where(self.alphabet[at] == text, at + 2, 1).astype(np.uint64)
         codes[ends - 1] = 0
-        end, start, piece = (x.tolist() for x in self.edges(codes))
+        end, start, piece = self.edges(codes)  # none crosses a mark
         first = np.searchsorted(end, np.arange(len(text) + 2)).tolist()
+        start, piece = start.tolist(), piece.tolist()
         stay, base = self.stay, len(self.pieces) + 1
         last, back = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
         out = []
@@ -167,8 +168,6 @@ class PieceCoder:
             for e in range(head + 1, head + size):
                 for k in range(first[e], first[e + 1]):
                     s = start[k]
-                    if s < head:
-                        continue
                     key = (last[s] + 1) * base + piece[k]
                     ok = stay.get(key)
                     if ok is None:
