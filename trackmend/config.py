@@ -1,4 +1,4 @@
-"""Thresholds of the jobs, as data."""
+"""Thresholds of the jobs, as data.  The defaults, and those of ``hands``, are fixed values of the method."""
 
 from __future__ import annotations
 
