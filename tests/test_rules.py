@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trackmend.config import Config, hands, load_config, save_config
 from trackmend.functions import geometry as g
 from trackmend.operators import audit, calibration, camera, gaps, merge, rejects, stereo, temporal, tracking
+from trackmend.plans import registry
 from trackmend.plans.correct import correct_detections
 from trackmend.plans.fixtures import CONFIG, Fixture
 from trackmend.sources import bundles
@@ -145,6 +146,18 @@ def test_disparity_of_a_known_shift():
     assert stereo.disparity_of(np.full_like(left, 9), right, (60, 15, 120, 50)) == (None, 0.0)
 
 
+@pytest.mark.parametrize("name", ["box_disparity", "box_disparity_all_pages"])
+def test_whole_pages_are_compared(spark, monkeypatch, name):
+    sizes = {}
+    monkeypatch.setattr(registry.stereo, "box_disparity", lambda boxes, pixels: sizes.update({r.cid: (r.h, len(r.left), len(r.right), r.y2) for r in pixels.join(boxes, "cid").collect()}) or boxes.withColumn("disp", F.lit(0.0)))
+    registry.QUERIES[name](spark, SF)
+    lengths = {r.page_id: r.n for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", F.octet_length("html").alias("n")).collect()}
+    if name == "box_disparity":
+        lengths = {p: n for p, n in lengths.items() if n >= 48 * 80}
+    assert max(lengths.values()) >= 49 * 80
+    assert sizes == {p: (n // 80, n // 80 * 80, n // 80 * 80, n // 80 - n // 80 // 6) for p, n in lengths.items()}
+
+
 def test_bundle_files(spark, tmp_path):
     d = tmp_path / "a_t1"
     d.mkdir()
