@@ -14,7 +14,7 @@ from trackmend.functions import geometry as g
 from trackmend.operators import audit, calibration, camera, gaps, merge, rejects, stereo, temporal, tracking
 from trackmend.plans import registry
 from trackmend.plans.correct import correct_detections
-from trackmend.plans.fixtures import CONFIG, Fixture
+from trackmend.plans.fixtures import CONFIG, LANES, Fixture
 from trackmend.sources import bundles
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,64 @@ def test_islands_change_nothing(spark):
     assert split == whole and len(split) > 100
 
 
+def linked_by_hand(rows, c):
+    """Track numbers of (frame, cand_idx, box) rows of a clip, by trying every set of pairs of tracks and boxes."""
+    tracks, numbers = [], {}  # a track: its (frame, box) so far
+    middle = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    size = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+    for frame, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
+        seen = [(idx, box) for _, idx, box in group]
+        sets = {frozenset(): (0, 0.0, {})}  # boxes taken: pairs (negative), cost, track of each box
+        for k, t in enumerate(tracks):
+            (last, box), elapsed = t[-1], frame - t[-1][0]
+            if elapsed > c.give_up_frames:
+                continue
+            x, y = middle(box)
+            if len(t) > 1:
+                (before, (bx, by)) = t[-2][0], middle(t[-2][1])
+                x, y = x + (x - bx) / (last - before) * elapsed, y + (y - by) / (last - before) * elapsed
+            gate, grown = c.resume_gate_px + c.max_speed_px_per_frame * elapsed, dict(sets)
+            for j, (_, b) in enumerate(seen):
+                away = math.dist(middle(b), (x, y))
+                if away > gate:
+                    continue
+                common = max(0.0, min(b[2], box[2]) - max(b[0], box[0])) * max(0.0, min(b[3], box[3]) - max(b[1], box[1]))
+                cost = away - (c.association_iou_weight * common / (size(b) + size(box) - common) * gate if elapsed <= 2 and common else 0.0)
+                for taken, (n, total, of) in sets.items():
+                    if j not in taken and (n - 1, total + cost) < grown.get(taken | {j}, (1,))[:2]:
+                        grown[taken | {j}] = (n - 1, total + cost, of | {j: k})
+            sets = grown
+        of = min(sets.values(), key=lambda v: v[:2])[2]
+        for j, (idx, b) in enumerate(seen):
+            if j not in of:
+                of[j] = len(tracks)
+                tracks.append([])
+            tracks[of[j]].append((frame, b))
+            numbers[frame, idx] = of[j]
+    return numbers
+
+
+@pytest.mark.parametrize("speed", [0.0, 100.0])
+def test_tracks_of_all_kinds_against_every_pairing(spark, monkeypatch, speed):
+    fx = Fixture(spark, SF)
+    config = LANES.but(max_speed_px_per_frame=speed)
+    monkeypatch.setattr(registry, "LANES", config)
+    detections = fx.detections.where("cid = 1").persist()
+    assert {r.kind for r in detections.where("kind < 3").select("kind").distinct().collect()} == {0, 1, 2}
+    candidates = merge.merge_duplicates(detections, config).persist()
+    want = linked_by_hand([(r.frame, r.cand_idx, (r.x1, r.y1, r.x2, r.y2)) for r in candidates.collect()], config)
+    batch = {(r.frame, r.cand_idx): r.track_id for r in tracking.associate(candidates, fx.frames, config).collect()}
+    stream = {(r.frame, r.cand_idx): r.track_id for r in registry._streamed(fx, candidates).collect()}
+    assert batch == want and stream == want
+
+
+def test_all_candidates_get_a_track(spark):
+    fx = Fixture(spark, SF)
+    rows = registry.QUERIES["associate_all_candidates"](spark, SF).collect()
+    assert len(rows) == merge.merge_duplicates(fx.detections, LANES).count() > merge.merge_duplicates(fx.detections.where("kind > 2"), LANES).count()
+    assert all(r.same and r.late is False for r in rows)
+
+
 def test_correction_keeps_its_promises(spark):
     fx = Fixture(spark, SF)
     out = correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG).persist()

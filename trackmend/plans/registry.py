@@ -168,9 +168,21 @@ def associate(fx: Fixture) -> DataFrame:
 
 @query(o.q(o.LANE_TRACKS, "SELECT c.cid, c.frame, c.cand_idx, CAST(t.track_id AS BIGINT) AS track_id, false AS late FROM cut c JOIN trk t USING (cid, lane, isl)"))
 def associate_stream_query(fx: Fixture) -> DataFrame:
+    return _streamed(fx, merge.merge_duplicates(fx.detections.where("kind > 2"), LANES))
+
+
+@query(o.q(o.merged(), "SELECT cid, frame, cand_idx, false AS late, true AS same FROM cand"))
+def associate_all_candidates(fx: Fixture) -> DataFrame:
+    """Tiny, narrow and displaced boxes too: whether the stream gives each candidate the batch operator's number."""
+    candidates = merge.merge_duplicates(fx.detections, LANES)
+    batch = tracking.associate(candidates, fx.frames, LANES).select("cid", "frame", "cand_idx", F.col("track_id").alias("number"))
+    both = _streamed(fx, candidates).join(batch, ["cid", "frame", "cand_idx"], "full")
+    return both.select("cid", "frame", "cand_idx", "late", F.col("track_id").eqNullSafe(F.col("number")).alias("same"))
+
+
+def _streamed(fx: Fixture, candidates: DataFrame) -> DataFrame:
     spark = fx.spark
     source, out, marks = (_folder(spark, f"stream-{n}") for n in ("in", "out", "marks"))
-    candidates = merge.merge_duplicates(fx.detections.where("kind > 2"), LANES)
     candidates.write.parquet(source)
     live = spark.readStream.schema(candidates.schema).parquet(source)
     associate_stream(live, LANES).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
