@@ -183,6 +183,22 @@ def test_disguised_words():
     assert f[0].tolist() == [0, 0, 0] and f[1][0] > 0 and f[2].tolist() == [0, 0, 0]
 
 
+def test_more_disguises():
+    words = "you are such a an idiot moron loser worthless stupid trash the house is large and the garden green".split() * 3
+    trigrams = Counter(f"^^{w}$"[i : i + 3] for w in words for i in range(len(w) + 1))
+    scorer = toxicity.Scorer(toxicity.ToxicityModel({b: 6.0 for w in ("idiot", "moron", "loser", "worthless", "stupid", "trash") for b in toxicity.beginnings(w)}, dict(trigrams)))
+    for w in ("iiddiioott", "m000ron", "stuupid", "tr@@sh", "!diot" + "!" * 70):
+        assert scorer.token(w) > 0, w
+    assert all(scorer.token(w) == 0 for w in ("green", "garden", "see", "2000"))
+    spaced = ["a i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\r\ni\no\nt", "i\u00a0d\u3000i o t", "s u c h a m o r o n", "the 1 d 1 0 t is", "l o s e r"]
+    f = scorer.features(pa.array(spaced + ["t h e h o u s e", "g r e e n", "i d i o t s t u p i d"]))
+    assert [s for s, x in zip(spaced, f[:, 0], strict=False) if x <= 0] == []
+    assert f[-3:, 0].tolist() == [0, 0, 6] and f[-1, 2] == pytest.approx(np.log1p(2))
+    assert scorer.features(pa.array(["i d", "i o t"]))[:, 0].tolist() == [0, 0]  # no run over two texts
+    long = "x y " * 20_000
+    assert scorer.features(pa.array([long]))[0, 0] == 0
+
+
 def test_languages(spark, docs):
     got = langid.page_languages(spark.read.parquet(f"{SF}/pages.parquet"), docs).collect()
     assert sum(r.lang == r.declared for r in got) / len(got) > 0.98
