@@ -199,6 +199,17 @@ def test_more_disguises():
     assert scorer.features(pa.array([long]))[0, 0] == 0
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.tile(rng.integers(0, 500, 200), 40), rng.integers(0, 500, 3000), np.tile(rng.integers(0, 500, 512), 20)])
+    body, left, right, expansion = token_store.compress(ids, 500)
+    assert np.array_equal(token_store.expand(body, left, right, expansion, 500), ids)
+    pairs = Counter(zip(body[:-1].tolist(), body[1:].tolist(), strict=True))
+    assert max(pairs.values()) < 16 and expansion.max() > 32
+    same, *rules = token_store.compress(np.zeros(5000, int), 1)
+    assert len(same) < 32 and np.array_equal(token_store.expand(same, *rules, 1), np.zeros(5000, int))
+
+
 def test_languages(spark, docs):
     got = langid.page_languages(spark.read.parquet(f"{SF}/pages.parquet"), docs).collect()
     assert sum(r.lang == r.declared for r in got) / len(got) > 0.98

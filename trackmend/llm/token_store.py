@@ -38,11 +38,11 @@ SYMBOLS = 1 << 16  # what an unsigned 16-bit symbol can name
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_base int, keys array<{key}>, lengths array<int>, left binary, right binary, expansion binary, body binary"
 
 
-def compress(ids: np.ndarray, n_base: int, least: int = 16, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, n_base: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(body, left, right, expansion lengths) of ids below ``n_base``, which leaves room for rules below 2**16."""
     seq = ids.astype(np.uint16)
     left, right, expansion = np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-    for _ in range(rounds):
+    while True:  # each round shortens the sequence
         room = SYMBOLS - n_base - len(left)
         if room <= 0 or len(seq) < 2 * least:
             break
