@@ -210,6 +210,15 @@ def test_pairs_are_replaced_until_none_is_frequent():
     assert len(same) < 32 and np.array_equal(token_store.expand(same, *rules, 1), np.zeros(5000, int))
 
 
+def test_items_with_wide_spaces_and_items_without_an_id(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = spark.createDataFrame([(1, "\u00a0".join(words)), (None, "one two three four five six seven eight nine")], "item_id long, text string")
+    rows = [(1, "so " + " ".join(words) + " end"), (4, "x one two three four five six seven eight nine y")]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(r.doc_id for r in found) == [1, 4]
+    assert {r.doc_id: r.item_id for r in found if r.doc_id < 4} == {1: 1}
+
+
 def test_languages(spark, docs):
     got = langid.page_languages(spark.read.parquet(f"{SF}/pages.parquet"), docs).collect()
     assert sum(r.lang == r.declared for r in got) / len(got) > 0.98

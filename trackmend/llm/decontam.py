@@ -8,7 +8,7 @@ and verified word by word.
 
 The bitmap is the only thing that is broadcast; its size doesn't depend on the benchmark, which only makes it pass more.
 Benchmark items of ``SHORTEST`` to ``WINDOW - 1`` words must stand in a document as they are; shorter ones are ignored,
-as are null and empty texts.  Repeated rows of a document count once; rows with a null key aren't reported.  Empty
+as are null and empty texts.  An item with a null id gets a hash of its text as one.  Repeated rows of a document count once; rows with a null key aren't reported.  Empty
 tables give an empty result.
 """
 
@@ -86,6 +86,12 @@ def seeds(flat: np.ndarray, bounds: np.ndarray, short: list[int], whole_only: bo
             yield 100 + n, n, at, _mix(sum((flat[at + o] * _PLACE[o] for o in range(n)), np.uint64(0)) + _constant(100 + n))
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(word_hashes(text_column(part, "text"))[1]).astype(np.int64))], ["n"])
+
+
 SEED_SCHEMA = "key long, place long, mask int, hash long, window array<long>, size long"
 
 
@@ -134,9 +140,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     benchmark item that share a verified window; ``covered`` is the share of the item's words that such windows hold,
     places are numbers of words."""
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(item_text).cast("string").alias("text")).where("key is not null")
-    words = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    short = sorted(r.n for r in items.select(words.alias("n")).where(f"n between {SHORTEST} and {WINDOW - 1}").distinct().collect())  # few lengths
+    items = benchmark.select(F.coalesce(F.col(item).cast("long"), F.xxhash64(F.col(item_text).cast("string"))).alias("key"), F.col(item_text).cast("string").alias("text"))
+    lengths = items.select("text").mapInArrow(_lengths, "n long").where(f"n between {SHORTEST} and {WINDOW - 1}")
+    short = sorted(r.n for r in lengths.distinct().collect())  # few lengths
     known = _seed_rows(items, short)
     bitmap = spark.sparkContext.broadcast(benchmark_bitmap(known))
     source = documents.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
