@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +47,33 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def strings(array: pa.Array) -> list[str]:
+    """The array as a list; for many short strings much faster than ``to_pylist``."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+_kept: dict[Hashable, object] = {}
+
+
+def worker_cache(owner: Hashable, make: Callable[[], object]):
+    """What ``make`` gives, kept in this worker process for the tasks of ``owner`` to come.
+
+    Workers are used again by other operators, so there is one owner at a time: the caches of the one before go.
+    """
+    if owner not in _kept:
+        drop_caches()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def drop_caches() -> None:
+    """To be called by work that keeps nothing, so that what others kept doesn't stand beside it."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes, so that memory doesn't follow the batch size."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
@@ -69,18 +97,20 @@ class Recent:
     def __init__(self, entries: int):
         self.half, self.new, self.old = entries // 2, {}, {}
 
-    def many(self, keys: list) -> list:
-        """The values, None for keys that aren't there."""
+    def many(self, keys: list) -> tuple[list, list[int]]:
+        """(the values, None for keys that aren't there; the places of those)."""
         got = list(map(self.new.get, keys))
-        if self.old and None in got:
-            old = self.old
-            for i, v in enumerate(got):
-                if v is None and (v := old.get(keys[i])) is not None:
+        missing = [i for i, v in enumerate(got) if v is None]
+        if self.old and missing:
+            found = list(map(self.old.get, [keys[i] for i in missing]))
+            for i, v in zip(missing, found, strict=True):
+                if v is not None:
                     got[i] = self.new[keys[i]] = v
-        return got
+            missing = [i for i, v in zip(missing, found, strict=True) if v is None]
+        return got, missing
 
-    def put(self, key, value) -> None:
-        self.new[key] = value
+    def put(self, found: dict) -> None:
+        self.new.update(found)
 
     def turn(self) -> None:
         """To be called between batches."""

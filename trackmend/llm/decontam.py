@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import slices, text_column
+from trackmend.llm._shared import slices, strings, text_column, worker_cache
 
 WINDOW, SUBSTITUTIONS, BLOCKS, SHORTEST = 13, 2, 4, 8
 #: Pairs of blocks that a mask looks at; the places of the others are ignored.
@@ -31,31 +31,39 @@ BITS = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = (np.arange(1, WINDOW + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
-_words: dict[str, int] = {}
+class Words:
+    """The hashes of words, remembered in a worker up to ``ENTRIES`` of them."""
 
+    ENTRIES, LONGEST_KEY = 150_000, 64
 
-def _word_hash(token: str) -> int:
-    """Of the token's letters and digits; 0 for none."""
-    import xxhash
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-    if (h := _words.get(token)) is None:
-        word = token if token.isalnum() else "".join(c for c in token if c.isalnum())
-        h = (xxhash.xxh64_intdigest(word) or 1) if word else 0
-        if len(_words) > 250_000:
-            _words.clear()
-        if len(token) <= 64:
-            _words[token] = h
-    return h
+    def _hash(self, token: str) -> int:
+        """Of the token's letters and digits; 0 for none."""
+        if (h := self.known.get(token)) is None:
+            import xxhash
+
+            word = token if token.isalnum() else "".join(c for c in token if c.isalnum())
+            h = (xxhash.xxh64_intdigest(word) or 1) if word else 0
+            if len(self.known) > self.ENTRIES:
+                self.known.clear()
+            if len(token) <= self.LONGEST_KEY:
+                self.known[token] = h
+        return h
+
+    def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, bounds of the texts)."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
+        coded = lists.values.dictionary_encode()
+        each = np.fromiter(map(self._hash, strings(coded.dictionary)), np.uint64, len(coded.dictionary))
+        flat = each[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+        kept = np.concatenate(([0], np.cumsum(flat != 0)))
+        return flat[flat != 0], kept[lists.offsets.to_numpy()]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, bounds of the texts)."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
-    coded = lists.values.dictionary_encode()
-    each = np.fromiter(map(_word_hash, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    flat = each[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
-    kept = np.concatenate(([0], np.cumsum(flat != 0)))
-    return flat[flat != 0], kept[lists.offsets.to_numpy()]
+    return worker_cache("words", Words).hashes(texts)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -106,7 +114,7 @@ def _seed_rows(source: DataFrame, short: list[int], bitmap=None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if whole_only else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
                 flat, bounds = word_hashes(text_column(part, "text"))
                 for mask, n, at, h in seeds(flat, bounds, short, whole_only):

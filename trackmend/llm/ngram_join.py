@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import slices, stored, text_column
+from trackmend.llm._shared import drop_caches, slices, stored, strings, text_column
 from trackmend.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     lists = pc.split_pattern(spaced, " ")
     coded = lists.values.dictionary_encode()
     # white space in a row, or at either end, leaves empty words
-    each = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in coded.dictionary.to_pylist()], np.uint64)
+    each = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in strings(coded.dictionary)], np.uint64)
     flat = each[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
     reached = np.concatenate(([0], np.cumsum(flat != 0)))
     bounds = reached[lists.offsets.to_numpy()].tolist()
@@ -123,6 +123,7 @@ def _described(documents: DataFrame, key: str, text: str) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        drop_caches()
         schemes = Schemes()
         kind = pa.list_(pa.struct([("scheme", pa.int32()), ("hashes", pa.list_(pa.int32())), ("parity", pa.binary())]))
         for batch in batches:
@@ -220,6 +221,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, bits:
     bitmap = spark.sparkContext.broadcast(words.view(np.uint8).tobytes())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         bits_ = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             cell = batch.column(2).to_numpy()

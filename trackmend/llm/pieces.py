@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import Recent, slices, text_column
+from trackmend.llm._shared import Recent, slices, strings, text_column, worker_cache
 from trackmend.llm.segments import vocabulary_path
 
 SPACE = "▁"
 _BREAK = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})")
 #: Characters whose suffixes are sorted at once; chunks and verdicts that a worker remembers; length up to which chunks are remembered.
-BLOCK, CACHE_ENTRIES, VERDICTS, LONGEST_KEY = 1 << 18, 500_000, 800_000, 64
+BLOCK, CACHE_ENTRIES, VERDICTS, LONGEST_KEY = 1 << 18, 400_000, 400_000, 64
 NONE = -1
 
 
@@ -203,12 +203,12 @@ class PieceCoder:
         return out
 
     def remembered(self, chunks: list[str]) -> list[bytes]:
-        got = self.known.many(chunks)
-        missing = [i for i, v in enumerate(got) if v is None]
-        for i, v in zip(missing, self.encode_chunks([chunks[i] for i in missing]), strict=True):
+        got, missing = self.known.many(chunks)
+        lacking = [chunks[i] for i in missing]
+        found = self.encode_chunks(lacking)
+        for i, v in zip(missing, found, strict=True):
             got[i] = v
-            if len(chunks[i]) <= LONGEST_KEY:
-                self.known.put(chunks[i], v)
+        self.known.put({k: v for k, v in zip(lacking, found, strict=True) if len(k) <= LONGEST_KEY})
         self.known.turn()
         return got
 
@@ -228,7 +228,7 @@ class PieceCoder:
         lists = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
         coded = lists.values.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        got = self.remembered(coded.dictionary.to_pylist())
+        got = self.remembered(strings(coded.dictionary))
         flat = np.frombuffer(b"".join(got), "<u4")
         n = np.fromiter(map(len, got), np.int64, len(got)) // 4
         each = n[index]
@@ -251,14 +251,9 @@ class PieceCoder:
         return [data[a + 1 : b] if data[a : a + 1] == b" " else data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def coder(vocabulary: str) -> PieceCoder:
     """One per worker process, kept between tasks."""
-    if vocabulary not in _coders:
-        _coders[vocabulary] = PieceCoder(vocabulary)
-    return _coders[vocabulary]
+    return worker_cache(("pieces", vocabulary), lambda: PieceCoder(vocabulary))
 
 
 def encode_pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
@@ -268,7 +263,7 @@ def encode_pieces(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = coder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = text_column(part, "text").to_pylist()
                 ids, bounds = pieces.encode(texts)
                 back = [a == b.encode() for a, b in zip(pieces.decode(ids, bounds), texts, strict=True)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmend.llm._labelled import Logistic, fit, held_out, training_sample
-from trackmend.llm._shared import slices, text_column
+from trackmend.llm._shared import drop_caches, slices, text_column
 
 BLOCK, LEVEL, PIECE = 1024, 3, 512
 
@@ -73,6 +73,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 1600,
     known = spark.sparkContext.broadcast((bad, good))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         compress = Compressors(*known.value)
         for batch in batches:
             f = [compress.features(t) for t in text_column(batch, "text").to_pylist()]
@@ -87,6 +88,7 @@ def score_quality(documents: DataFrame, model: QualityModel, key: str = "doc_id"
     known = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         compress = Compressors(known.value.bad, known.value.good)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -102,6 +104,7 @@ def keep_good(documents: DataFrame, model: QualityModel, text: str = "text") ->
     known = documents.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         compress = Compressors(known.value.bad, known.value.good)
         for batch in batches:
             for part in slices(batch, text):

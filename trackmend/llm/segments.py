@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from trackmend.llm._shared import Recent
+from trackmend.llm._shared import Recent, worker_cache
 
 _RUN = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -112,13 +112,13 @@ class SegmentEncoder:
 
     def remembered(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, from the cache where it has them."""
-        got = self.known.many(parts)
-        missing = [i for i, v in enumerate(got) if v is None]
+        got, missing = self.known.many(parts)
         if missing:
-            for i, v in zip(missing, self.encode([parts[i] for i in missing]), strict=True):
+            lacking = [parts[i] for i in missing]
+            found = self.encode(lacking)
+            for i, v in zip(missing, found, strict=True):
                 got[i] = v
-                if len(parts[i]) <= LONGEST_KEY:
-                    self.known.put(parts[i], v)
+            self.known.put({k: v for k, v in zip(lacking, found, strict=True) if len(k) <= LONGEST_KEY})
         self.known.turn()
         return got
 
@@ -152,11 +152,6 @@ class SegmentEncoder:
         return out
 
 
-_encoders: dict[str, SegmentEncoder] = {}
-
-
 def encoder(vocabulary: str) -> SegmentEncoder:
     """One per worker process, kept between tasks."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = SegmentEncoder(vocabulary)
-    return _encoders[vocabulary]
+    return worker_cache(("segments", vocabulary), lambda: SegmentEncoder(vocabulary))
