@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from trackmend.llm._shared import Recent, worker_cache
+from trackmend.llm._shared import Recent, strings, worker_cache
 
-_RUN = re.compile(r"\s\s")
+#: Two white space characters in a row (of any that ``\s`` knows), or the separator.
+_ODD = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Longer segments are encoded each time and not remembered.
 LONGEST_KEY = 64
@@ -42,17 +43,26 @@ class Cut:
     the separator are left out (as empty) and stand in ``whole`` instead.
     """
 
-    def __init__(self, texts: list[str]):
-        self.whole = {i: t for i, t in enumerate(texts) if "\0" in t}
-        marked = ["" if i in self.whole else "\0".join(_SAFE_CUT.split(t)) if _RUN.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for i, t in enumerate(texts)]
-        lists = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD)
+        if pc.any(odd).as_py():
+            rows = texts.to_pylist()
+            self.whole = {i: t for i, t in enumerate(rows) if "\0" in t}
+            at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+            texts = pc.replace_with_mask(texts, odd, pa.array(["" if i in self.whole else "\0".join(_SAFE_CUT.split(rows[i])) for i in at], pa.large_string()))
+            plain = pc.if_else(odd, "", texts)
+        else:
+            self.whole, plain = {}, texts
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(marked if plain is texts else pc.if_else(odd, texts, marked), "\0")
         coded = lists.values.dictionary_encode()
         segments = coded.dictionary
         heads = pc.utf8_rtrim(segments, ".,;:!?")
         heads = pc.if_else(pc.utf8_is_alpha(pc.utf8_slice_codeunits(heads, -1)), heads, segments)
         tails = self._behind(segments, heads)
         parts = pa.chunked_array([heads, tails]).combine_chunks().dictionary_encode()
-        self.distinct: list[str] = parts.dictionary.to_pylist()
+        self.distinct: list[str] = strings(parts.dictionary)
         pairs = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
         self.index = pairs[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         self.bounds = 2 * lists.offsets.to_numpy().astype(np.int64)
@@ -122,7 +132,7 @@ class SegmentEncoder:
         self.known.turn()
         return got
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of whole texts."""
         cut = Cut(texts)
         got = self.remembered(cut.distinct)
@@ -138,7 +148,7 @@ class SegmentEncoder:
             rows[i] = self.whole([t])[0]
         return rows
 
-    def counts(self, texts: list[str], first: dict[str, int]) -> np.ndarray:
+    def counts(self, texts: pa.Array, first: dict[str, int]) -> np.ndarray:
         """The numbers of ids of whole texts; ``first`` is asked before the worker's cache."""
         cut = Cut(texts)
         got = list(map(first.get, cut.distinct))

@@ -34,7 +34,7 @@ def frequent_segments(documents: DataFrame, text: str = "text", entries: int = 6
         seen: Counter[str] = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                cut = Cut(text_column(part, "text").to_pylist())
+                cut = Cut(text_column(part, "text"))
                 seen.update(dict(zip(cut.distinct, np.bincount(cut.index, minlength=len(cut.distinct)).tolist(), strict=True)))
                 if len(seen) > COUNTED:
                     seen = Counter({k: n for k, n in seen.items() if n > 1})
@@ -60,7 +60,7 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = text_column(part, "text")
-                n = pa.array(coder.counts(texts.to_pylist(), first), pa.int64())
+                n = pa.array(coder.counts(texts, first), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
     source = documents.select(F.col(key), F.col(text).cast("string").alias("text"))

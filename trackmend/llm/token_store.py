@@ -144,7 +144,7 @@ def write_token_store(documents: DataFrame, path: str, key: str = "doc_id", text
                 binary = [pa.field(c, pa.binary()) for c in ("left", "right", "expansion", "body")]
                 schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("n_base", pa.int32()), ("keys", pa.list_(key_type)), ("lengths", pa.list_(pa.int32())), *binary])
             for piece in slices(batch, "text"):
-                found = coder.ids(text_column(piece, "text").to_pylist())
+                found = coder.ids(text_column(piece, "text"))
                 for k, ids in zip(piece.column(0).to_pylist(), found, strict=True):
                     keys.append(k)
                     held.append(ids + end)
