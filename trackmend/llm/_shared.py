@@ -41,6 +41,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted when a job no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Deletes all but the last ``keep`` tables."""
+        cut = len(self.paths) - keep
+        for path in self.paths[:cut]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = self.paths[cut:]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with marks in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as strings, null as the empty text."""
     column = batch.column(batch.schema.get_field_index(name))

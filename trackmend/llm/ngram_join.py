@@ -2,17 +2,20 @@
 
 A document's set holds the 64-bit hashes of its distinct runs of ``WORDS`` words.  Sizes are cut into bands that grow
 by 1 / 0.8, so that sets as similar as 0.8 are in one band or in neighbouring ones; a scheme for each pair of
-neighbours says in how many elements, k, such sets may differ at most.  It partitions the domain of hashes into more
-than k parts, of which similar sets agree on ``parts - k`` at least.  The hash of what a set has in a part is a
-signature.  Empty parts say little and are left out, unless a set has so many that another set could agree with it on
-empty parts alone: nothing similar is missed.
+neighbours says in how many elements, k, such sets may differ at most.  It cuts the domain of hashes into more than
+k / 2 groups of ``PARTS`` parts each.  Some group holds one difference at most, so similar sets agree on two of its three
+parts at least: the signatures of a set are the hashes of what it has in every pair of parts of a group.  Pairs of
+empty parts say little and are left out, unless a set has so many that another set could agree with it on those
+alone: nothing similar is missed.
 
 Sets that are equal are joined first and represented by their smallest key.  Sets with a common signature form a
-bucket.  A task looks at one bucket, or at two blocks of a larger one, and compares bit parities of the sets, whose
-number of different bits never exceeds the number of different elements.  In a first round it passes on a spanning
-forest of the pairs that remain, which is verified on the sets; in a second round it passes on every remaining pair
-whose members aren't yet in one component.  So no link between components is lost, and a group of copies costs about
-as many verified pairs as it has members.
+bucket.  Signatures that a sample of the documents shows to be hot are salted, so that no task ever holds a whole
+bucket that is large; the sample only says how many salts.  A task looks at one block of a bucket, or at two, and
+compares bit parities of the sets, whose number of different bits never exceeds the number of different elements.  In a
+first round, over single blocks, it passes on a spanning forest of the pairs that remain, which is verified on the sets.
+In a second round, over single blocks and pairs of blocks of buckets that aren't one component by then, it passes on
+every remaining pair whose members aren't yet in one component.  So no link between components is lost, and a group of
+copies costs about as many verified pairs as it has members.
 
 Documents without words have no set and no links.  Null keys have no component; rows repeated under one key are one
 document, linked by any of its texts.  Empty tables give an empty result; other columns are ignored.
@@ -25,15 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import drop_caches, slices, stored, strings, text_column
+from trackmend.llm._shared import Scratch, drop_caches, fresh, slices, stored, strings, text_column
 from trackmend.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Members of a block of a bucket.
-BLOCK = 2048
+#: Parts of a group, of which similar sets agree on all but one in some group.
+PARTS = 3
+#: Members of a block of a bucket at most, and bytes of their parities.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: One document in so many tells which signatures are hot; members that it must find; cells that hot signatures share.
+SAMPLE, HOT, CELLS = 64, 32, 1 << 20
+#: Edges of one member in a spanning forest, about.
+HUB = 64
+#: Bits of a signature that number the pair of parts; above them stands the scheme, below them the hash.
+NUMBER_BITS = 25
 #: A-Z become a-z and white space a space, byte by byte, which leaves the rest of UTF-8 as it is.
 _FOLDED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRIME = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -82,34 +93,46 @@ class Schemes:
             self.low.append(self.low[-1] * 100 // PERCENT + 1)
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
+    def most(self, b: int) -> int:
+        """The largest size in a band."""
+        while len(self.low) < b + 2:
+            self.low.append(self.low[-1] * 100 // PERCENT + 1)
+        return self.low[b + 1] - 1
+
     def scheme(self, b: int) -> tuple[int, int, np.ndarray]:
         """(differences allowed, words of 64 parity bits, lower bounds of the parts)."""
         if b not in self.made:
-            while len(self.low) < b + 2:
-                self.low.append(self.low[-1] * 100 // PERCENT + 1)
-            most = self.low[b + 1] - 1
+            most = self.most(b)
             # r + s - 2 * common, with common >= 0.8 * union
             k = (most + most * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
-            parts = k + 2 + k // 10
+            parts = PARTS * (k // 2 + 1 + k // 24) if k else 0
             self.made[b] = k, -(-2 * most // 64), np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
         return self.made[b]
 
     def of(self, size: int) -> list[int]:
+        """The schemes of a set; none where only equal sets are similar."""
         b = self.band(size)
-        return [b - 1, b] if b else [b]
+        return [x for x in ((b - 1, b) if b else (b,)) if self.scheme(x)[0]]
 
     def signatures(self, s: np.ndarray, b: int) -> np.ndarray:
-        """A 32-bit hash for each part of a set under scheme ``b``; 0 for parts that are left out.  With the scheme and
-        the part it makes the signature; equal hashes of different elements only add pairs to verify."""
+        """A 32-bit hash for each pair of parts of a group, under scheme ``b``; 0 for pairs that are left out.  With the
+        scheme and its number it makes the signature; equal hashes of different elements only add pairs to verify."""
         k, _, lower = self.scheme(b)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ _PRIME[3]), dtype=np.uint64)))
         cut = np.concatenate(([0], np.searchsorted(s, lower), [len(s)]))
-        size, parts = np.diff(cut), len(lower) + 1
-        h = (_mix(sums[cut[1:]] - sums[cut[:-1]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        size, held = np.diff(cut).reshape(-1, PARTS), (sums[cut[1:]] - sums[cut[:-1]]).reshape(-1, PARTS)
+        following = [1, 2, 0]
+        h = (_mix(held * _PRIME[0] + held[:, following] * _PRIME[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         h[h == 0] = 1
-        if (size == 0).sum() < parts - k:
-            h[size == 0] = 0
-        return h
+        empty = size + size[:, following] == 0
+        # k differences leave 2 * groups - k pairs as they are, or more
+        if empty.sum() < 2 * len(size) - k:
+            h[empty] = 0
+        return h.ravel()
+
+    def block(self, b: int) -> int:
+        """Members of a block under scheme ``b``, whose parities have a quarter byte for each element of the largest set."""
+        return min(BLOCK, max(16, 4 * BLOCK_BYTES // self.most(b)))
 
     def parity(self, s: np.ndarray, b: int) -> bytes:
         bits = 64 * self.scheme(b)[1]
@@ -156,7 +179,8 @@ def _near(parity: np.ndarray, size: np.ndarray, comp: np.ndarray | None) -> Iter
 
 
 def _forest(parity: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all that near pairs connect, from the members with most near ones first."""
+    """Edges that connect all that near pairs connect, from the members with most near ones first.  A member that would
+    get many edges passes most of them on to some of its neighbours, so that no key is hot when edges are verified."""
     m = len(parity)
     near = np.zeros((m, m), bool)
     for i, js in _near(parity, size, None):
@@ -164,11 +188,14 @@ def _forest(parity: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     root = np.arange(m)
     out = []
     for i in np.argsort(-near.sum(1), kind="stable"):
-        js = np.flatnonzero(near[i] & (root != root[i]))
-        for j in js:
+        new = []
+        for j in np.flatnonzero(near[i] & (root != root[i])):
             if root[j] != root[i]:
-                out.append((int(i), int(j)))
+                new.append(int(j))
                 root[root == root[j]] = root[i]
+        for at, j in enumerate(new):
+            hub = new[at - at % HUB]
+            out.append((hub, j) if hub != j and near[hub, j] else (int(i), j))
     return out
 
 
@@ -181,8 +208,7 @@ def _candidates(buckets: DataFrame, forest: bool) -> DataFrame:
         size = rows.column("n_shingles").to_numpy()
         if forest:
             return [(int(keys[i]), int(keys[j])) for i, j in _forest(parity, size)]
-        comp = rows.column("component").to_numpy()
-        return [(int(keys[i]), int(keys[j])) for i, js in _near(parity, size, comp) for j in js] if (comp != comp[0]).any() else []
+        return [(int(keys[i]), int(keys[j])) for i, js in _near(parity, size, rows.column("component").to_numpy()) for j in js]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -207,7 +233,11 @@ def _candidates(buckets: DataFrame, forest: bool) -> DataFrame:
         if held is not None and held.num_rows:
             yield done(held)
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long").distinct()
+    dealt = buckets.repartition("bucket")
+    if not forest:  # buckets of one component have nothing to pass on
+        whole = Window.partitionBy("bucket")
+        dealt = dealt.withColumn("_least", F.min("component").over(whole)).withColumn("_most", F.max("component").over(whole)).where("_least <> _most").drop("_least", "_most")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(work, "a long, b long").distinct()
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, bits: int = 24) -> DataFrame:
@@ -247,50 +277,99 @@ def _verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, bits:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _blocks(reps: DataFrame) -> DataFrame:
+    """(signature, block, keys): the members of buckets of two or more, in blocks."""
+    schemes = Schemes()
+    sizes = F.array(*[F.lit(schemes.block(b)) for b in range(100)])  # a set of 2**31 elements has scheme 96
+    # a number wraps around only in sets of over 80 million elements, which adds pairs to verify
+    number = F.col("number").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("long")
+    signature = F.shiftleft(F.col("scheme").cast("long"), NUMBER_BITS + 32).bitwiseOR(F.shiftleft(number, 32)).bitwiseOR(F.col("hash").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def signed(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "scheme", F.posexplode("hashes").alias("number", "hash")).where("hash <> 0").select(signature.alias("signature"), "key")
+
+    def cell() -> Column:
+        return F.pmod(F.xxhash64("signature"), F.lit(CELLS))
+
+    size = sizes[F.shiftrightunsigned("signature", NUMBER_BITS + 32).cast("int")]
+    seen = signed(reps.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)).groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    hot = seen.select(cell().alias("cell"), F.ceil(F.col("n") * SAMPLE / size).alias("salts")).groupBy("cell").agg(F.max("salts").alias("salts")).collect()  # CELLS rows at most
+    rows = signed(reps)
+    if hot:
+        table = reps.sparkSession.createDataFrame([(r.cell, r.salts) for r in hot], "cell long, salts long")
+        rows = rows.withColumn("cell", cell()).join(F.broadcast(table), "cell", "left")
+        rows = rows.select("signature", "key", F.coalesce(F.pmod(F.xxhash64("key", "signature"), F.col("salts")), F.lit(-1)).alias("salt"))
+    else:
+        rows = rows.withColumn("salt", F.lit(-1).cast("long"))
+    placed = Window.partitionBy("signature", "salt").orderBy("key")
+    rows = rows.select("signature", "salt", "key", F.row_number().over(placed).alias("place"), (F.lag("key").over(placed).isNotNull() | F.lead("key").over(placed).isNotNull() | (F.col("salt") >= 0)).alias("shared"))
+    rows = rows.where("shared").select("signature", "salt", F.floor((F.col("place") - 1) / size).alias("slice"), "key")
+    return rows.groupBy("signature", "salt", "slice").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("signature", F.struct("salt", "slice").alias("block"), "keys")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row: size of its set, smallest key that links reach from it."""
-    rows = stored(_described(documents, key, text), "shingles")
+    scratch = Scratch(documents.sparkSession)
+    rows = scratch.stored(_described(documents, key, text), "shingles")
     nodes = rows.where("key is not null and set_hash is not null")
     small = nodes.select("key", "set_hash")
-    same = stored(small.join(small.groupBy("set_hash").agg(F.min("key").alias("rep")), "set_hash").select("key", "rep").distinct(), "equal-sets")
+    # the smallest key of each set that several rows have; both sides of the join are dealt anew, so that AQE can split it
+    copied = scratch.stored(small.groupBy("set_hash").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_hash", "rep"), "copied-sets")
+    same = stored(small.join(copied, "set_hash", "left").select("key", F.coalesce("rep", "key").alias("rep")).distinct(), "equal-sets")
     # texts under one key join their sets
     tied = same.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     tied = same.join(tied.select(F.col("a").alias("least")).distinct(), same["rep"] == F.col("least"), "left_semi").select("key").join(same, "key").groupBy("key").agg(F.min("rep").alias("a")).join(same, "key").select("a", F.col("rep").alias("b")).where("a <> b")
 
     reps = nodes.join(same.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key", "set_hash"]).select("key", "n_shingles", F.explode("marks").alias("mark"))
     reps = reps.select("key", "n_shingles", "mark.scheme", "mark.hashes", "mark.parity")
-    placed = Window.partitionBy("signature").orderBy("key")
-    # scheme, part and hash in one number: most of what is shuffled is this and the key
-    signed = reps.select("key", "scheme", F.posexplode("hashes").alias("part", "hash")).where("hash <> 0").select(F.expr("shiftleft(bigint(scheme), 52) | shiftleft(bigint(part), 32) | (bigint(hash) & 4294967295)").alias("signature"), "key")
-    members = signed.select(
-        "signature", "key", F.shiftrightunsigned("signature", 52).cast("int").alias("scheme"), F.row_number().over(placed).alias("place"), (F.lag("key").over(placed).isNotNull() | F.lead("key").over(placed).isNotNull()).alias("shared")
-    )
-    members = members.where("shared").select("signature", "scheme", "key", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block"))
-    # the members of a bucket in blocks; equal blocks are looked at once
-    blocks = stored(members.groupBy("signature", "scheme", "block").agg(F.sort_array(F.collect_list("key")).alias("keys")), "blocks")
-    alone = blocks.where("block = 0").select("signature", "scheme", "keys")
-    more = blocks.where("block > 0").select("signature").distinct()
-    left, right = (blocks.join(more, "signature", "left_semi").select("signature", "scheme", F.col("block").alias(f"{n}_block"), F.col("keys").alias(f"{n}_keys")) for n in ("left", "right"))
-    pairs_of_blocks = left.join(right, ["signature", "scheme"]).where("left_block < right_block").select("scheme", F.concat("left_keys", "right_keys").alias("keys"))
-    groups = alone.where("size(keys) > 1").select("scheme", "keys").unionByName(pairs_of_blocks).distinct().select("scheme", "keys", F.xxhash64("scheme", "keys").alias("bucket"))
-    listed = groups.select("bucket", "scheme", F.explode("keys").alias("key")).distinct()
-    buckets = listed.join(reps.select("key", "scheme", "n_shingles", "parity"), ["key", "scheme"]).select("bucket", "key", "n_shingles", "parity")
-    buckets = stored(buckets, "buckets")
-
-    first = stored(_candidates(buckets, True), "candidates")
-    links = stored(_verified(documents, first, key, text).unionByName(tied), "links")
-    comp = stored(components(links), "components")
-    labelled = buckets.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    second = stored(_candidates(labelled, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    blocks = scratch.stored(_blocks(reps), "blocks")
+    scheme = F.shiftrightunsigned("signature", NUMBER_BITS + 32).cast("int").alias("scheme")
+
+    def listed(groups: DataFrame) -> DataFrame:
+        """(bucket, scheme, key) of lists of keys; equal ones are looked at once."""
+        groups = groups.distinct().select("scheme", "keys", F.xxhash64("scheme", "keys").alias("bucket"))
+        return groups.select("bucket", "scheme", F.explode("keys").alias("key")).distinct()
+
+    def with_parity(members: DataFrame) -> DataFrame:
+        return members.join(reps.select("key", "scheme", "n_shingles", "parity"), ["key", "scheme"]).select("bucket", "key", "n_shingles", "parity")
+
+    buckets = scratch.stored(with_parity(listed(blocks.where("size(keys) > 1").select(scheme, "keys"))), "buckets")
+    first = scratch.stored(_candidates(buckets, True), "candidates")
+    links = scratch.stored(_verified(documents, first, key, text).unionByName(tied), "links")
+    comp = components(links)
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    # buckets of several blocks whose members aren't all in one component
+    several = blocks.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
+    split = blocks.join(several, "signature", "left_semi")
+    apart = labelled(split.select("signature", F.explode("keys").alias("key"))).groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
+    split = split.join(apart, "signature", "left_semi")
+    left, right = (split.select("signature", F.col("block").alias(f"{n}_block"), F.col("keys").alias(f"{n}_keys")) for n in ("left", "right"))
+    crossed = left.join(right, "signature").where("left_block < right_block").select(scheme, F.concat("left_keys", "right_keys").alias("keys"))
+    every = labelled(buckets)
+    if not crossed.isEmpty():
+        every = every.unionByName(labelled(with_parity(listed(crossed))))
+    second = scratch.stored(_candidates(every, False).join(first, ["a", "b"], "left_anti"), "candidates")
     if not second.isEmpty():
-        links = stored(links.unionByName(_verified(documents, second, key, text)), "links")
-        comp = stored(components(links), "components")
+        links = scratch.stored(links.unionByName(_verified(documents, second, key, text)), "links")
+        comp = components(links)
+    sizes = stored(rows.select("key", "n_shingles"), "set-sizes")
+    scratch.clear()
     least = same.join(comp, F.col("rep") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.select("key", "n_shingles").join(least, "key", "left")
+    out = sizes.join(least, "key", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, that with the smallest key, with all its columns; rows with a null key stay."""
-    gone = near_duplicates(documents, key, text).where(f"`{key}` <> component_id").select(F.col(key).alias("_key")).distinct()
-    return documents.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    """One row of each group, that with the smallest key, with all its columns; of rows repeated under that key, the
+    longest text's.  Rows with a null key stay."""
+    found = near_duplicates(documents, key, text).where(F.col(key).isNotNull())
+    mark, n, row = (fresh(documents, c) for c in ("_key", "_n", "_row"))
+    marks = found.groupBy(F.col(key).alias(mark)).agg(F.count(F.lit(1)).alias(n), F.min("component_id").alias("least"))
+    marks = stored(marks.select(mark, F.when(F.col(mark) == F.col("least"), F.col(n)).otherwise(0).alias(n)).where(F.col(n) != 1), "near-marks")
+    marked = documents.join(marks, F.col(key) == F.col(mark), "left").where(F.col(n).isNull() | (F.col(n) > 0))
+    order = [F.desc(F.length(text)), *[F.col(c).cast("string") for c in documents.columns]]
+    one = marked.where(F.col(n).isNotNull()).withColumn(row, F.row_number().over(Window.partitionBy(mark).orderBy(*order))).where(F.col(row) == 1)
+    return marked.where(F.col(n).isNull()).select(documents.columns).unionByName(one.select(documents.columns))
