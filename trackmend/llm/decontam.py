@@ -1,15 +1,18 @@
 """Benchmark passages in documents, by spaced seeds.
 
 Words are lower-cased and stripped of all but letters and digits.  A window of ``WINDOW`` words that differs from a
-benchmark window in ``SUBSTITUTIONS`` places at most leaves two of four interleaved blocks of its places untouched, so
-one of the six masks that look at two blocks each hashes both windows alike: the seeds lose nothing.  Hashes of the
-documents go through a bitmap of fixed size before they are shuffled; what passes is joined with the benchmark's hashes
-and verified word by word.
-
-The bitmap is the only thing that is broadcast; its size doesn't depend on the benchmark, which only makes it pass more.
-Benchmark items of ``SHORTEST`` to ``WINDOW - 1`` words must stand in a document as they are; shorter ones are ignored,
-as are null and empty texts.  An item with a null id gets a hash of its text as one.  Repeated rows of a document count once; rows with a null key aren't reported.  Empty
-tables give an empty result.
+benchmark window in two places at most leaves two of four interleaved blocks of its places untouched, so one of the six
+masks that look at two blocks each hashes both windows alike: the seeds lose nothing.  Items of fewer words than that are
+one window of their own length: from ``SHORT`` words on they may differ in one place, which one of two interleaved
+blocks never sees; shorter ones must be the whole document, word by word, as two or three words stand anywhere.
+
+Hashes of the documents go through a bitmap before they are shuffled; what passes is joined with the benchmark's hashes
+and verified word by word.  The bitmap is the only thing that is broadcast.  It has about ``BITS_EACH`` bits for each
+hash of the benchmark, up to 2 ** ``MOST_BITS`` (16 MB); beyond that it passes more, and loses nothing.
+
+Null, empty and wordless items are no items; an item with a null id gets a hash of its text as one.  Repeated rows of a
+document count once; rows with a null key aren't reported, and ``drop_contaminated`` keeps them.  Keys are integers.
+Empty tables give an empty result.  Other columns are ignored.  A very long text is read whole.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import slices, strings, text_column, worker_cache
+from trackmend.llm._shared import fresh, slices, strings, text_column, worker_cache
 
-WINDOW, SUBSTITUTIONS, BLOCKS, SHORTEST = 13, 2, 4, 8
+WINDOW, SUBSTITUTIONS, BLOCKS, SHORT = 13, 2, 4, 8
 #: Pairs of blocks that a mask looks at; the places of the others are ignored.
 MASKS = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
-BITS = 24
+#: Bits of the bitmap for each hash, logarithms of its least and greatest size and of a page of it, and probes.
+BITS_EACH, LEAST_BITS, MOST_BITS, PAGE = 64, 20, 27, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = (np.arange(1, WINDOW + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
@@ -83,15 +87,21 @@ def seeds(flat: np.ndarray, bounds: np.ndarray, short: list[int], whole_only: bo
     """
     sizes = np.diff(bounds)
     left = np.repeat(bounds[1:], sizes) - np.arange(len(flat))  # words to the end of the text
+
+    def block(at: np.ndarray, places: range) -> np.ndarray:
+        return sum((flat[at + o] * _PLACE[o] for o in places), np.zeros(len(at), np.uint64))
+
     at = np.flatnonzero(left >= WINDOW)
     if len(at):
-        sums = [sum((flat[at + o] * _PLACE[o] for o in range(b, WINDOW, BLOCKS)), np.uint64(0)) for b in range(BLOCKS)]
+        sums = [block(at, range(b, WINDOW, BLOCKS)) for b in range(BLOCKS)]
         for mask, (a, b) in enumerate(MASKS):
             yield mask, WINDOW, at, _mix(sums[a] + sums[b] + _constant(mask + 1))
     for n in short:
-        at = bounds[:-1][sizes == n] if whole_only else np.flatnonzero(left >= n)
+        at = bounds[:-1][sizes == n] if whole_only or n < SHORT else np.flatnonzero(left >= n)
         if len(at):
-            yield 100 + n, n, at, _mix(sum((flat[at + o] * _PLACE[o] for o in range(n)), np.uint64(0)) + _constant(100 + n))
+            for half in (0, 1) if n >= SHORT else (0,):
+                mask = 100 + 2 * n + half
+                yield mask, n, at, _mix(block(at, range(half, n, 2) if n >= SHORT else range(n)) + _constant(mask))
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +113,8 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEED_SCHEMA = "key long, place long, mask int, hash long, window array<long>, size long"
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _seed_rows(source: DataFrame, short: list[int], bitmap=None) -> DataFrame:
@@ -113,13 +123,14 @@ def _seed_rows(source: DataFrame, short: list[int], bitmap=None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if whole_only else np.frombuffer(bitmap.value, np.uint8)
+        size = 0 if whole_only else (8 * len(bits)).bit_length() - 1
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
                 flat, bounds = word_hashes(text_column(part, "text"))
                 for mask, n, at, h in seeds(flat, bounds, short, whole_only):
                     if bits is not None:
-                        a, b = _probes(h)
+                        a, b = _probes(h, size)
                         ok = np.flatnonzero((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1)
                         at, h = at[ok], h[ok]
                     if not len(at):
@@ -134,13 +145,25 @@ def _seed_rows(source: DataFrame, short: list[int], bitmap=None) -> DataFrame:
 
 
 def benchmark_bitmap(seed_rows: DataFrame) -> bytes:
-    """A bit for each of two probes of each hash, gathered as 64-bit words by their number: 2**18 rows at most."""
-    probes = F.explode(F.array(F.shiftrightunsigned("hash", 64 - BITS), F.shiftrightunsigned("hash", 8).bitwiseAND(F.lit((1 << BITS) - 1))))
-    bits = seed_rows.select(probes.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("bit"))
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-    return out.view(np.uint8).tobytes()
+    """A bit for each of two probes of each hash; pages of 2 ** ``PAGE`` bits are filled in the tasks."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_EACH * seed_rows.count()).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            for page in np.unique(bit >> PAGE).tolist():
+                held = np.zeros(1 << PAGE, bool)
+                held[bit[bit >> PAGE == page] & ((1 << PAGE) - 1)] = True
+                pages[page] = pages.get(page, np.uint8(0)) | np.packbits(held, bitorder="little")
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], ["page", "bits"])
+
+    probes = F.array(F.shiftrightunsigned("hash", 64 - bits), F.shiftrightunsigned("hash", 8).bitwiseAND(F.lit((1 << bits) - 1)))
+    dealt = seed_rows.select(F.explode(probes).alias("bit")).repartition(F.shiftright("bit", PAGE))
+    out = np.zeros((1 << (bits - PAGE), 1 << (PAGE - 3)), np.uint8)
+    for r in dealt.mapInArrow(fill, "page int, bits binary").collect():  # a row for each page: 2 ** (MOST_BITS - PAGE) at most
+        out[r.page] |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -149,7 +172,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     places are numbers of words."""
     spark = documents.sparkSession
     items = benchmark.select(F.coalesce(F.col(item).cast("long"), F.xxhash64(F.col(item_text).cast("string"))).alias("key"), F.col(item_text).cast("string").alias("text"))
-    lengths = items.select("text").mapInArrow(_lengths, "n long").where(f"n between {SHORTEST} and {WINDOW - 1}")
+    lengths = items.select("text").mapInArrow(_lengths, "n long").where(f"n between 1 and {WINDOW - 1}")
     short = sorted(r.n for r in lengths.distinct().collect())  # few lengths
     known = _seed_rows(items, short)
     bitmap = spark.sparkContext.broadcast(benchmark_bitmap(known))
@@ -157,7 +180,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     hits = _seed_rows(source, short, bitmap).select(F.col("key").alias("doc"), "mask", "hash", F.col("window").alias("found"), F.col("place").alias("doc_place"))
     known = known.select(F.col("key").alias("item"), "mask", "hash", "window", F.col("place").alias("item_place"), F.col("size").alias("item_words"))
     differ = F.aggregate(F.zip_with("found", "window", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda a, b: a + b)
-    allowed = F.when(F.col("mask") < 100, SUBSTITUTIONS).otherwise(0)
+    allowed = F.when(F.col("mask") < 100, SUBSTITUTIONS).when(F.size("window") >= SHORT, 1).otherwise(0)
     pairs = hits.join(known, ["mask", "hash"]).where(differ <= allowed)
     # what a document and an item share is bounded by the item's windows, so the set of places is small
     spans = pairs.groupBy("doc", "item", "item_words").agg(
@@ -170,6 +193,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows without a verified window, with all their columns."""
-    found = contaminated(documents, benchmark, key, text).select(F.col(key).alias("_key")).distinct()
-    return documents.join(found, F.col(key).cast("long") == F.col("_key"), "left_anti")
+    """The rows without a verified window, with all their columns; rows with a null key stay."""
+    mark = fresh(documents, "_key")
+    found = contaminated(documents, benchmark, key, text).select(F.col(key).alias(mark)).distinct()
+    return documents.join(found, F.col(key).cast("long") == F.col(mark), "left_anti")
