@@ -11,7 +11,7 @@ exchange of its own.  Should two texts ever share a SHA-256 digest, their rows a
 
 Null texts count as empty, so all of them and all blank texts are one group.  Rows that are repeated under one key are
 one row each in the result, of which one at most is kept.  Null keys rank behind all others.  An empty table gives an
-empty result; columns besides key and text are ignored.
+empty result; columns besides key and text are ignored, whatever they are called.  Keys are integers.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import stored
+from trackmend.llm._shared import fresh, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 _SPAN = "18446744073709551616"  # 2**64: room for a key below the length
@@ -80,13 +80,14 @@ def exact_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "tex
 def drop_exact_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows repeated under one key, one."""
     found = exact_duplicates(documents, key, text)
-    marks = found.groupBy(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    marks = stored(marks.where("not _kept or _n > 1"), "exact-marks")
+    mark, of, kept, n, row = (fresh(documents, c) for c in ("_key", "_digest", "_kept", "_n", "_row"))
+    marks = found.groupBy(F.col(key).alias(mark), F.col("text_sha256").alias(of)).agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(n))
+    marks = stored(marks.where(~F.col(kept) | (F.col(n) > 1)), "exact-marks")
     digest = F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), WHITE, ""), 256)
-    marked = documents.join(marks, F.col(key).eqNullSafe(F.col("_key")) & (digest == F.col("_digest")), "left").where("_kept is null or _kept")
+    marked = documents.join(marks, F.col(key).eqNullSafe(F.col(mark)) & (digest == F.col(of)), "left").where(F.col(kept).isNull() | F.col(kept))
     order = [F.desc(F.length(text)), *[F.col(c).cast("string") for c in documents.columns]]
-    one = marked.where("_n > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_key", "_digest").orderBy(*order))).where("_row = 1")
-    return marked.where("_n is null").select(documents.columns).unionByName(one.select(documents.columns))
+    one = marked.where(F.col(n) > 1).withColumn(row, F.row_number().over(Window.partitionBy(mark, of).orderBy(*order))).where(F.col(row) == 1)
+    return marked.where(F.col(n).isNull()).select(documents.columns).unionByName(one.select(documents.columns))
 
 
 ORACLE_SQL = r"""

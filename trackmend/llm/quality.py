@@ -4,8 +4,8 @@ A text is cut into blocks, and each block is compressed with either dictionary.
 by the bytes of the text, says which kind of text it continues better; the smaller size itself, divided by those bytes,
 tells text that repeats itself.  A logistic model turns the two into a probability.
 
-The fit reads ``per_class`` labelled rows of each class at most: a piece of each of one half makes the dictionaries,
-the other half calibrates.  Scoring reads whole texts, where they lie, without a shuffle.
+The fit reads ``per_class`` labelled rows of each class at most, whole: one half trains the dictionaries, of
+``DICTIONARY`` bytes at most, the other half calibrates.  Scoring reads whole texts, where they lie, without a shuffle.
 
 Empty and null texts get the score of the features (0, 0).  Without labelled rows of one class the score is the share
 of the other.  Null keys aren't held out.  Other columns, ``lang`` and ``source`` among them, are ignored.
@@ -24,7 +24,22 @@ from pyspark.sql import functions as F
 from trackmend.llm._labelled import Logistic, fit, held_out, training_sample
 from trackmend.llm._shared import drop_caches, slices, text_column
 
-BLOCK, LEVEL, PIECE = 1024, 3, 512
+BLOCK, LEVEL, DICTIONARY = 1024, 3, 256 << 10
+
+
+def _blocks(data: bytes) -> list[bytes]:
+    return [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+
+
+def dictionary(texts: list[str]) -> bytes:
+    """A dictionary for text like ``texts``; of texts too few to train one, themselves."""
+    import zstandard
+
+    samples = [b for t in texts for b in _blocks(t.encode())]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text, which then is below DICTIONARY as well
+        return b"".join(samples)[-DICTIONARY:]
 
 
 class Compressors:
@@ -37,7 +52,7 @@ class Compressors:
         for data in (bad, good):
             known = None
             if len(data) >= 8:
-                known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known = zstandard.ZstdCompressionDict(data)
                 known.precompute_compress(LEVEL)
             self.each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
@@ -45,7 +60,7 @@ class Compressors:
         data = text.encode()
         if not data:
             return 0.0, 0.0
-        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        blocks = _blocks(data)
         bad, good = (sum(len(f(b)) for b in blocks) for f in self.each)
         return (bad - good) / len(data), min(bad, good) / len(data)
 
@@ -63,13 +78,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 1600,
     sample, sizes = training_sample(labels, label, per_class, key)
     source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = source.join(F.broadcast(sample), "key")  # 2 * per_class rows
-    # a piece of each text, from anywhere in it
-    start = F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - PIECE, F.lit(1))) + 1
-    pieces = rows.where("part < 0.5").select("key", "y", F.substring("text", start.cast("int"), F.lit(PIECE)).alias("piece")).collect()
-    pieces = sorted({(r.key, r.y, r.piece) for r in pieces})
-    bad, good = ("\n".join(p for _, y, p in pieces if y == of).encode() for of in (0, 1))
-    size = min(len(bad), len(good)) or max(len(bad), len(good))
-    bad, good = bad[:size], good[:size]
+    texts = sorted({(r.key, r.y, r.text) for r in rows.where("part < 0.5").select("key", "y", "text").collect()})
+    bad, good = (dictionary([t for _, y, t in texts if y == of]) for of in (0, 1))
     known = spark.sparkContext.broadcast((bad, good))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
