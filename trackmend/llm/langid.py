@@ -13,7 +13,9 @@ Counts by (suffix, domain, host) come from one grouped aggregation, the levels a
 verdict is taken out of each level before it serves as a prior for that page.  Only these counts and small rows without
 text are shuffled; the join with a hot host is split by AQE.
 
-The text model reads ``per_language`` documents of each language at most.  Null or empty pages have no text evidence;
+The text model reads ``per_language`` documents of each language at most.  It has ``TABLE`` cells for each language, and
+fewer where the languages are so many that it would hold more than ``MODEL`` cells (64 MB): no language is left out.  A page
+that is equally likely in several languages, up to nine digits, is given the first one by name.  Null or empty pages have no text evidence;
 null addresses share one empty host.  Rows repeated under a key are pages of their own.  Without documents that name a
 language the result is empty.
 """
@@ -26,23 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmend.llm._shared import slices, stored, text_column
+from trackmend.llm._shared import drop_caches, slices, stored, text_column
 
-TABLE = 1 << 16
+TABLE, MODEL = 1 << 16, 1 << 24
 TEXT_WEIGHT = 60.0
-LANGUAGES = 64
 #: Pages that the prior of the level above counts for.
 SMOOTHING = 5.0
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
-def trigram_index(data: bytes) -> np.ndarray:
+def trigram_index(data: bytes, cells: int = TABLE) -> np.ndarray:
+    """The cell of each trigram; ``cells`` is a power of two."""
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    return ((b[:-2] * 40503 + b[1:-1] * 2654435 + b[2:] * 97) >> np.uint32(3)) & np.uint32(TABLE - 1) if len(b) > 2 else np.zeros(0, np.uint32)
+    return ((b[:-2] * 40503 + b[1:-1] * 2654435 + b[2:] * 97) >> np.uint32(3)) & np.uint32(cells - 1) if len(b) > 2 else np.zeros(0, np.uint32)
 
 
 def visible(page: str) -> str:
@@ -52,31 +54,32 @@ def visible(page: str) -> str:
 def text_model(documents: DataFrame, per_language: int = 1000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each trigram cell in each language), from a bounded sample."""
     named = documents.where(F.col(lang).isNotNull() & (F.col(lang) != "")).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    known = [r.lang for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    known.sort()
+    known = sorted(r.lang for r in named.select("lang").distinct().collect())  # names of languages
+    cells = TABLE
+    while cells * len(known) > MODEL and cells > 256:
+        cells //= 2
     if not known:
-        return [], np.zeros((0, TABLE))
-    small = named.select("key", "lang", F.xxhash64("key").alias("order"))
-    some = None
-    for name in known:
-        one = small.where(F.col("lang") == name).orderBy("order", "key").limit(per_language)
-        some = one if some is None else some.unionByName(one)
-    rows = named.join(F.broadcast(some.select("key", "lang").distinct()), ["key", "lang"])
+        return [], np.zeros((0, cells), np.float32)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    some = named.select("key", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
+    some = some.select("key", "lang").distinct()
+    # per_language rows for each language: broadcast while that is a million rows at most
+    rows = named.join(F.broadcast(some) if per_language * len(known) <= 1_000_000 else some, ["key", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), text_column(batch, "text").to_pylist(), strict=True):
-                at = trigram_index(t.lower().encode())
-                sums[name] = sums.get(name, np.zeros(TABLE, np.int64)) + np.bincount(at, minlength=TABLE)
+                at = trigram_index(t.lower().encode(), cells)
+                sums[name] = sums.get(name, np.zeros(cells, np.int64)) + np.bincount(at, minlength=cells)
         for name, n in sums.items():
-            cells = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(n[cells])], ["lang", "cell", "n"])
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], ["lang", "cell", "n"])
 
-    table = np.full((len(known), TABLE), 0.02)
-    for r in rows.select("lang", "text").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():  # TABLE rows a language
-        table[known.index(r.lang), r.cell] += r.n
-    return known, np.log(table / table.sum(1, keepdims=True))
+    table, place = np.full((len(known), cells), 0.02, np.float32), {name: i for i, name in enumerate(known)}
+    for r in rows.select("lang", "text").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toLocalIterator():  # MODEL rows at most
+        table[place[r.lang], r.cell] += r.n
+    return known, np.log(table / table.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 def _address(url: Column) -> tuple[Column, Column, Column]:
@@ -99,17 +102,19 @@ def page_languages(pages: DataFrame, documents: DataFrame, key: str = "page_id",
         return source.where("false").select(F.col("key").alias(key), F.lit("").alias("lang"), F.lit(0.0).alias("probability"), "declared", F.lit("").alias("text_lang"), F.lit(0).cast("long").alias("n_text_bytes"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         model = given.value
+        cells = model.shape[1]
         for batch in batches:
             for part in slices(batch, "text"):
                 out, size = np.zeros((part.num_rows, k)), []
                 for i, t in enumerate(text_column(part, "text").to_pylist()):
                     data = visible(t).lower().encode()
-                    at = trigram_index(data)
+                    at = trigram_index(data, cells)
                     if len(at):
-                        cells = np.bincount(at, minlength=TABLE)
-                        used = np.flatnonzero(cells)
-                        out[i] = model[:, used] @ cells[used] * (min(len(at), TEXT_WEIGHT) / len(at))
+                        n = np.bincount(at, minlength=cells)
+                        used = np.flatnonzero(n)
+                        out[i] = model[:, used].astype(np.float64) @ n[used] * (min(len(at), TEXT_WEIGHT) / len(at))
                     size.append(len(data))
                 evidence = out - out.max(1, keepdims=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * part.num_rows + 1, k, dtype=np.int32)), pa.array(evidence.ravel()))
@@ -124,32 +129,32 @@ def page_languages(pages: DataFrame, documents: DataFrame, key: str = "page_id",
     up = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
 
     def packed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys, F.array(*[F.col(f"s{i}") for i in range(k)]).alias(name))
+        counts = [F.col(f"s{i}") for i in range(k)]
+        return df.select(*keys, F.array(*counts).alias(f"n_{name}"), F.greatest(sum(counts[1:], counts[0]) - 1, F.lit(0.0)).alias(f"t_{name}"))
 
     hosts = stored(rows.groupBy("suffix", "domain", "host").agg(*sums), "host-counts")
     domains = hosts.groupBy("suffix", "domain").agg(*up)
     suffixes = domains.groupBy("suffix").agg(*up)
     everywhere = suffixes.agg(*up)
     declared = rows.groupBy("declared").agg(*sums)
-    levels = packed(hosts, ["suffix", "domain", "host"], "n_host").join(packed(domains, ["suffix", "domain"], "n_domain"), ["suffix", "domain"]).join(packed(suffixes, ["suffix"], "n_suffix"), "suffix")
-    levels = levels.crossJoin(F.broadcast(packed(everywhere, [], "n_all")))  # one row
-    claims = packed(declared, ["declared"], "n_declared").crossJoin(F.broadcast(packed(everywhere, [], "n_lang")))
+    levels = packed(hosts, ["suffix", "domain", "host"], "host").join(packed(domains, ["suffix", "domain"], "domain"), ["suffix", "domain"]).join(packed(suffixes, ["suffix"], "suffix"), "suffix")
+    levels = levels.crossJoin(F.broadcast(packed(everywhere, [], "all")))  # one row
+    claims = packed(declared, ["declared"], "declared")
 
-    def minus(a: str, i: int) -> Column:
-        return F.greatest(F.col(a)[i] - F.col("verdict")[i], F.lit(0.0))
+    def others(level: str) -> Column:
+        """The level's sums without the page's own verdict."""
+        return F.zip_with(f"n_{level}", "verdict", lambda n, own: F.greatest(n - own, F.lit(0.0)))
 
-    def count(a: str) -> Column:
-        return F.greatest(F.aggregate(a, F.lit(0.0), lambda x, y: x + y) - 1, F.lit(0.0))
+    def smoothed(level: str, prior: Column) -> Column:
+        return F.zip_with(others(level), prior, lambda n, p: (n + SMOOTHING * p) / (F.col(f"t_{level}") + SMOOTHING))
 
     joined = rows.join(levels, ["suffix", "domain", "host"]).join(claims, "declared")
-    logs = []
-    for i in range(k):
-        prior = (minus("n_all", i) + 1) / (count("n_all") + k)
-        for level in ("n_suffix", "n_domain", "n_host"):
-            prior = (minus(level, i) + SMOOTHING * prior) / (count(level) + SMOOTHING)
-        claim = F.when(F.col("declared") == "", 0.0).otherwise(F.log((minus("n_declared", i) + 0.5) / (minus("n_lang", i) + k)))
-        logs.append(F.col("evidence")[i] + claim + F.log(prior))
-    scored = joined.select("key", "declared", "n_text_bytes", "evidence", F.array(*logs).alias("logs"))
+    prior = F.transform(others("all"), lambda n: (n + 1) / (F.col("t_all") + k))
+    for level in ("suffix", "domain", "host"):
+        prior = smoothed(level, prior)
+    claim = F.zip_with(others("declared"), others("all"), lambda n, of: F.when(F.col("declared") == "", 0.0).otherwise(F.log((n + 0.5) / (of + k))))
+    logs = F.zip_with(F.zip_with("evidence", claim, lambda e, c: e + c), prior, lambda x, p: F.round(x + F.log(p), 9))
+    scored = joined.select("key", "declared", "n_text_bytes", "evidence", logs.alias("logs"))
     names = F.array(*[F.lit(n) for n in known])
     best = F.array_max("logs")
     return scored.select(
