@@ -52,13 +52,14 @@ def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_warc(spark, path))
     pages = captures.select(F.col("capture_id").alias("target_id"), F.col("metadata.page").alias("target_page"))
-    found = captures.join(pages, F.col("response.refers_to") == F.col("target_id"), "left")
+    # responses refer to nothing: they look themselves up, so that no task gets all of them under null
+    found = captures.join(pages, F.coalesce(F.col("response.refers_to"), F.col("capture_id")) == F.col("target_id"), "left")
     return found.select(
         F.col("metadata.page").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.col("target_page").alias("refers_to"),
+        F.when(F.col("response.refers_to").isNotNull(), F.col("target_page")).alias("refers_to"),
     )
 
 

@@ -10,7 +10,7 @@ capture through their identifiers into one nested row.
 Which response a revisit refers to is found among (key, digest) pairs; payloads move once, to their key's partition.
 
 A null payload is empty; a null address is written as ``urn:page:<key>``.  Rows repeated under one key are captures of
-their own with equal identifiers but for a number.  Null keys are written as an empty field, read as null, and never revisit.  An empty
+their own, whose identifiers differ by a number.  Null keys are written as an empty field, read as null, and never revisit.  An empty
 table writes and gives nothing.  Other columns are ignored.
 """
 
@@ -30,8 +30,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id string, kind string, concurrent_to string, refers_to string, uri string, date string, payload_bytes long, payload_digest string, page_key string, payload binary"
 
 
-def _identifier(kind: str, key: Column, number: Column) -> Column:
-    h = F.md5(F.concat_ws("\x1f", F.lit(kind), F.coalesce(key.cast("string"), F.lit("")), number.cast("string")))
+def _identifier(kind: str, key: Column, digest: Column, number: Column) -> Column:
+    """Of the rows with one key and payload, ``number`` tells them apart."""
+    h = F.md5(F.concat_ws("\x1f", F.lit(kind), F.coalesce(key.cast("string"), F.lit("")), F.hex(digest), number.cast("string")))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -55,12 +56,12 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
 
     # the join and the window deal rows by the same key: payloads move once
     full = rows.withColumn("digest", digest).join(moved, "key", "left")
-    full = full.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1)
+    full = full.withColumn("number", F.row_number().over(Window.partitionBy("key", "digest").orderBy("uri")) - 1)
     target = F.filter(F.col("targets"), lambda x: x["digest"] == F.col("digest"))
     full = full.withColumn("target", F.try_element_at(target, F.lit(1)))
     again = F.col("target").isNotNull()
 
-    response, request, metadata = (_identifier(k, F.col("key"), F.col("number")) for k in ("response", "request", "metadata"))
+    response, request, metadata = (_identifier(k, F.col("key"), F.col("digest"), F.col("number")) for k in ("response", "request", "metadata"))
     address = F.coalesce(F.regexp_replace(F.col("uri"), r"[\r\n ]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("key").cast("string"), F.lit(""))))
     sha1, size = F.concat(F.lit("sha1:"), F.sha1("body")), F.octet_length("body").cast("string")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
@@ -74,7 +75,7 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
                 *common,
                 ("WARC-Payload-Digest", sha1),
                 ("WARC-Profile", F.when(again, F.lit(PROFILE))),
-                ("WARC-Refers-To", F.when(again, _identifier("response", F.col("target.target"), F.lit(0)))),
+                ("WARC-Refers-To", F.when(again, _identifier("response", F.col("target.target"), F.col("digest"), F.lit(0)))),
                 ("Content-Type", F.lit("application/http; msgtype=response")),
             ],
             F.when(again, head).otherwise(F.concat(head, F.col("body"))),
@@ -84,9 +85,16 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
     return full.select(F.explode(kinds).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, records_per_file: int = 100_000, **columns) -> None:
-    """Writes archives of ``records_per_file`` records at most."""
-    records(pages, **columns).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+#: Bytes of payload that an archive holds on average, at most.
+FILE_BYTES = 256 << 20
+
+
+def write_warc(pages: DataFrame, path: str, payload: str = "html", records_per_file: int = 100_000, **columns) -> None:
+    """Writes archives of ``records_per_file`` records at most, and fewer where payloads are large: an archive is read
+    as one binary value, so its size must stay well below 2 GB."""
+    mean = pages.agg(F.avg(F.octet_length(F.col(payload).cast("string"))).alias("mean")).first().mean or 0.0
+    records_per_file = max(1, min(records_per_file, int(3 * FILE_BYTES / (mean + 1))))
+    records(pages, payload=payload, **columns).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): ?(.*?)\r?$", re.M)
