@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmend.llm import decontam, exact_dedup, langid, ngram_join, pieces, quality, toxicity, warc
-from trackmend.llm._shared import shared_folder, table
+from trackmend.llm._shared import shared_folder, stored, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
 
@@ -50,7 +50,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_warc(spark, path))
+    # without payloads the records are small: the archives are parsed once, not for each side of the joins
+    captures = warc.assemble(stored(warc.read_warc(spark, path), "records"))
     pages = captures.select(F.col("capture_id").alias("target_id"), F.col("metadata.page").alias("target_page"))
     # responses refer to nothing: they look themselves up, so that no task gets all of them under null
     found = captures.join(pages, F.coalesce(F.col("response.refers_to"), F.col("capture_id")) == F.col("target_id"), "left")
