@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,18 +183,63 @@ class PieceCoder:
                 if last[e] >= 0:
                     ids.append(last[e])
                 else:
-                    raw = chunks[c][e - 1 - head].encode()
-                    ids.extend(self.byte_ids[b] for b in reversed(raw)) if self.byte_ids[0] != self.unknown else ids.append(self.unknown)
+                    ids.extend(self._unknown(chunks[c][e - 1 - head]))
                 e = back[e]
             out.append(np.array(ids[::-1], "<u4").tobytes())
         if len(stay) > VERDICTS:
             stay.clear()
         return out
 
+    def _long(self, chunk: str) -> bytes:
+        """The ids of a chunk that is longer than a block, block by block: a number of eight bytes for each character is
+        all that is kept of the blocks before."""
+        last, back = np.full(len(chunk) + 1, NONE, np.int32), np.zeros(len(chunk) + 1, np.int32)
+        stay, base = self.stay, len(self.pieces) + 1
+        for at in range(0, len(chunk), BLOCK):
+            to, before = min(len(chunk), at + BLOCK), max(0, at - self.longest)
+            text = np.frombuffer(chunk[before:to].encode("utf-32-le"), np.uint32)
+            place = np.minimum(np.searchsorted(self.alphabet, text), len(self.alphabet) - 1)
+            end, start, piece = self.edges(np.where(self.alphabet[place] == text, place + 2, 1).astype(np.uint64))
+            first = np.searchsorted(end, np.arange(len(text) + 2)).tolist()
+            start, piece = start.tolist(), piece.tolist()
+            now, whence = last[before : to + 1].tolist(), [0] * (len(text) + 1)
+            for e in range(at - before + 1, len(text) + 1):
+                for k in range(first[e], first[e + 1]):
+                    s = start[k]
+                    key = (now[s] + 1) * base + piece[k]
+                    ok = stay.get(key)
+                    if ok is None:
+                        ok = stay[key] = self._stays(now[s], piece[k])
+                    if ok:
+                        now[e], whence[e] = piece[k], s
+                        break
+                else:  # no piece has this character
+                    now[e], whence[e] = NONE, e - 1
+            last[at + 1 : to + 1] = now[at - before + 1 :]
+            back[at + 1 : to + 1] = np.array(whence[at - before + 1 :]) + before
+            if len(stay) > VERDICTS:
+                stay.clear()
+        ids, e = array("I"), len(chunk)
+        while e > 0:
+            if last[e] >= 0:
+                ids.append(int(last[e]))
+            else:
+                ids.extend(self._unknown(chunk[e - 1]))
+            e = int(back[e])
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def _unknown(self, character: str) -> list[int]:
+        """The ids of a character that no piece has, last one first."""
+        return [self.byte_ids[b] for b in reversed(character.encode())] if self.byte_ids[0] != self.unknown else [self.unknown]
+
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(chunks):
+            if len(chunks[at]) > BLOCK:
+                out.append(self._long(chunks[at]))
+                at += 1
+                continue
             size, to = 0, at
             while to < len(chunks) and (to == at or size + len(chunks[to]) < BLOCK):
                 size += len(chunks[to]) + 1
