@@ -313,7 +313,7 @@ def test_decontamination(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("window", F.lit(0))
     odd_bench = bench.unionByName(spark.createDataFrame([(901, None), (902, ""), (903, "one two three"), (904, "these eight words are here for one match")], "item_id long, text string"))
     found = decontam.contaminated(df.unionByName(spark.createDataFrame([(8, "so THESE eight words are here for one match."), (9, "one two three")], "doc_id long, text string").withColumn("window", F.lit(0))), odd_bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(1, item.item_id), (3, item.item_id), (7, item.item_id), (8, 904)}
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, item.item_id), (3, item.item_id), (7, item.item_id), (8, 904), (9, 903)}
     assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {2, 4, 5, 6, None}
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
