@@ -21,45 +21,51 @@ ACCURACY = 10_000
 
 
 def percentiles(rows: DataFrame, value: Column, name: str, at: tuple[float, ...]) -> DataFrame:
-    """One row with ``<name>_p<percent>`` columns, exact and linearly interpolated; null over no rows.
+    """One row with ``<name>_p<percent>`` columns, exact and linearly interpolated; null over no rows."""
+    return percentiles_of(rows, [(value, name, at)])
+
+
+def percentiles_of(rows: DataFrame, measures: list[tuple[Column, str, tuple[float, ...]]]) -> DataFrame:
+    """The percentiles of several values of the same rows, in one row; nulls of a value don't count.
 
     A sketch, merged from all tasks, brackets each percentile by two values with less than a thousandth of the rows
     between them.  A second pass counts what is below each bracket and ranks the distinct values in it, so no task
     sorts or holds all values.
     """
-    values = rows.select(value.cast("double").alias("v")).where("v is not null")
+    values = rows.select(*[value.cast("double").alias(f"v{m}") for m, (value, _, _) in enumerate(measures)])
     margin = 3 / ACCURACY
-    ends = [q for p in at for q in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
-    bounds = values.agg(F.percentile_approx("v", F.array(*[F.lit(q) for q in ends]), F.lit(ACCURACY)).alias("b"), F.count(F.lit(1)).alias("total"))
-    marked = values.crossJoin(F.broadcast(bounds))  # one row
-    v, n = F.col("v"), len(at)
-    lo, hi = [F.col("b")[2 * i] for i in range(n)], [F.col("b")[2 * i + 1] for i in range(n)]
+    sketches = []
+    for m, (_, _, at) in enumerate(measures):
+        ends = [q for p in at for q in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
+        sketches += [F.percentile_approx(f"v{m}", F.array(*[F.lit(q) for q in ends]), F.lit(ACCURACY)).alias(f"b{m}"), F.count(f"v{m}").alias(f"total{m}")]
+    marked = values.crossJoin(F.broadcast(values.agg(*sketches)))  # one row
+    # (number, measure, percent, value, ends of its bracket)
+    wanted = []
+    for m, (_, _, at) in enumerate(measures):
+        wanted += [(len(wanted) + j, m, p, F.col(f"v{m}"), F.col(f"b{m}")[2 * j], F.col(f"b{m}")[2 * j + 1]) for j, p in enumerate(at)]
     # the ends of a bracket may leave out the neighbour on either side that interpolation needs
-    sides = [f(c).alias(f"{m}{i}") for i in range(n) for m, f, c in (("below", F.count_if, v < lo[i]), ("prev", F.max, F.when(v < lo[i], v)), ("next", F.min, F.when(v > hi[i], v)))]
-    outside = marked.agg(F.first("total").alias("total"), *sides)
-    inside = marked.select("v", F.explode(F.array_compact(F.array(*[F.when((v >= lo[i]) & (v <= hi[i]), F.lit(i)) for i in range(n)]))).alias("i")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    sides = [f(c).alias(f"{name}{i}") for i, _, _, v, lo, hi in wanted for name, f, c in (("below", F.count_if, v < lo), ("prev", F.max, F.when(v < lo, v)), ("next", F.min, F.when(v > hi, v)))]
+    outside = marked.agg(*[F.first(f"total{m}").alias(f"total{m}") for m in range(len(measures))], *sides)
+    within = F.array_compact(F.array(*[F.when((v >= lo) & (v <= hi), F.struct(F.lit(i).alias("i"), v.alias("v"))) for i, _, _, v, lo, hi in wanted]))
+    inside = marked.select(F.explode(within).alias("w")).groupBy("w.i", "w.v").agg(F.count(F.lit(1)).alias("n"))
     placed = inside.withColumn("end", F.sum("n").over(Window.partitionBy("i").orderBy("v"))).crossJoin(F.broadcast(outside))  # one row
     out, picked = [], []
-    for i, p in enumerate(at):
-        rank = F.lit(p / 100) * (F.col("total") - 1)
+    for i, m, p, *_ in wanted:
+        rank = F.lit(p / 100) * (F.col(f"total{m}") - 1)
         for side, index in (("a", F.floor(rank)), ("b", F.ceil(rank))):
             here = index - F.col(f"below{i}")
-            picked.append(F.max(F.when((F.col("i") == i) & (here >= F.col("end") - F.col("n")) & (here < F.col("end")), v)).alias(f"{side}{i}"))
-        picked += [F.max(F.when(F.col("i") == i, F.col(f"{m}{i}"))).alias(f"{m}{i}") for m in ("prev", "next")] + [F.max(rank - F.floor(rank)).alias(f"t{i}")]
+            picked.append(F.max(F.when((F.col("i") == i) & (here >= F.col("end") - F.col("n")) & (here < F.col("end")), F.col("v"))).alias(f"{side}{i}"))
+        picked += [F.max(F.when(F.col("i") == i, F.col(f"{name}{i}"))).alias(f"{name}{i}") for name in ("prev", "next")] + [F.max(rank - F.floor(rank)).alias(f"t{i}")]
         lower, upper = F.coalesce(f"a{i}", f"prev{i}"), F.coalesce(f"b{i}", F.when(F.col(f"a{i}").isNull(), F.col(f"prev{i}")).otherwise(F.col(f"next{i}")))
-        out.append((lower + (upper - lower) * F.col(f"t{i}")).alias(f"{name}_p{p}".replace(".", "_")))
+        out.append((lower + (upper - lower) * F.col(f"t{i}")).alias(f"{measures[m][1]}_p{p}".replace(".", "_")))
     return placed.agg(*picked).select(*out)
 
 
 def size_shape_speed_stats(stable: DataFrame) -> DataFrame:
     """One row: number of boxes, percentiles of area, aspect, and speed between consecutive frames."""
-    rows = track_motion(stable)
-    return (
-        rows.agg(F.count(F.lit(1)).alias("n_boxes"))
-        .crossJoin(percentiles(rows, box_area(box()), "area", AREA))
-        .crossJoin(percentiles(rows, aspect_ratio(box()), "aspect", ASPECT))
-        .crossJoin(percentiles(rows, F.when(F.col("elapsed") == 1, F.col("displacement")), "speed", SPEED))
-    )  # single rows
+    speed = F.when(F.col("elapsed") == 1, F.col("displacement"))
+    found = percentiles_of(track_motion(stable), [(box_area(box()), "area", AREA), (aspect_ratio(box()), "aspect", ASPECT), (speed, "speed", SPEED)])
+    return stable.agg(F.count(F.lit(1)).alias("n_boxes")).crossJoin(found)  # single rows
 
 
 def dropout_stats(stable: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def pool_width_stats(detections: DataFrame, tracked: DataFrame) -> DataFrame:
 
 def camera_motion_stats(vio: DataFrame) -> DataFrame:
     rates = vio_angular_rate(vio)
-    return percentiles(rates, F.col("speed"), "speed", MOTION).crossJoin(percentiles(rates, F.col("ang_rate"), "ang_rate", MOTION))
+    return percentiles_of(rates, [(F.col("speed"), "speed", MOTION), (F.col("ang_rate"), "ang_rate", MOTION)])
 
 
 def static_motion_stats(stable: DataFrame, vio: DataFrame, config: Config) -> DataFrame:
@@ -131,7 +137,9 @@ def label_disparity(disparity: DataFrame, tracked: DataFrame, detections: DataFr
 def pick_disparity_threshold(labelled: DataFrame, least_accuracy: float = 0.68, steps: int = 200) -> DataFrame:
     """One row: the first of ``steps`` even thresholds that splits wearers (at or above it) from others best, its
     accuracy, both medians, and whether to trust it."""
-    sides = labelled.agg(F.min("disp").alias("lo"), F.max("disp").alias("hi"), F.count_if("is_wearer").alias("n_wearer"), F.count_if(~F.col("is_wearer")).alias("n_bystander"), F.median(F.when(F.col("is_wearer"), F.col("disp"))).alias("wearer_median"), F.median(F.when(~F.col("is_wearer"), F.col("disp"))).alias("bystander_median"))
+    sides = labelled.agg(F.min("disp").alias("lo"), F.max("disp").alias("hi"), F.count_if("is_wearer").alias("n_wearer"), F.count_if(~F.col("is_wearer")).alias("n_bystander"))
+    medians = percentiles_of(labelled, [(F.when(F.col("is_wearer"), F.col("disp")), "wearer", (50,)), (F.when(~F.col("is_wearer"), F.col("disp")), "bystander", (50,))])
+    sides = sides.crossJoin(medians.select(F.col("wearer_p50").alias("wearer_median"), F.col("bystander_p50").alias("bystander_median")))  # single rows
     # each value counts in the first step at or below which thresholds leave it above
     at = labelled.crossJoin(F.broadcast(sides.select("lo", "hi")))
     width = (F.col("hi") - F.col("lo")) / (steps - 1)

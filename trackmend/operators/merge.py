@@ -40,8 +40,13 @@ def _groups(config: Config) -> Column:
         near = F.transform(F.col("d"), lambda y: (x["det_id"] == y["det_id"]) | (overlap_ratio(field_box(x), field_box(y)) >= config.duplicate_overlap_threshold))
         return F.aggregate(F.transform(near, lambda n, j: F.when(n, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
 
-    closed = F.aggregate(places, F.transform(F.col("d"), row), lambda masks, k: F.transform(masks, lambda m: F.when(bit(m, k) == 1, m.bitwiseOR(masks[k])).otherwise(m)))
-    return F.transform(closed, lambda m: F.array_min(F.filter(places, lambda j: bit(m, j) == 1)))
+    def firsts(masks: Column) -> Column:
+        closed = F.aggregate(places, masks, lambda now, k: F.transform(now, lambda m: F.when(bit(m, k) == 1, m.bitwiseOR(now[k])).otherwise(m)))
+        groups = F.transform(closed, lambda m: F.array_min(F.filter(places, lambda j: bit(m, j) == 1)))
+        # most frames have no overlap: each box is a group, and there is nothing to close
+        return F.when(F.forall(masks, lambda m: m.bitwiseAND(m - 1) == 0), places).otherwise(groups)
+
+    return F.transform(F.array(F.transform(F.col("d"), row)), firsts)[0]  # one element: its masks are computed once
 
 
 def _wide_groups(batches):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmend.config import Config
@@ -44,13 +44,18 @@ def geometric_reject(detections: DataFrame, config: Config, disparity: DataFrame
     return reject_reach(rows, config, disparity)
 
 
-def finite(detections: DataFrame) -> DataFrame:
+def _is_finite() -> Column:
     ok = F.lit(True)
     for c in [*_BOX, "confidence"]:
         ok = ok & F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
-    return detections.where(ok)
+    return ok
+
+
+def finite(detections: DataFrame) -> DataFrame:
+    return detections.where(_is_finite())
 
 
 def quarantine(detections: DataFrame) -> DataFrame:
-    """The boxes that ``finite`` leaves out."""
-    return detections.exceptAll(finite(detections))
+    """The boxes that ``finite`` leaves out, each as a candidate of its own that is rejected as ``not_finite``."""
+    odd = detections.where(~_is_finite())
+    return odd.select("cid", "frame", F.lit(None).cast("long").alias("cand_idx"), *_BOX, "confidence", F.array("det_id").alias("source_ids"), F.lit(False).alias("was_merged"), F.lit("not_finite").alias("reject_stage"))

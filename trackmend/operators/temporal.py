@@ -6,7 +6,12 @@ rules look at the rows where it is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmend.config import Config
@@ -33,16 +38,21 @@ def track_motion(tracked: DataFrame) -> DataFrame:
     return rows.drop("_x", "_y", "_px", "_py")
 
 
-def _fold(config: Config) -> Column:
-    """The frames of ``t`` that stay: each is compared with the last one that stayed."""
+def _gone(config: Config) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The frames of a track that go: each box is compared with the last one that stayed."""
 
-    def step(kept: Column, now: Column) -> Column:
-        last = F.element_at(kept, -1)
-        gone = distance((now["x"], now["y"]), (last["x"], last["y"])) / F.greatest(F.lit(1).cast("long"), now["frame"] - last["frame"])
-        return F.when(gone > config.max_speed_px_per_frame, kept).otherwise(F.concat(kept, F.array(now)))
+    def fold(track: pd.DataFrame) -> pd.DataFrame:
+        one = track.sort_values("frame")
+        frames, gone = one["frame"].tolist(), []
+        held = None
+        for f, x, y in zip(frames, one["x"].tolist(), one["y"].tolist(), strict=True):
+            if held is not None and math.sqrt((x - held[1]) ** 2 + (y - held[2]) ** 2) / max(1, f - held[0]) > config.max_speed_px_per_frame:
+                gone.append(f)
+            else:
+                held = f, x, y
+        return pd.DataFrame({"cid": one["cid"].iloc[:1].repeat(len(gone)).to_numpy(), "track_id": one["track_id"].iloc[:1].repeat(len(gone)).to_numpy(), "frame": np.array(gone, np.int64)})
 
-    # a track is never empty, and its first box always stays
-    return F.transform(F.aggregate(F.slice("t", 2, F.size("t")), F.slice("t", 1, 1), step), lambda r: r["frame"])
+    return fold
 
 
 def reject_displacement(tracked: DataFrame, config: Config) -> DataFrame:
@@ -54,8 +64,8 @@ def reject_displacement(tracked: DataFrame, config: Config) -> DataFrame:
     moving = live.select(*_TRACK, "frame", x.alias("x"), y.alias("y"))
     speed = distance((F.col("x"), F.col("y")), (F.lag("x").over(placed), F.lag("y").over(placed))) / F.greatest(F.lit(1).cast("long"), F.col("frame") - F.lag("frame").over(placed))
     fast = moving.withColumn("_fast", speed > config.max_speed_px_per_frame).withColumn("_any", F.max("_fast").over(Window.partitionBy(*_TRACK))).where("_any")
-    folded = fast.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("frame", "x", "y"))).alias("t"))
-    gone = folded.select(*_TRACK, F.explode(F.array_except(F.transform("t", lambda r: r["frame"]), _fold(config))).alias("frame")).withColumn("_gone", F.lit("displacement"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fast.select(*_TRACK).schema)
+    gone = fast.select(*_TRACK, "frame", "x", "y").groupBy(*_TRACK).applyInPandas(_gone(config), f"{kinds}, frame long").withColumn("_gone", F.lit("displacement"))
     return rows.join(gone, [*_TRACK, "frame"], "left").withColumn("reject_stage", F.coalesce("reject_stage", "_gone")).drop("_gone")
 
 

@@ -7,6 +7,8 @@ end of a clip, are found afterwards with windows over one row for each track.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,7 @@ from trackmend.config import Config
 
 IMPOSSIBLE = 1e6
 _BOX = ["x1", "y1", "x2", "y2"]
+_PLACE = ["cid", "island", "frame"]
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -23,6 +26,7 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     if not cost.size:
         return []
     flipped = cost.shape[0] > cost.shape[1]
+    cost = np.where(np.isfinite(cost), cost, IMPOSSIBLE)
     c = cost.T if flipped else cost
     n, m = c.shape
     row_price, col_price = np.zeros(n), np.zeros(m)
@@ -81,7 +85,7 @@ class Linker:
                     common = np.clip(np.minimum(boxes[:, 2], held[2]) - np.maximum(boxes[:, 0], held[0]), 0, None) * np.clip(np.minimum(boxes[:, 3], held[3]) - np.maximum(boxes[:, 1], held[1]), 0, None)
                     union = area + max(0.0, held[2] - held[0]) * max(0.0, held[3] - held[1]) - common
                     value = away - c.association_iou_weight * np.where((common > 0) & (union > 0), common / np.where(union > 0, union, 1), 0.0) * gate
-                cost[i] = np.where(away > gate, IMPOSSIBLE, value)
+                cost[i] = np.where(away <= gate, value, IMPOSSIBLE)
             for i, j in assign(cost):
                 if cost[i, j] < IMPOSSIBLE:
                     t = self.live[i]
@@ -110,19 +114,36 @@ def associate(candidates: DataFrame, frames: DataFrame, config: Config, split: b
     by clip once; all numbering is by windows over that.
     """
     rows = islands(candidates, config) if split else candidates.withColumn("island", F.lit(0).cast("long"))
-    schema = rows.drop("island").schema.add("local", "long").add("island", "long")
-
-    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        one = rows.sort_values(["frame", "cand_idx"], kind="stable").reset_index(drop=True)
-        linker, numbers = Linker(config), []
-        boxes, frame = one[_BOX].to_numpy(float), one["frame"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(one)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            numbers += linker.step(int(frame[a]), boxes[a:b])
-        return one.assign(local=np.array(numbers, np.int64), island=np.int64(key[1]))[[f.name for f in schema]]
+    schema = rows.schema.add("local", "long")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by clip, island and frame; only live tracks and a batch are in memory."""
+        linker, of, held = Linker(config), None, None
+
+        def done(some: pd.DataFrame) -> pd.DataFrame:
+            nonlocal linker, of
+            clip, island, frame = (some[c].to_numpy() for c in _PLACE)
+            boxes, numbers = some[_BOX].to_numpy(float), []
+            cuts = [0, *(np.flatnonzero((clip[1:] != clip[:-1]) | (island[1:] != island[:-1]) | (frame[1:] != frame[:-1])) + 1).tolist(), len(some)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if of != (clip[a], island[a]):
+                    linker, of = Linker(config), (clip[a], island[a])
+                numbers += linker.step(int(frame[a]), boxes[a:b])
+            return some.assign(local=np.array(numbers, np.int64))
+
+        for batch in batches:
+            some = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(some):
+                clip, island, frame = (some[c].to_numpy() for c in _PLACE)
+                whole = int(np.argmax((clip == clip[-1]) & (island == island[-1]) & (frame == frame[-1])))  # the last frame may go on
+                if whole:
+                    yield done(some.iloc[:whole])
+                held = some.iloc[whole:]
+        if held is not None and len(held):
+            yield done(held)
 
     of_track = Window.partitionBy("cid", "island", "local")
-    linked = rows.groupBy("cid", "island").applyInPandas(link, schema).repartition("cid")
+    linked = rows.repartition("cid", "island").sortWithinPartitions(*_PLACE, "cand_idx").mapInPandas(link, schema).repartition("cid")
     linked = linked.withColumn("_first", F.min(F.struct("frame", "cand_idx")).over(of_track)).withColumn("_at", F.max("frame").over(of_track) + config.give_up_frames)
     # the frame that ends a track is the first one beyond its silence
     stops = frames.select("cid", F.col("frame").alias("_at"), F.lit(True).alias("_stop"))
@@ -134,12 +155,14 @@ def associate(candidates: DataFrame, frames: DataFrame, config: Config, split: b
     return numbered.drop("_first", "_at", "_stop", "_end", "island", "local")
 
 
-def build_loose_tracks(detections: DataFrame, frames: DataFrame, config: Config) -> DataFrame:
-    """Merged candidates linked with every other gate open."""
-    from trackmend.operators.merge import merge_duplicates
+def build_loose_tracks(detections: DataFrame, frames: DataFrame, config: Config, loose: Config | None = None) -> DataFrame:
+    """Merged candidates linked with every gate open that can be: boxes without a width or height, or with a coordinate
+    that isn't finite, are no candidates even so.  ``loose`` has other gates than the open ones of ``config.loose()``."""
+    from trackmend.operators.rejects import finite, geometric_reject
 
-    loose = config.loose()
-    return associate(merge_duplicates(detections, loose), frames, loose)
+    loose = loose or config.loose()
+    live = geometric_reject(finite(detections), loose).where("reject_stage is null").drop("reject_stage")
+    return associate(live, frames, loose)
 
 
 def stable_tracks(tracked: DataFrame, least: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackmend.config import Config
 from trackmend.operators.camera import vio_at_frame
 from trackmend.operators.gaps import interpolate_tracks, rejected_rows
-from trackmend.operators.rejects import finite, geometric_reject
+from trackmend.operators.rejects import finite, geometric_reject, quarantine
 from trackmend.operators.selection import select_cap
 from trackmend.operators.temporal import reject_temporal
 from trackmend.operators.tracking import associate
@@ -16,11 +16,12 @@ from trackmend.operators.tracking import associate
 
 def staged(detections: DataFrame, frames: DataFrame, vio: DataFrame, config: Config, disparity: DataFrame | None = None) -> DataFrame:
     """Every candidate once, with its track (null if it was rejected before tracking) and the stage that rejects it.
+    Boxes with a coordinate or confidence that isn't finite are rejected first, each by itself.
 
     Candidates, and the staged rows in ``correct_detections``, are read by several branches: they are persisted, which
     survives lost executors; ``spark.catalog.clearCache()`` frees them.
     """
-    candidates = geometric_reject(finite(detections), config, disparity).persist()
+    candidates = geometric_reject(finite(detections), config, disparity).unionByName(quarantine(detections)).persist()
     early = candidates.where("reject_stage is not null")
     live = candidates.where("reject_stage is null")
     # the camera's state joins before tracking, so that one dealing by clip serves all that follows
@@ -43,6 +44,6 @@ def correct_detections(detections: DataFrame, frames: DataFrame, vio: DataFrame,
 def stage_survivor_ids(rows: DataFrame) -> DataFrame:
     """(cid, det_id, geometric, temporal, cap): whether each box is alive after the stages."""
     stage = F.col("reject_stage")
-    geometric = stage.isNull() | ~stage.isin("size", "shape", "stereo_reach")
+    geometric = stage.isNull() | ~stage.isin("size", "shape", "stereo_reach", "not_finite")
     temporal = geometric & (stage.isNull() | (stage == "cap"))
     return rows.select("cid", F.explode("source_ids").alias("det_id"), geometric.alias("geometric"), temporal.alias("temporal"), stage.isNull().alias("cap"))

@@ -15,7 +15,7 @@ SELECT cid, frame, CAST(row_number() OVER (PARTITION BY cid ORDER BY frame, lane
 FROM (SELECT CAST(floor(l_orderkey / 500) AS BIGINT) AS cid, CAST(l_orderkey % 500 AS BIGINT) AS frame,
              CAST(l_linenumber AS BIGINT) AS lane, l_partkey, l_suppkey, l_quantity, l_extendedprice,
              CAST(l_partkey % 97 AS INT) AS kind,
-             (50 + l_quantity) / CAST(100 AS DOUBLE) AS confidence,
+             (14 + l_quantity) / CAST(64 AS DOUBLE) AS confidence,
              CAST(250 * l_linenumber + ((l_suppkey % 9) - 4) AS DOUBLE) + CAST(abs((l_orderkey % 40) - 20) AS DOUBLE) * CAST(1.5 AS DOUBLE) AS cx,
              CAST(600 + ((l_partkey % 11) - 5) + CASE WHEN l_partkey % 97 = 2 THEN 300 ELSE 0 END AS DOUBLE) AS cy,
              CASE WHEN l_partkey % 97 = 0 THEN CAST(20 AS DOUBLE) WHEN l_partkey % 97 = 1 THEN CAST(30 AS DOUBLE) ELSE 120 + l_quantity END AS w,
@@ -48,6 +48,9 @@ CONFIG = Config(
 )
 #: Under which tracks are just the lanes, cut where they are silent for more than five frames.
 LANES = CONFIG.but(max_speed_px_per_frame=0.0, resume_gate_px=120.0, max_dropout_frames=2)
+#: The same for whole jobs: a candidate is never further than 87 px from where its own lane's track is expected and never
+#: nearer than 160 px to another's (boxes displaced by 300 px are lanes of their own), while gates go from 83 to 115 px.
+CHAIN = CONFIG.but(max_speed_px_per_frame=8.0, resume_gate_px=75.0, max_dropout_frames=2)
 
 
 class Fixture:

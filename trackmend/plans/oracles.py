@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trackmend.config import Config
-from trackmend.plans.fixtures import CONFIG, LANES, PREFIX
+from trackmend.plans.fixtures import CHAIN, CONFIG, PREFIX
 
 C = CONFIG
 
@@ -120,25 +120,78 @@ def pct(value: str, name: str, at: tuple[float, ...], where: str = "true") -> st
     return ", ".join(f"round(quantile_cont({value}, {p / 100}) FILTER (WHERE {where}), 6) AS {f'{name}_p{p}'.replace('.', '_')}" for p in at)
 
 
-DISPLACED = f"""
-num AS (SELECT *, row_number() OVER (PARTITION BY cid, track_id ORDER BY frame) AS rn FROM fx_tracked),
+def displaced(source: str, config: Config = C) -> str:
+    return f"""
+num AS (SELECT *, row_number() OVER (PARTITION BY cid, track_id ORDER BY frame) AS rn FROM {source}),
 fold AS (
   SELECT cid, track_id, rn, frame, frame AS kf, {cx()} AS kx, {cy()} AS ky, false AS gone FROM num WHERE rn = 1
   UNION ALL
   SELECT n.cid, n.track_id, n.rn, n.frame, CASE WHEN g THEN kf ELSE n.frame END, CASE WHEN g THEN kx ELSE {cx("n.")} END, CASE WHEN g THEN ky ELSE {cy("n.")} END, g
-  FROM (SELECT n.*, f.kf, f.kx, f.ky, sqrt(({cx("n.")} - f.kx) * ({cx("n.")} - f.kx) + ({cy("n.")} - f.ky) * ({cy("n.")} - f.ky)) / greatest(1, n.frame - f.kf) > {C.max_speed_px_per_frame} AS g
+  FROM (SELECT n.*, f.kf, f.kx, f.ky, sqrt(({cx("n.")} - f.kx) * ({cx("n.")} - f.kx) + ({cy("n.")} - f.ky) * ({cy("n.")} - f.ky)) / greatest(1, n.frame - f.kf) > {config.max_speed_px_per_frame} AS g
         FROM fold f JOIN num n ON n.cid = f.cid AND n.track_id = f.track_id AND n.rn = f.rn + 1) n
 )"""
+
+
+DISPLACED = displaced("fx_tracked")
 _H = C.static_window_frames // 2
-STATIC = f"""{RATE},
-lit AS (SELECT t.*, {MOVING} AS moving FROM fx_tracked t JOIN lastpose l USING (cid) JOIN rate r ON r.cid = t.cid AND r.idx = greatest(0, least(t.frame, l.last))),
-stp AS (SELECT *, {f"sqrt(({cx()} - lag({cx()}) OVER w) * ({cx()} - lag({cx()}) OVER w) + ({cy()} - lag({cy()}) OVER w) * ({cy()} - lag({cy()}) OVER w))"} / greatest(1, frame - lag(frame) OVER w) AS sp FROM lit WINDOW w AS (PARTITION BY cid, track_id ORDER BY frame)),
+_STEP = f"sqrt(({cx()} - lag({cx()}) OVER w) * ({cx()} - lag({cx()}) OVER w) + ({cy()} - lag({cy()}) OVER w) * ({cy()} - lag({cy()}) OVER w))"
+
+
+def static(source: str) -> str:
+    """CTEs up to ``win``, whose rows are static where ``IS_STATIC`` holds."""
+    return f"""{RATE},
+lit AS (SELECT t.*, {MOVING} AS moving FROM {source} t JOIN lastpose l USING (cid) JOIN rate r ON r.cid = t.cid AND r.idx = greatest(0, least(t.frame, l.last))),
+stp AS (SELECT *, {_STEP} / greatest(1, frame - lag(frame) OVER w) AS sp FROM lit WINDOW w AS (PARTITION BY cid, track_id ORDER BY frame)),
 win AS (SELECT *, count(*) OVER a AS wn, max(frame) OVER a - min(frame) OVER a AS span, avg(sp) OVER p AS ms, avg(CASE WHEN sp IS NOT NULL THEN CASE WHEN moving THEN 1.0 ELSE 0.0 END END) OVER p AS mm, count(*) OVER (PARTITION BY cid, track_id) AS tn FROM stp
   WINDOW a AS (PARTITION BY cid, track_id ORDER BY frame ROWS BETWEEN {_H} PRECEDING AND {_H} FOLLOWING), p AS (PARTITION BY cid, track_id ORDER BY frame ROWS BETWEEN {_H - 1} PRECEDING AND {_H} FOLLOWING))"""
-LANE_TRACKS = f"""{merged("kind > 2")},
-lane AS (SELECT c.*, d.lane FROM cand c JOIN fx_detections d ON d.cid = c.cid AND d.det_id = c.source_ids[1]),
-cut AS (SELECT *, coalesce(sum(CASE WHEN frame - pf > {LANES.give_up_frames} THEN 1 ELSE 0 END) OVER (PARTITION BY cid, lane ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS isl FROM (SELECT *, lag(frame) OVER (PARTITION BY cid, lane ORDER BY frame) AS pf FROM lane) u),
-trk AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ff, fi) - 1 AS track_id FROM (SELECT cid, lane, isl, min(frame) AS ff, max(frame) AS lf, arg_min(cand_idx, frame) AS fi FROM cut GROUP BY 1, 2, 3) v)"""
+
+
+STATIC = static("fx_tracked")
+IS_STATIC = f"tn >= 2 AND wn >= {max(3, _H)} AND span > 0 AND CAST(wn AS DOUBLE) / (span + 1) >= 0.5 AND ms < {C.static_motion_px_threshold} AND mm > 0.6"
+
+
+def temporal(source: str, config: Config = C) -> str:
+    """CTEs up to ``tmp``: the rows of ``source`` with the stage of the three rules for tracks as ``st2``."""
+    return f"""{displaced(source, config)},
+dsp AS (SELECT t.*, f.gone FROM {source} t JOIN fold f ON f.cid = t.cid AND f.track_id = t.track_id AND f.frame = t.frame),
+uns AS (SELECT *, CASE WHEN gone THEN 'displacement' WHEN count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY cid, track_id) < {config.min_track_len_supported} THEN 'unsupported' END AS st FROM dsp),
+calm AS (SELECT * FROM uns WHERE st IS NULL),
+{static("calm")},
+tmp AS (SELECT u.*, CASE WHEN st IS NOT NULL THEN st WHEN w.cid IS NOT NULL THEN 'static' END AS st2 FROM uns u LEFT JOIN (SELECT cid, track_id, frame FROM win WHERE {IS_STATIC}) w ON w.cid = u.cid AND w.track_id = u.track_id AND w.frame = u.frame)"""
+
+
+def lanes(source: str, n: str = "") -> str:
+    """CTEs up to ``tk``: the candidates of ``source`` with the tracks and their order.  Lanes are cut where they are
+    silent for too long; a displaced box is in a lane of its own.  ``n`` ends the names of the CTEs."""
+    give_up = CHAIN.give_up_frames
+    return f"""
+lane{n} AS (SELECT c.*, d.lane * 2 + CASE WHEN d.kind = 2 THEN 1 ELSE 0 END AS lane FROM {source} c JOIN fx_detections d ON d.cid = c.cid AND d.det_id = c.source_ids[1]),
+cut{n} AS (SELECT *, coalesce(sum(CASE WHEN frame - pf > {give_up} THEN 1 ELSE 0 END) OVER (PARTITION BY cid, lane ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS isl FROM (SELECT *, lag(frame) OVER (PARTITION BY cid, lane ORDER BY frame) AS pf FROM lane{n}) u),
+trk{n} AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ff, fi) - 1 AS track_id FROM (SELECT cid, lane, isl, min(frame) AS ff, max(frame) AS lf, arg_min(cand_idx, frame) AS fi FROM cut{n} GROUP BY 1, 2, 3) v),
+ends{n} AS (SELECT t.cid, t.track_id, min(f.frame) AS stop FROM trk{n} t LEFT JOIN fx_frames f ON f.cid = t.cid AND f.frame > t.lf + {give_up} GROUP BY 1, 2),
+ord{n} AS (SELECT cid, track_id, row_number() OVER (PARTITION BY cid ORDER BY stop NULLS LAST, track_id) - 1 AS track_ord FROM ends{n}),
+tk{n} AS (SELECT c.cid, c.frame, c.cand_idx, c.x1, c.y1, c.x2, c.y2, c.confidence, c.source_ids, c.source_ids[1] AS det_id, c.was_merged, CAST(t.track_id AS BIGINT) AS track_id, CAST(o.track_ord AS BIGINT) AS track_ord
+       FROM cut{n} c JOIN trk{n} t ON t.cid = c.cid AND t.lane = c.lane AND t.isl = c.isl JOIN ord{n} o ON o.cid = t.cid AND o.track_id = t.track_id)"""
+
+
+#: The boxes that pass the rules for single boxes, in their tracks.
+LANE_TRACKS = f"{merged()}, {GEO}, live0 AS (SELECT * FROM geo WHERE stage IS NULL), {lanes('live0')}"
+#: All merged boxes but tiny ones.
+LOOSE_LIVE = f"AS (SELECT * FROM cand WHERE {area()} >= {C.min_area_px2})"
+LOOSE_TRACKS = f"{merged()}, live0 {LOOSE_LIVE}, {lanes('live0')}"
+#: The whole correction: ``stg`` has every candidate with its stage, ``out`` the output rows.
+CHAINED = f"""{LANE_TRACKS}, {temporal("tk", CHAIN)},
+sup AS (SELECT *, count(*) OVER (PARTITION BY cid, track_id) AS nf, avg(confidence) OVER (PARTITION BY cid, track_id) AS mc FROM tmp WHERE st2 IS NULL),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY cid, frame ORDER BY nf DESC, mc DESC, track_ord) AS rk FROM sup),
+stg AS (SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, stage FROM geo WHERE stage IS NOT NULL
+        UNION ALL SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, st2 FROM tmp WHERE st2 IS NOT NULL
+        UNION ALL SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, CASE WHEN rk > {CHAIN.class_max} THEN 'cap' END FROM rnk),
+kept AS (SELECT * FROM rnk WHERE rk <= {CHAIN.class_max}),
+{gaps("kept", CHAIN)}, {SPLIT}, {FILL},
+out AS (SELECT cid, frame, x1, y1, x2, y2, 'rejected' AS status, confidence, CAST(NULL AS BIGINT) AS track_id, stage AS reject_stage, source_ids FROM stg WHERE stage IS NOT NULL
+        UNION ALL SELECT cid, frame, x1, y1, x2, y2, CASE WHEN was_merged THEN 'merged' ELSE 'reported' END, confidence, out_id, NULL, source_ids FROM spl
+        UNION ALL SELECT cid, frame, x1, y1, x2, y2, 'interpolated', NULL, track_id, NULL, [] FROM fil)"""
+SURVIVORS = "sv AS (SELECT cid, unnest(source_ids) AS det_id, stage IS NULL OR stage NOT IN ('size', 'shape') AS geometric, stage IS NULL OR stage = 'cap' AS temporal, stage IS NULL AS cap FROM stg)"
 
 
 def trials_sql(k: int) -> str:

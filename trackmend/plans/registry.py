@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmend.config import Config
 from trackmend.functions import geometry as g
 from trackmend.operators import audit, calibration, camera, gaps, merge, rejects, selection, stereo, temporal, tracking, validation
 from trackmend.plans import oracles as o
 from trackmend.plans.correct import correct_detections, stage_survivor_ids, staged
-from trackmend.plans.fixtures import CONFIG, LANES, Fixture
+from trackmend.plans.fixtures import CHAIN, CONFIG, LANES, Fixture
 from trackmend.sources import bundles, sinks
 from trackmend.streaming.associate import associate_stream
 
@@ -21,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _BOX = ["x1", "y1", "x2", "y2"]
+#: Gates for loose tracks that SQL can follow: two tiny boxes of a lane may stand apart, so these are left out.
+LOOSE = CONFIG.loose().but(min_area_px2=CONFIG.min_area_px2, max_speed_px_per_frame=CHAIN.max_speed_px_per_frame, resume_gate_px=CHAIN.resume_gate_px, max_dropout_frames=CHAIN.max_dropout_frames)
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Fixture], DataFrame]], Callable[[Fixture], DataFrame]]:
@@ -160,40 +163,49 @@ def vio_at_frame(fx: Fixture) -> DataFrame:
 # tracking
 
 
-@query(o.q(o.LANE_TRACKS, "SELECT c.cid, c.frame, c.cand_idx, CAST(t.track_id AS BIGINT) AS track_id, CAST(dense_rank() OVER (PARTITION BY c.cid ORDER BY e.stop NULLS LAST, t.track_id) - 1 AS BIGINT) AS track_ord FROM cut c JOIN trk t USING (cid, lane, isl) JOIN (SELECT t.cid, t.track_id, min(f.frame) AS stop FROM trk t LEFT JOIN fx_frames f ON f.cid = t.cid AND f.frame > t.lf + 5 GROUP BY 1, 2) e ON e.cid = t.cid AND e.track_id = t.track_id"))
+def _candidates(fx: Fixture) -> DataFrame:
+    return rejects.geometric_reject(fx.detections, CHAIN).where("reject_stage is null").drop("reject_stage")
+
+
+@query(o.q(o.LANE_TRACKS, "SELECT cid, frame, cand_idx, track_id, track_ord FROM tk"))
 def associate(fx: Fixture) -> DataFrame:
-    candidates = merge.merge_duplicates(fx.detections.where("kind > 2"), LANES)
-    return tracking.associate(candidates, fx.frames, LANES).select("cid", "frame", "cand_idx", "track_id", "track_ord")
+    return tracking.associate(_candidates(fx), fx.frames, CHAIN).select("cid", "frame", "cand_idx", "track_id", "track_ord")
 
 
-@query(o.q(o.LANE_TRACKS, "SELECT c.cid, c.frame, c.cand_idx, CAST(t.track_id AS BIGINT) AS track_id, false AS late FROM cut c JOIN trk t USING (cid, lane, isl)"))
+@query(o.q(o.LANE_TRACKS, "SELECT cid, frame, cand_idx, track_id, false AS late FROM tk"))
 def associate_stream_query(fx: Fixture) -> DataFrame:
-    return _streamed(fx, merge.merge_duplicates(fx.detections.where("kind > 2"), LANES))
+    return _streamed(fx, _candidates(fx), CHAIN)
 
 
 @query(o.q(o.merged(), "SELECT cid, frame, cand_idx, false AS late, true AS same FROM cand"))
 def associate_all_candidates(fx: Fixture) -> DataFrame:
-    """Tiny, narrow and displaced boxes too: whether the stream gives each candidate the batch operator's number."""
+    """Boxes that single-box rules would reject, too: whether the stream gives each candidate the batch operator's number."""
     candidates = merge.merge_duplicates(fx.detections, LANES)
     batch = tracking.associate(candidates, fx.frames, LANES).select("cid", "frame", "cand_idx", F.col("track_id").alias("number"))
-    both = _streamed(fx, candidates).join(batch, ["cid", "frame", "cand_idx"], "full")
+    both = _streamed(fx, candidates, LANES).join(batch, ["cid", "frame", "cand_idx"], "full")
     return both.select("cid", "frame", "cand_idx", "late", F.col("track_id").eqNullSafe(F.col("number")).alias("same"))
 
 
-def _streamed(fx: Fixture, candidates: DataFrame) -> DataFrame:
+def _streamed(fx: Fixture, candidates: DataFrame, config: Config) -> DataFrame:
     spark = fx.spark
     source, out, marks = (_folder(spark, f"stream-{n}") for n in ("in", "out", "marks"))
     candidates.write.parquet(source)
     live = spark.readStream.schema(candidates.schema).parquet(source)
-    associate_stream(live, LANES).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    associate_stream(live, config, idle_ms=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
 @query()
 def build_loose_tracks(fx: Fixture) -> DataFrame:
+    """With the open gates of production, under which lanes compete for boxes: no SQL."""
     return tracking.build_loose_tracks(fx.detections, fx.frames, CONFIG).select("cid", "frame", "cand_idx", "track_id", "track_ord")
 
 
+@query(o.q(o.LOOSE_TRACKS, "SELECT cid, frame, cand_idx, track_id, track_ord FROM tk"))
+def build_loose_tracks_of_lanes(fx: Fixture) -> DataFrame:
+    return tracking.build_loose_tracks(fx.detections, fx.frames, CONFIG, LOOSE).select("cid", "frame", "cand_idx", "track_id", "track_ord")
+
+
 @query(o.q(o.STABLE, "SELECT cid, track_id, frame FROM stable"))
 def stable_tracks(fx: Fixture) -> DataFrame:
     return tracking.stable_tracks(fx.tracked).select("cid", "track_id", "frame")
@@ -218,13 +230,13 @@ def reject_unsupported(fx: Fixture) -> DataFrame:
     return temporal.reject_unsupported(short, CONFIG).select("cid", "track_id", "frame", "reject_stage")
 
 
-@query(o.q(o.STATIC, f"SELECT cid, track_id, frame, CASE WHEN tn >= 2 AND wn >= {max(3, 7)} AND span > 0 AND CAST(wn AS DOUBLE) / (span + 1) >= 0.5 AND ms < 4.0 AND mm > 0.6 THEN 'static' END AS reject_stage FROM win"))
+@query(o.q(o.STATIC, f"SELECT cid, track_id, frame, CASE WHEN {o.IS_STATIC} THEN 'static' END AS reject_stage FROM win"))
 def reject_static(fx: Fixture) -> DataFrame:
     rows = camera.vio_at_frame(fx.tracked, fx.vio, CONFIG)
     return temporal.reject_static(rows, CONFIG).select("cid", "track_id", "frame", "reject_stage")
 
 
-@query()
+@query(o.q(o.temporal("fx_tracked"), "SELECT cid, track_id, frame, st2 AS reject_stage FROM tmp"))
 def reject_temporal(fx: Fixture) -> DataFrame:
     rows = camera.vio_at_frame(fx.tracked, fx.vio, CONFIG)
     return temporal.reject_temporal(rows, CONFIG).select("cid", "track_id", "frame", "reject_stage")
@@ -300,22 +312,67 @@ def completeness_check(fx: Fixture) -> DataFrame:
     return audit.completeness_check(fx.detections.where("kind <> 5 or lane > 2"), out.unionByName(twice)).withColumn("n_output", F.col("n_output").cast("long"))
 
 
-@query(o.q("", "SELECT cid, CAST(count(*) AS BIGINT) AS total_raw, CAST(count(*) AS BIGINT) AS accounted, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS n_duplicated, true AS ok FROM fx_detections GROUP BY cid"))
+def _corrected(fx: Fixture) -> DataFrame:
+    return correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN)
+
+
+_ACCOUNT = "SELECT cid, CAST(count(*) AS BIGINT) AS total_raw, CAST(count(*) AS BIGINT) AS accounted, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS n_duplicated, true AS ok FROM fx_detections GROUP BY cid"
+_SPOILT = "double(CASE WHEN det_id % 50 = 7 THEN 'NaN' WHEN det_id % 50 = 9 THEN 'Infinity' WHEN det_id % 50 <> 11 THEN x1 END)"
+
+
+@query(o.q("", _ACCOUNT))
 def correct_detections_account(fx: Fixture) -> DataFrame:
     """The whole correction accounts for each box once, in every clip."""
     out = correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG)
     return audit.completeness_summary(audit.completeness_check(fx.detections, out))
 
 
-@query()
+@query(o.q("", f"SELECT a.*, CAST(n AS BIGINT) AS not_finite FROM ({_ACCOUNT}) a JOIN (SELECT cid, count(*) FILTER (WHERE det_id % 50 IN (7, 9, 11)) AS n FROM fx_detections GROUP BY 1) u USING (cid)"))
+def correct_spoilt_detections_account(fx: Fixture) -> DataFrame:
+    """The same where every fiftieth coordinate isn't a number, every fiftieth is infinite and every fiftieth is missing."""
+    spoilt = fx.detections.withColumn("x1", F.expr(_SPOILT))
+    out = correct_detections(spoilt, fx.frames, fx.vio, fx.clips, CHAIN)
+    odd = out.where("reject_stage = 'not_finite'").groupBy("cid").agg(F.count(F.lit(1)).alias("not_finite"))
+    return audit.completeness_summary(audit.completeness_check(spoilt, out)).join(odd, "cid")
+
+
+@query(o.q(o.CHAINED, f"SELECT cid, frame, {o.BOX6}, status, round(confidence, 6) AS confidence, track_id, reject_stage, array_to_string(source_ids, ',') AS source_ids FROM out"))
 def correct_detections_rows(fx: Fixture) -> DataFrame:
-    out = correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG)
-    return audit.sort_finalized(out).select("cid", "frame", *[r6(c) for c in _BOX], "status", r6("confidence"), "track_id", "reject_stage", joined("source_ids"))
+    return audit.sort_finalized(_corrected(fx)).select("cid", "frame", *[r6(c) for c in _BOX], "status", r6("confidence"), "track_id", "reject_stage", joined("source_ids"))
 
 
-@query()
+_SUMMARY = f"{o.CHAINED}, acc AS ({_ACCOUNT}), cnt AS (SELECT cid, " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{s}') AS BIGINT) AS {s}" for s in ("reported", "merged", "rejected", "interpolated")) + " FROM out GROUP BY 1)"
+
+
+@query(o.q(_SUMMARY, "SELECT * FROM acc JOIN cnt USING (cid)"))
 def run_summary(fx: Fixture) -> DataFrame:
-    return sinks.run_summary(fx.detections, correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG))
+    return sinks.run_summary(fx.detections, _corrected(fx))
+
+
+@query(o.q(_SUMMARY, "SELECT * FROM acc JOIN cnt USING (cid)"))
+def write_run_summary(fx: Fixture) -> DataFrame:
+    path = _folder(fx.spark, "summary")
+    sinks.write_run_summary(fx.detections, _corrected(fx), path)
+    return fx.spark.read.schema("cid long, total_raw long, accounted long, missing long, n_duplicated long, ok boolean, reported long, merged long, rejected long, interpolated long").json(path)
+
+
+@query(o.q(_FIN, f"SELECT cid, frame, status, track_id, {o.BOX6} FROM fin"))
+def corrected_documents(fx: Fixture) -> DataFrame:
+    """One document for each clip, taken apart again."""
+    rows = sinks.corrected_documents(_final(fx)).select("cid", F.explode("detections").alias("d"))
+    return rows.select("cid", "d.frame", "d.status", "d.track_id", *[r6(F.col(f"d.{c}"), c) for c in _BOX])
+
+
+@query(o.q("", f"SELECT cid, frame, {o.BOX6}, CAST(1234.5 AS DOUBLE) AS min_area_px2 FROM fx_detections WHERE {o.area()} >= 1234.5"))
+def config_round_trip(fx: Fixture) -> DataFrame:
+    """Boxes that pass a rule whose threshold was saved and loaded again."""
+    from trackmend.config import load_config, save_config
+
+    path = _folder(fx.spark, "config")
+    save_config(fx.spark, CONFIG.but(min_area_px2=1234.5, max_area_px2=1e12), path)
+    config = load_config(fx.spark, path)
+    live = rejects.reject_size(fx.detections, config).where("reject_stage is null")
+    return live.select("cid", "frame", *[r6(c) for c in _BOX], F.lit(config.min_area_px2).alias("min_area_px2"))
 
 
 # calibration
@@ -422,11 +479,30 @@ ORACLES["derive_config"] = o.q(
 
 @query()
 def calibrate(fx: Fixture) -> DataFrame:
+    """With the open gates of production, under which lanes compete for boxes: no SQL."""
     from trackmend.plans.calibrate import calibrate as run
 
     return _rounded(run(fx.detections, fx.frames, fx.vio, fx.disparity, CONFIG)[0])
 
 
+def _over(sql: str, tracks: str) -> str:
+    """A query over ``fx_tracked``, over ``tk`` instead."""
+    head, tail = sql[: len(o.PREFIX)], sql[len(o.PREFIX) :]
+    return f"{head}, {tracks} {tail.replace('fx_tracked', 'tk')}"
+
+
+# the static threshold depends on the camera's percentiles
+_AT = "(speed > (SELECT quantile_cont(speed, 0.4) FROM rate) OR ang_rate > (SELECT quantile_cont(ang_rate, 0.4) FROM rate))"
+ORACLES["calibrate_of_lanes"] = _over(ORACLES["derive_config"].replace(o.MOVING, _AT), o.LOOSE_TRACKS)
+
+
+@query(ORACLES["calibrate_of_lanes"])
+def calibrate_of_lanes(fx: Fixture) -> DataFrame:
+    from trackmend.plans.calibrate import calibrate as run
+
+    return _rounded(run(fx.detections, fx.frames, fx.vio, fx.disparity, CONFIG, loose=LOOSE)[0])
+
+
 # validation
 
 _REAL = o.STABLE + ", rl AS (SELECT DISTINCT cid, det_id FROM stable), sv AS (SELECT cid, det_id, det_id % 13 <> 0 AS geometric, det_id % 13 <> 0 AND det_id % 7 <> 0 AS temporal, det_id % 13 <> 0 AND det_id % 7 <> 0 AND det_id % 3 <> 0 AS cap FROM fx_detections)"
@@ -459,9 +535,9 @@ def stage_summary(fx: Fixture) -> DataFrame:
     return _rounded(validation.stage_summary(validation.proxy_precision_recall(fx.detections, _survivors(fx), _real(fx))))
 
 
-@query()
+@query(o.q(f"{o.CHAINED}, {o.SURVIVORS}", "SELECT cid, det_id, geometric, temporal, cap FROM sv"))
 def stage_survivor_ids_rows(fx: Fixture) -> DataFrame:
-    return stage_survivor_ids(staged(fx.detections, fx.frames, fx.vio, CONFIG))
+    return stage_survivor_ids(staged(fx.detections, fx.frames, fx.vio, CHAIN))
 
 
 _COVER = f"{_FIN}, {o.STABLE}, half AS (SELECT * FROM fin WHERE (det_id IS NULL OR det_id % 2 = 0)), cov AS (SELECT s.cid, s.frame, s.track_id, coalesce(bool_or({o.dist('s.', 'f.')} <= greatest({o.diag('s.')}, 1.0)), false) AS covered, coalesce(bool_or({o.dist('s.', 'f.')} <= greatest({o.diag('s.')}, 1.0) AND f.status <> 'interpolated'), false) AS covered_without FROM stable s LEFT JOIN half f ON f.cid = s.cid AND f.frame = s.frame GROUP BY 1, 2, 3)"
@@ -531,8 +607,30 @@ def synthetic_dropout_sampled(fx: Fixture) -> DataFrame:
     return _rounded(validation.synthetic_dropout_summary(validation.synthetic_dropout_eval(fx.tracked, fx.clips, CONFIG, trials)))
 
 
+_REAL_LANES = f"live1 {o.LOOSE_LIVE}, {o.lanes('live1', '1')}"
+_VALID = f"{o.CHAINED}, {o.SURVIVORS}, {_REAL_LANES}, rl AS (SELECT DISTINCT cid, unnest(source_ids) AS det_id FROM (SELECT *, count(*) OVER (PARTITION BY cid, track_id) AS n30 FROM tk1) t WHERE n30 >= 30), " + _PROXY[_PROXY.index("al AS") :]
+
+
+@query(o.q(_VALID, "SELECT stage, round(avg(precision_proxy), 6) AS mean_precision_proxy, round(avg(recall_proxy), 6) AS mean_recall_proxy FROM pr2 GROUP BY 1"))
+def validate_corpus_of_lanes(fx: Fixture) -> DataFrame:
+    from trackmend.plans.validate import validate_corpus as run
+
+    return _rounded(run(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN, loose=LOOSE)["stage_summary"])
+
+
+@query(o.q(f"{o.CHAINED}, dc AS (SELECT cid, status, CAST(count(*) AS BIGINT) AS n FROM out GROUP BY 1, 2)", "SELECT * FROM dc"))
+def write_reports(fx: Fixture) -> DataFrame:
+    """The reports of a validation, written; one of them read back."""
+    from trackmend.plans.validate import validate_corpus as run
+
+    path = _folder(fx.spark, "reports")
+    sinks.write_reports(run(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN, loose=LOOSE), path)
+    return fx.spark.read.schema("cid long, status string, n long").json(f"{path}/status_counts")
+
+
 @query()
 def validate_corpus(fx: Fixture) -> DataFrame:
+    """With the open gates of production, under which lanes compete for boxes: no SQL."""
     from trackmend.plans.validate import validate_corpus as run
 
     return _rounded(run(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG)["stage_summary"])
@@ -619,13 +717,11 @@ def _pages(fx: Fixture) -> DataFrame:
     return fx.spark.read.parquet(f"{fx.dir}/pages.parquet").select(F.col("page_id").alias("cid"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("b"))
 
 
-@query("SELECT page_id AS cid, CAST(0 AS BIGINT) AS frame, CAST(page_id % 9 AS DOUBLE) AS disp FROM pages WHERE strlen(html) >= 48 * 80")
-def box_disparity(fx: Fixture) -> DataFrame:
-    """Only pages of 48 rows or more, as its SQL has it; ``box_disparity_all_pages`` takes every page."""
-    return _page_disparity(_pages(fx).where("length(b) >= 48 * 80"))
-
-
 @query("SELECT page_id AS cid, CAST(0 AS BIGINT) AS frame, CASE WHEN h - 2 * (h // 6) >= 8 THEN CAST(page_id % 9 AS DOUBLE) END AS disp FROM (SELECT page_id, strlen(coalesce(html, '')) // 80 AS h FROM pages) p")
-def box_disparity_all_pages(fx: Fixture) -> DataFrame:
+def box_disparity(fx: Fixture) -> DataFrame:
     """Every page; a box lower than 8 pixels has no disparity."""
     return _page_disparity(_pages(fx))
+
+
+ORACLES["box_disparity_all_pages"] = ORACLES["box_disparity"]
+QUERIES["box_disparity_all_pages"] = QUERIES["box_disparity"]

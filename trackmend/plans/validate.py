@@ -11,11 +11,15 @@ from trackmend.operators.tracking import build_loose_tracks, stable_tracks
 from trackmend.plans.correct import finish, stage_survivor_ids, staged
 
 
-def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, clips: DataFrame, config: Config, stable_frames: int = 30) -> dict[str, DataFrame]:
-    """The reports by name."""
+def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, clips: DataFrame, config: Config, stable_frames: int = 30, loose: Config | None = None, hidden: tuple[int, ...] | None = None, per_length: int = 15) -> dict[str, DataFrame]:
+    """The reports by name.  ``hidden`` are the numbers of frames that the synthetic dropouts hide, by default from two up
+    to beyond what is filled; ``loose`` has other gates for the tracks that stand for the truth."""
     rows = staged(detections, frames, vio, config).persist()
     finalized = finish(rows, clips, config)
-    stable = stable_tracks(build_loose_tracks(detections, frames, config), stable_frames).persist()
+    tracks = build_loose_tracks(detections, frames, config, loose).persist()
+    stable = stable_tracks(tracks, stable_frames)
+    most = int(config.max_dropout_frames)
+    trials = v.dropout_trials(tracks, list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most})), per_length)
     proxies = v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable))
     return {
         "status_counts": status_counts(finalized),
@@ -23,5 +27,6 @@ def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, cl
         "stage_summary": v.stage_summary(proxies),
         "frame_coverage_recall": v.frame_coverage_recall(v.frame_coverage(stable, finalized)),
         "multibox_resolution": v.multibox_resolution(detections, finalized, clips),
+        "synthetic_dropout": v.synthetic_dropout_summary(v.synthetic_dropout_eval(tracks, clips, config, trials)),
         "interpolation_rate": v.flag_interpolation_outliers(v.interpolation_rate(finalized, clips)),
     }

@@ -29,15 +29,12 @@ def assign_det_ids(boxes: DataFrame) -> DataFrame:
 def read_detections(spark: SparkSession, root: str, name: str = "hand_boxes.json") -> DataFrame:
     """(cid, frame, det_id, x1, y1, x2, y2, cls, handedness, confidence).
 
-    A clip is one document, so ids come from running sums over its frames before they are exploded: no shuffle.
+    A clip is one document; its rows are numbered by a window after it is taken apart, which is linear in its size.
     """
-    raw = _read(spark, root, name, BOXES).select(_cid(), F.coalesce("frames", F.array().cast("array<struct<frame:bigint,detections:array<struct<xyxy:array<double>,class:int,handedness:string,confidence:double>>>>")).alias("frames"))
-    sizes = F.transform("frames", lambda f: F.greatest(F.size(F.coalesce(f["detections"], F.array().cast("array<struct<xyxy:array<double>,class:int,handedness:string,confidence:double>>"))), F.lit(0)).cast("long"))
-    starts = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    frames = raw.withColumn("starts", starts).select("cid", "starts", F.posexplode("frames").alias("frame_pos", "f"))
-    boxes = frames.select("cid", F.col("f.frame").alias("frame"), F.col("starts")[F.col("frame_pos")].alias("start"), F.posexplode("f.detections").alias("det_pos", "d"))
+    raw = _read(spark, root, name, BOXES).select(_cid(), F.posexplode("frames").alias("frame_pos", "f"))
+    boxes = raw.select("cid", "frame_pos", F.col("f.frame").alias("frame"), F.posexplode("f.detections").alias("det_pos", "d"))
     corners = [F.col("d.xyxy")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
-    return boxes.select("cid", "frame", (F.col("start") + F.col("det_pos")).alias("det_id"), *corners, F.col("d.class").alias("cls"), F.coalesce("d.handedness", F.lit("")).alias("handedness"), F.col("d.confidence").alias("confidence"))
+    return assign_det_ids(boxes).select("cid", "frame", "det_id", *corners, F.col("d.class").alias("cls"), F.coalesce("d.handedness", F.lit("")).alias("handedness"), F.col("d.confidence").alias("confidence"))
 
 
 def read_frames(spark: SparkSession, root: str, name: str = "hand_boxes.json") -> DataFrame:

@@ -2,7 +2,9 @@
 
 State of a clip: its live tracks, the next number, and the last frame that was stepped.  Candidates of frames up to
 that one are late; they come out with ``track_id`` null and ``late`` true.  On input in order the numbers are those of
-the batch operator.
+the batch operator.  A clip that sends nothing for ``idle_ms`` is over: its state goes, and should it ever send more, that
+is a new clip under the same name.  Streams that end by themselves (trigger ``availableNow``) need ``idle_ms=None``: a
+query that waits for time-outs never ends.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ _BOX = ["x1", "y1", "x2", "y2"]
 STATE = "live string, made long, last long"
 
 
-def associate_stream(candidates: DataFrame, config: Config) -> DataFrame:
+def associate_stream(candidates: DataFrame, config: Config, idle_ms: int | None = 3_600_000) -> DataFrame:
     """(cid, frame, cand_idx, track_id, late) for each row of a stream of candidates."""
     kind = candidates.schema["cid"].dataType.simpleString()
 
     def link(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         live, made, last = state.get if state.exists else ("[]", 0, -1)
         linker = Linker(config, json.loads(live), made)
         rows = pd.concat(list(batches)).sort_values(["frame", "cand_idx"], kind="stable").reset_index(drop=True)
@@ -36,6 +41,8 @@ def associate_stream(candidates: DataFrame, config: Config) -> DataFrame:
             numbers[group.index] = linker.step(int(frame), group[_BOX].to_numpy(float))
             last = int(frame)
         state.update((json.dumps(linker.live), linker.made, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"cid": key[0], "frame": rows["frame"], "cand_idx": rows["cand_idx"], "track_id": pd.Series(numbers, dtype="Int64").mask(late), "late": late})
 
-    return candidates.groupBy("cid").applyInPandasWithState(link, f"cid {kind}, frame long, cand_idx long, track_id long, late boolean", STATE, "append", GroupStateTimeout.NoTimeout)
+    return candidates.groupBy("cid").applyInPandasWithState(link, f"cid {kind}, frame long, cand_idx long, track_id long, late boolean", STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
