@@ -13,7 +13,8 @@ Counts by (suffix, domain, host) come from one grouped aggregation, the levels a
 verdict is taken out of each level before it serves as a prior for that page.  Only these counts and small rows without
 text are shuffled; the join with a hot host is split by AQE.
 
-The text model reads ``per_language`` documents of each language at most.  It has ``TABLE`` cells for each language, and
+The text model reads about ``per_language`` documents of each language, picked by a hash of the key, and all of smaller
+ones.  It has ``TABLE`` cells for each language, and
 fewer where the languages are so many that it would hold more than ``MODEL`` cells (64 MB): no language is left out.  A page
 that is equally likely in several languages, up to nine digits, is given the first one by name.  Null or empty pages have no text evidence;
 null addresses share one empty host.  Rows repeated under a key are pages of their own.  Without documents that name a
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmend.llm._shared import drop_caches, slices, stored, text_column
 
 TABLE, MODEL = 1 << 16, 1 << 24
+SPAN = 1 << 40
 TEXT_WEIGHT = 60.0
 #: Pages that the prior of the level above counts for.
 SMOOTHING = 5.0
@@ -54,17 +56,16 @@ def visible(page: str) -> str:
 def text_model(documents: DataFrame, per_language: int = 1000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each trigram cell in each language), from a bounded sample."""
     named = documents.where(F.col(lang).isNotNull() & (F.col(lang) != "")).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    known = sorted(r.lang for r in named.select("lang").distinct().collect())  # names of languages
+    sizes = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    known = sorted(sizes)
     cells = TABLE
     while cells * len(known) > MODEL and cells > 256:
         cells //= 2
     if not known:
         return [], np.zeros((0, cells), np.float32)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    some = named.select("key", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
-    some = some.select("key", "lang").distinct()
-    # per_language rows for each language: broadcast while that is a million rows at most
-    rows = named.join(F.broadcast(some) if per_language * len(known) <= 1_000_000 else some, ["key", "lang"])
+    # a threshold for the hash of the key, by language: no shuffle, and no task that gets a whole language
+    shares = documents.sparkSession.createDataFrame([(n, int(SPAN * min(1.0, per_language / sizes[n]))) for n in known], "lang string, below long")
+    rows = named.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key"), F.lit(SPAN)) < F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
