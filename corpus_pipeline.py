@@ -2,7 +2,9 @@
 
 quality classifier -> exact dedup -> n-gram Jaccard join -> benchmark decontamination -> SentencePiece ids
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever
+they are called.  Null texts count as empty.  Of rows repeated under one key one stays.  Rows with a null key are judged by
+their texts and dropped only as bad or as exact copies.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
