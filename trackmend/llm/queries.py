@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmend.llm import decontam, exact_dedup, langid, merkle, mixing, ngram_join, pieces, quality, toxicity, warc
+from trackmend.llm import decontam, exact_dedup, langid, merkle, mixing, ngram_join, phrases, pieces, quality, toxicity, warc
 from trackmend.llm._shared import shared_folder, stored, table
 from trackmend.llm.token_counts import count_tokens
 from trackmend.llm.token_store import read_token_store, write_token_store
@@ -70,6 +70,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, path)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -79,8 +83,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op7_ngram_join, op8_decontamination, op9_warc_captures, op10_token_store, op12_mixing, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_exact_dedup, op4_quality, op5_language, op6_toxicity, op7_ngram_join, op8_decontamination, op9_warc_captures, op10_token_store, op11_phrases, op12_mixing, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_captures": warc.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_captures": warc.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
