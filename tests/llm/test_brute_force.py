@@ -239,7 +239,32 @@ def test_similar_sets_share_a_signature(seed):
         if 100 * common < 80 * (len(a) + len(b) - common) or np.array_equal(a, b):
             continue
         shared = set(schemes.of(len(a))) & set(schemes.of(len(b)))
-        assert any(((x := schemes.signatures(a, s)) == schemes.signatures(b, s))[x != 0].any() for s in shared)
+        both = [(schemes.signatures(a, s), schemes.signatures(b, s)) for s in shared]
+        assert any(((x[:n] == y[:n]) & (x[:n] != 0)).any() for x, y in both for n in [min(len(x), len(y))])
+
+
+@pytest.mark.parametrize("size", [5, 8, 12, 18, 24, 30, 40, 60, 74, 80, 120, 150, 300, 400])
+def test_unlike_sets_share_no_signatures(size):
+    rng = np.random.default_rng(size)
+    schemes, n = ngram_join.Schemes(), 2000
+    met = Counter()
+    for _ in range(n):
+        s = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        met.update((b, i, x) for b in schemes.of(len(s)) for i, x in enumerate(schemes.signatures(s, b).tolist()) if x)
+    pairs = sum(m * (m - 1) // 2 for m in met.values())
+    assert pairs <= 1e-5 * n * n / 2 and max(met.values()) <= 3
+
+
+def test_sets_with_many_empty_pairs_meet_in_a_later_turn(monkeypatch):
+    """Sets that lie in a small part of the domain have too many empty pairs in the first turn, and still meet."""
+    schemes, rng = ngram_join.Schemes(), np.random.default_rng(3)
+    for size in (10, 29, 74, 90):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 2**60, size, dtype=np.uint64))
+            b = np.unique(np.append(a[: len(a) - len(a) // 10], rng.integers(0, 2**60, len(a) // 20, dtype=np.uint64)))
+            shared = set(schemes.of(len(a))) & set(schemes.of(len(b)))
+            both = [(schemes.signatures(a, s), schemes.signatures(b, s)) for s in shared]
+            assert any(((x[:n] == y[:n]) & (x[:n] != 0)).any() for x, y in both for n in [min(len(x), len(y))])
 
 
 def test_columns_that_clash(spark):

@@ -37,6 +37,9 @@ from trackmend.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Parts of a group, of which similar sets agree on all but one in some group.
 PARTS = 3
+#: Partitions of the domain that a set is tried under, if too many of its pairs of parts are empty: chances are below a
+#: half in each, so about one set in 2 ** TURNS, if that, has to be found by empty pairs.
+TURNS = 32
 #: Members of a block of a bucket at most, and bytes of their parities.
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
 #: One document in so many tells which signatures are hot; members that it must find; cells that hot signatures share.
@@ -116,19 +119,36 @@ class Schemes:
 
     def signatures(self, s: np.ndarray, b: int) -> np.ndarray:
         """A 32-bit hash for each pair of parts of a group, under scheme ``b``; 0 for pairs that are left out.  With the
-        scheme and its number it makes the signature; equal hashes of different elements only add pairs to verify."""
+        scheme and its number it makes the signature; equal hashes of different elements only add pairs to verify.
+
+        Similar sets agree on ``2 * groups - k`` pairs at least.  A set with fewer empty ones agrees on one that isn't, so
+        its empty pairs are left out.  Of a set with more, all pairs that it agrees on with a similar one may be empty;
+        but then they are empty in that one too, which thus has as many.  Such sets meet in a further turn, under another
+        partition of the domain, and so on; a set's last turn is the first in which its empty pairs are few enough.
+        """
         k, _, lower = self.scheme(b)
+        enough = 2 * (len(lower) + 1) // PARTS - k
+        out = []
+        for turn in range(TURNS):
+            h, empty = self._turn(s if not turn else np.sort(_mix(s + np.uint64(turn * int(_PRIME[4]) % (1 << 64)))), lower)
+            few = empty.sum() < enough
+            if few or turn < TURNS - 1:
+                h[empty] = 0
+            out.append(h.ravel())
+            if few:
+                break
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    @staticmethod
+    def _turn(s: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a hash, whether it is empty) of each pair of parts of each group."""
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ _PRIME[3]), dtype=np.uint64)))
         cut = np.concatenate(([0], np.searchsorted(s, lower), [len(s)]))
         size, held = np.diff(cut).reshape(-1, PARTS), (sums[cut[1:]] - sums[cut[:-1]]).reshape(-1, PARTS)
         following = [1, 2, 0]
         h = (_mix(held * _PRIME[0] + held[:, following] * _PRIME[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         h[h == 0] = 1
-        empty = size + size[:, following] == 0
-        # k differences leave 2 * groups - k pairs as they are, or more
-        if empty.sum() < 2 * len(size) - k:
-            h[empty] = 0
-        return h.ravel()
+        return h, size + size[:, following] == 0
 
     def block(self, b: int) -> int:
         """Members of a block under scheme ``b``, whose parities have a quarter byte for each element of the largest set."""
