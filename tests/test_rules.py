@@ -1,6 +1,7 @@
 """Edge cases by hand."""
 
 import itertools
+import datetime as dt
 import json
 import math
 import random
@@ -98,25 +99,56 @@ def test_frames_go_on_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_an_idle_clip_is_forgotten(spark, tmp_path):
-    schema = "cid long, frame long, cand_idx long, x1 double, y1 double, x2 double, y2 double, confidence double"
-    source = str(tmp_path / "in")
-    give = lambda frame: spark.createDataFrame([(1, frame, 0, 0.0, 0.0, 100.0, 100.0, 0.5)], schema).write.mode("append").parquet(source)
-    give(10)
-    stream = associate_stream(spark.readStream.schema(schema).parquet(source), CONFIG, idle_ms=500)
-    running = stream.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "marks")).start()
+LIVE = "cid long, frame long, cand_idx long, x1 double, y1 double, x2 double, y2 double, confidence double, at timestamp"
+
+
+def streamed(spark, tmp_path, rows, **how):
+    """Gives rows to the stream, runs it to the end, and reads all that it has put out so far."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, LIVE).repartition(3).write.mode("append").parquet(source)
+    live = spark.readStream.schema(LIVE).parquet(source)
+    if "time" in how:
+        live = live.withWatermark("at", "0 seconds")
+    associate_stream(live, CONFIG, **how).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.cid, r.frame, r.cand_idx, r.track_id, r.late) for r in spark.read.parquet(out).collect())
+
+
+def seen(cid, frame, x, at):
+    return (cid, frame, 0, x, 0.0, x + 100, 100.0, 0.5, dt.datetime.fromtimestamp(at))
+
+
+def test_numbers_outlive_an_idle_clip(spark, tmp_path):
+    """A timer ends clip 1; what it sends afterwards is a new track under a new number, and isn't late."""
+    idle = {"time": "at", "idle": 60.0}
+    assert streamed(spark, tmp_path, [seen(1, 10, 0.0, 1000), seen(1, 11, 5.0, 1001)], **idle) == [(1, 10, 0, 0, False), (1, 11, 0, 0, False)]
+    streamed(spark, tmp_path, [seen(2, 0, 0.0, 9000)], **idle)
+    streamed(spark, tmp_path, [seen(2, 1, 0.0, 9001)], **idle)
+    rows = streamed(spark, tmp_path, [seen(1, 3, 0.0, 9002), seen(1, 4, 900.0, 9002)], **idle)
+    assert [r for r in rows if r[0] == 1] == [(1, 3, 0, 1, False), (1, 4, 0, 2, False), (1, 10, 0, 0, False), (1, 11, 0, 0, False)]
+
+
+def test_a_live_clip_goes_on_over_micro_batches(spark, tmp_path):
+    """Its tracks, and the last frame, are remembered; frames before that are late."""
+    idle = {"time": "at", "idle": 60.0}
+    streamed(spark, tmp_path, [seen(1, 10, 0.0, 1000)], **idle)
+    streamed(spark, tmp_path, [seen(1, 12, 5.0, 1030)], **idle)
+    rows = streamed(spark, tmp_path, [seen(1, 11, 5.0, 1031), seen(1, 13, 8.0, 1050)], **idle)
+    assert rows == [(1, 10, 0, 0, False), (1, 11, 0, None, True), (1, 12, 0, 0, False), (1, 13, 0, 0, False)]
+
+
+@pytest.mark.parametrize("held", [100_000, 7])
+def test_rows_in_any_order_are_stepped_frame_by_frame(spark, tmp_path, held):
+    """In memory, or through the map in the state store: the numbers are those of the batch operator."""
+    rng = random.Random(8)
+    rows = [(c, f, k, 300.0 * k + rng.uniform(-40, 40), 0.0, 300.0 * k + 100, 100.0, 0.5, dt.datetime.fromtimestamp(f)) for c in range(2) for f in range(60) for k in range(3) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, LIVE)
+    want = sorted((r.cid, r.frame, r.cand_idx, r.track_id, False) for r in tracking.associate(df, df.select("cid", "frame").distinct(), CONFIG).collect())
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
     try:
-        for n in (1, 2):
-            for _ in range(120):
-                if spark.table("idle").count() >= n:
-                    break
-                time.sleep(0.5)
-            time.sleep(4)
-            if n == 1:
-                give(3)  # late, had the clip been remembered
-        assert [(r.frame, r.track_id, r.late) for r in spark.table("idle").orderBy(F.desc("frame")).collect()] == [(10, 0, False), (3, 0, False)]
+        assert streamed(spark, tmp_path, rows, held=held) == want
     finally:
-        running.stop()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_a_long_track_is_folded_in_one_pass(spark):
@@ -271,16 +303,51 @@ def test_disparity_of_a_known_shift():
     rng = np.random.default_rng(0)
     left = rng.integers(0, 255, (60, 200)).astype(np.uint8)
     right = np.roll(left, -17, axis=1)
-    disp, conf = stereo.disparity_of(left, right, (60, 15, 120, 50))
+    disp, conf = stereo.Pair(left, right).disparity((60, 15, 120, 50))
     assert disp == 17.0 and conf > 0.999
-    assert stereo.disparity_of(left, right, (60, 15, 66, 50)) == (None, 0.0)
-    assert stereo.disparity_of(np.full_like(left, 9), right, (60, 15, 120, 50)) == (None, 0.0)
+    assert stereo.Pair(left, right).disparity((60, 15, 66, 50)) == (None, 0.0)
+    assert stereo.Pair(np.full_like(left, 9), right).disparity((60, 15, 120, 50)) == (None, 0.0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_correlation_is_that_of_every_window(seed):
+    rng = np.random.default_rng(seed)
+    image = rng.integers(0, 256, (int(rng.integers(12, 40)), int(rng.integers(12, 70)))).astype(np.uint8)
+    image[3:9, 2:11] = 7  # flat windows
+    patch = image[2:9, 1:12] if seed % 2 else rng.integers(0, 256, (6, 5)).astype(np.uint8)
+    want = np.zeros((image.shape[0] - patch.shape[0] + 1, image.shape[1] - patch.shape[1] + 1))
+    p = patch - patch.mean()
+    for i, j in np.ndindex(want.shape):
+        w = image[i : i + patch.shape[0], j : j + patch.shape[1]].astype(float)
+        w = w - w.mean()
+        spread = np.sqrt((w * w).sum() * (p * p).sum())
+        want[i, j] = (w * p).sum() / spread if spread > 1e-9 else 0.0
+    assert np.abs(stereo.correlate(image, patch) - want).max() < 1e-9
+
+
+def test_a_large_box_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    left = rng.integers(0, 256, (1200, 1920)).astype(np.uint8)
+    pair = stereo.Pair(left, np.roll(left, -37, axis=1))
+    tracemalloc.start()
+    try:
+        assert pair.disparity((700, 200, 1400, 900)) == (37.0, 1.0)
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_equal_places_count_from_the_left():
+    left = np.tile(np.random.default_rng(1).integers(0, 256, (40, 10)).astype(np.uint8), (1, 20))
+    assert stereo.Pair(left, left).disparity((100, 5, 140, 35)) == (100.0, 1.0)
 
 
-@pytest.mark.parametrize("name", ["box_disparity", "box_disparity_all_pages"])
+@pytest.mark.parametrize("name", ["box_disparity"])
 def test_whole_pages_are_compared(spark, monkeypatch, name):
     sizes = {}
-    monkeypatch.setattr(registry.stereo, "box_disparity", lambda boxes, pixels: sizes.update({r.cid: (r.h, len(r.left), len(r.right), r.y2) for r in pixels.join(boxes, "cid").collect()}) or boxes.withColumn("disp", F.lit(0.0)))
+    monkeypatch.setattr(registry.stereo, "box_disparity", lambda boxes, pixels: sizes.update({r.cid: (r.h, len(r.left), len(r.right), r.y2) for r in pixels.join(boxes, "cid").collect()}) or boxes.withColumn("disp", F.lit(0.0)).withColumn("match_conf", F.lit(0.0)))
     registry.QUERIES[name](spark, SF)
     lengths = {r.page_id: r.n for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", F.octet_length("html").alias("n")).collect()}
     assert max(lengths.values()) >= 49 * 80

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmend.config import Config
@@ -82,6 +82,11 @@ def devset_ranking(detections: DataFrame, clips: DataFrame) -> DataFrame:
     return rows.withColumn("frac", F.when(F.col("n_frames") > 0, F.col("n_multibox") / F.col("n_frames")).otherwise(0.0)).orderBy(F.desc("frac"), "cid")
 
 
+def draw(seed: int, *columns: str) -> Column:
+    """A number from 0 to 2 ** 32 - 1 from a digest of the columns, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def dropout_trials(tracked: DataFrame, lengths: list[int], per_length: int, least: int = 20) -> DataFrame:
     """(k, trial, cid, track_id, gap_start): runs of tracks of ``least`` frames in which k frames will be hidden.
 
@@ -91,8 +96,8 @@ def dropout_trials(tracked: DataFrame, lengths: list[int], per_length: int, leas
     long = tracked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cid", "track_id"))).where(F.col("_n") >= least)
     runs = contiguous_runs(long).withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in sorted(set(lengths))]))).where(F.col("length") >= F.col("k") + 10)
     room = F.col("length") - F.col("k") - 9  # starts 5 .. length - k - 5
-    at = F.col("start") + 5 + F.pmod(F.xxhash64("cid", "track_id", "run", "k"), room)
-    order = F.xxhash64(F.lit(7), "cid", "track_id", "run", "k")
+    at = F.col("start") + 5 + F.pmod(draw(11, "cid", "track_id", "run", "k"), room)
+    order = draw(7, "cid", "track_id", "run", "k")
     drawn = runs.select("k", "cid", "track_id", at.alias("gap_start"), order.alias("order"))
     some = None
     for k in sorted(set(lengths)):  # the first of each length: a top-k, not a sort of all

@@ -35,6 +35,15 @@ SELECT cid, frame, track_id, track_ord, det_id, x1, y1, x2, y2, confidence, n >
         count(*) OVER (PARTITION BY cid, frame, lane) AS n,
         row_number() OVER (PARTITION BY cid, frame, lane ORDER BY confidence DESC, det_id) AS rk
  FROM {fx_detections} WHERE kind > 1) u WHERE rk = 1"""
+#: Three lanes that move to and fro, far apart: two with few gaps, one with many.
+STEADY_BOXES = """
+SELECT cid, frame, CAST(row_number() OVER (PARTITION BY cid ORDER BY frame, lane) - 1 AS BIGINT) AS det_id, lane, cx - 60 AS x1, cy - 70 AS y1, cx + 60 AS x2, cy + 70 AS y2, confidence, CAST(5 AS INT) AS kind
+FROM (SELECT CAST(floor(o_orderkey / 500) AS BIGINT) AS cid, CAST(o_orderkey % 500 AS BIGINT) AS frame, lane,
+             CAST(250 + 600 * (lane - 1) + o_custkey % 5 AS DOUBLE) + CAST(abs((o_orderkey % 40) - 20) AS DOUBLE) * CAST(6 AS DOUBLE) AS cx,
+             CAST(500 + o_custkey % 7 AS DOUBLE) AS cy, (20 + o_custkey % 40) / CAST(64 AS DOUBLE) AS confidence
+      FROM (SELECT *, CAST(1 AS BIGINT) AS lane FROM {orders} WHERE o_custkey % 53 <> 0
+            UNION ALL SELECT *, CAST(2 AS BIGINT) AS lane FROM {orders} WHERE o_custkey % 29 <> 0
+            UNION ALL SELECT *, CAST(3 AS BIGINT) AS lane FROM {orders} WHERE o_custkey % 3 = 0) o) t"""
 #: A stereo signal for each distinct box.
 DISPARITY = """
 SELECT cid, frame, x1, y1, x2, y2, CASE WHEN det_id % 11 = 0 THEN NULL ELSE CAST((det_id * 7) % 60 AS DOUBLE) + CASE WHEN lane <= 2 THEN 25 ELSE 0 END END AS disp, CAST(det_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS match_conf
@@ -51,6 +60,8 @@ LANES = CONFIG.but(max_speed_px_per_frame=0.0, resume_gate_px=120.0, max_dropout
 #: The same for whole jobs: a candidate is never further than 87 px from where its own lane's track is expected and never
 #: nearer than 160 px to another's (boxes displaced by 300 px are lanes of their own), while gates go from 83 to 115 px.
 CHAIN = CONFIG.but(max_speed_px_per_frame=8.0, resume_gate_px=75.0, max_dropout_frames=2)
+#: For ``steady``: lanes are 600 px apart and never further than 112 px from where they are expected; gates go up to 340 px.
+STEADY = CONFIG.but(max_speed_px_per_frame=40.0)
 
 
 class Fixture:
@@ -84,6 +95,10 @@ class Fixture:
 
         return self.spark.sql(TRACKED, fx_detections=self.detections).withColumn("source_ids", F.array("det_id"))
 
+    @cached_property
+    def steady(self) -> DataFrame:
+        return self.spark.sql(STEADY_BOXES, orders=self._table("orders"))
+
     @cached_property
     def disparity(self) -> DataFrame:
         return self.spark.sql(DISPARITY, fx_detections=self.detections)
@@ -92,5 +107,5 @@ class Fixture:
 #: Opens a DuckDB query with the same tables.
 PREFIX = (
     "WITH RECURSIVE fx_detections AS (" + DETECTIONS.format(lineitem="lineitem") + "), fx_frames AS (" + FRAMES.format(orders="orders") + "), fx_vio AS (" + VIO.format(orders="orders")
-    + "), fx_clips AS (" + CLIPS.format(orders="orders") + "), fx_tracked AS (" + TRACKED.format(fx_detections="fx_detections") + "), fx_disparity AS (" + DISPARITY.format(fx_detections="fx_detections") + ")"
+    + "), fx_clips AS (" + CLIPS.format(orders="orders") + "), fx_tracked AS (" + TRACKED.format(fx_detections="fx_detections") + "), fx_steady AS (" + STEADY_BOXES.format(orders="orders") + "), fx_disparity AS (" + DISPARITY.format(fx_detections="fx_detections") + ")"
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from trackmend.config import Config
 from trackmend.plans.fixtures import CHAIN, CONFIG, PREFIX
 
@@ -57,10 +59,10 @@ def r6(x: str, name: str) -> str:
 PAIRS = f"pairs AS (SELECT a.cid, a.frame, a.det_id AS det_a, b.det_id AS det_b FROM fx_detections a JOIN fx_detections b ON a.cid = b.cid AND a.frame = b.frame AND a.det_id < b.det_id WHERE {overlap('a.', 'b.')} >= {C.duplicate_overlap_threshold})"
 
 
-def merged(where: str = "true") -> str:
+def merged(where: str = "true", boxes: str = "fx_detections") -> str:
     """CTEs up to ``cand``, the merged candidates of the boxes that ``where`` lets through."""
     return f"""
-src AS (SELECT * FROM fx_detections WHERE {where}),
+src AS (SELECT * FROM {boxes} WHERE {where}),
 pr AS (SELECT a.cid, a.frame, a.det_id AS a, b.det_id AS b FROM src a JOIN src b ON a.cid = b.cid AND a.frame = b.frame AND a.det_id <> b.det_id WHERE {overlap("a.", "b.")} >= {C.duplicate_overlap_threshold}),
 reach AS (SELECT cid, frame, det_id AS a, det_id AS b FROM src UNION SELECT r.cid, r.frame, r.a, p.b FROM reach r JOIN pr p ON r.cid = p.cid AND r.frame = p.frame AND r.b = p.a),
 comp AS (SELECT cid, frame, a AS det_id, min(b) AS first FROM reach GROUP BY 1, 2, 3),
@@ -160,12 +162,12 @@ calm AS (SELECT * FROM uns WHERE st IS NULL),
 tmp AS (SELECT u.*, CASE WHEN st IS NOT NULL THEN st WHEN w.cid IS NOT NULL THEN 'static' END AS st2 FROM uns u LEFT JOIN (SELECT cid, track_id, frame FROM win WHERE {IS_STATIC}) w ON w.cid = u.cid AND w.track_id = u.track_id AND w.frame = u.frame)"""
 
 
-def lanes(source: str, n: str = "") -> str:
+def lanes(source: str, n: str = "", boxes: str = "fx_detections", config: Config = CHAIN) -> str:
     """CTEs up to ``tk``: the candidates of ``source`` with the tracks and their order.  Lanes are cut where they are
     silent for too long; a displaced box is in a lane of its own.  ``n`` ends the names of the CTEs."""
-    give_up = CHAIN.give_up_frames
+    give_up = config.give_up_frames
     return f"""
-lane{n} AS (SELECT c.*, d.lane * 2 + CASE WHEN d.kind = 2 THEN 1 ELSE 0 END AS lane FROM {source} c JOIN fx_detections d ON d.cid = c.cid AND d.det_id = c.source_ids[1]),
+lane{n} AS (SELECT c.*, d.lane * 2 + CASE WHEN d.kind = 2 THEN 1 ELSE 0 END AS lane FROM {source} c JOIN {boxes} d ON d.cid = c.cid AND d.det_id = c.source_ids[1]),
 cut{n} AS (SELECT *, coalesce(sum(CASE WHEN frame - pf > {give_up} THEN 1 ELSE 0 END) OVER (PARTITION BY cid, lane ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS isl FROM (SELECT *, lag(frame) OVER (PARTITION BY cid, lane ORDER BY frame) AS pf FROM lane{n}) u),
 trk{n} AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ff, fi) - 1 AS track_id FROM (SELECT cid, lane, isl, min(frame) AS ff, max(frame) AS lf, arg_min(cand_idx, frame) AS fi FROM cut{n} GROUP BY 1, 2, 3) v),
 ends{n} AS (SELECT t.cid, t.track_id, min(f.frame) AS stop FROM trk{n} t LEFT JOIN fx_frames f ON f.cid = t.cid AND f.frame > t.lf + {give_up} GROUP BY 1, 2),
@@ -174,26 +176,40 @@ tk{n} AS (SELECT c.cid, c.frame, c.cand_idx, c.x1, c.y1, c.x2, c.y2, c.confidenc
        FROM cut{n} c JOIN trk{n} t ON t.cid = c.cid AND t.lane = c.lane AND t.isl = c.isl JOIN ord{n} o ON o.cid = t.cid AND o.track_id = t.track_id)"""
 
 
-#: The boxes that pass the rules for single boxes, in their tracks.
-LANE_TRACKS = f"{merged()}, {GEO}, live0 AS (SELECT * FROM geo WHERE stage IS NULL), {lanes('live0')}"
-#: All merged boxes but tiny ones.
-LOOSE_LIVE = f"AS (SELECT * FROM cand WHERE {area()} >= {C.min_area_px2})"
-LOOSE_TRACKS = f"{merged()}, live0 {LOOSE_LIVE}, {lanes('live0')}"
-#: The whole correction: ``stg`` has every candidate with its stage, ``out`` the output rows.
-CHAINED = f"""{LANE_TRACKS}, {temporal("tk", CHAIN)},
+def lane_tracks(boxes: str = "fx_detections", config: Config = CHAIN) -> str:
+    """CTEs up to ``tk``: the boxes that pass the rules for single boxes, in their tracks."""
+    return f"{merged(boxes=boxes)}, {GEO}, live0 AS (SELECT * FROM geo WHERE stage IS NULL), {lanes('live0', boxes=boxes, config=config)}"
+
+
+def chained(boxes: str = "fx_detections", config: Config = CHAIN) -> str:
+    """The whole correction: ``stg`` has every candidate with its stage, ``kept`` what is selected, ``out`` the output rows."""
+    return f"""{lane_tracks(boxes, config)}, {temporal("tk", config)},
 sup AS (SELECT *, count(*) OVER (PARTITION BY cid, track_id) AS nf, avg(confidence) OVER (PARTITION BY cid, track_id) AS mc FROM tmp WHERE st2 IS NULL),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY cid, frame ORDER BY nf DESC, mc DESC, track_ord) AS rk FROM sup),
 stg AS (SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, stage FROM geo WHERE stage IS NOT NULL
         UNION ALL SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, st2 FROM tmp WHERE st2 IS NOT NULL
-        UNION ALL SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, CASE WHEN rk > {CHAIN.class_max} THEN 'cap' END FROM rnk),
-kept AS (SELECT * FROM rnk WHERE rk <= {CHAIN.class_max}),
-{gaps("kept", CHAIN)}, {SPLIT}, {FILL},
+        UNION ALL SELECT cid, frame, x1, y1, x2, y2, confidence, source_ids, was_merged, CASE WHEN rk > {config.class_max} THEN 'cap' END FROM rnk),
+kept AS (SELECT * FROM rnk WHERE rk <= {config.class_max}),
+{gaps("kept", config)}, {SPLIT}, {FILL},
 out AS (SELECT cid, frame, x1, y1, x2, y2, 'rejected' AS status, confidence, CAST(NULL AS BIGINT) AS track_id, stage AS reject_stage, source_ids FROM stg WHERE stage IS NOT NULL
         UNION ALL SELECT cid, frame, x1, y1, x2, y2, CASE WHEN was_merged THEN 'merged' ELSE 'reported' END, confidence, out_id, NULL, source_ids FROM spl
         UNION ALL SELECT cid, frame, x1, y1, x2, y2, 'interpolated', NULL, track_id, NULL, [] FROM fil)"""
+
+
+LANE_TRACKS = lane_tracks()
+CHAINED = chained()
+#: All merged boxes but tiny ones.
+LOOSE_LIVE = f"AS (SELECT * FROM cand WHERE {area()} >= {C.min_area_px2})"
+LOOSE_TRACKS = f"{merged()}, live0 {LOOSE_LIVE}, {lanes('live0')}"
 SURVIVORS = "sv AS (SELECT cid, unnest(source_ids) AS det_id, stage IS NULL OR stage NOT IN ('size', 'shape') AS geometric, stage IS NULL OR stage = 'cap' AS temporal, stage IS NULL AS cap FROM stg)"
 
 
+def drawn_sql(seed: int, *columns: str) -> str:
+    """The number that ``validation.draw`` takes from a digest."""
+    digest = f"md5(concat_ws(':', {seed}, {', '.join(columns)}))"
+    return "(" + " + ".join(f"(strpos('0123456789abcdef', {digest}[{i + 1}]) - 1) * {16 ** (7 - i)}" for i in range(8)) + ")"
+
+
 def trials_sql(k: int) -> str:
     """Every run of k + 10 frames or more of a track of 20, hidden from its sixth frame on."""
     return f"""
@@ -202,16 +218,40 @@ run AS (SELECT cid, track_id, g, min(frame) AS s, count(*) AS len FROM isl WHERE
 trial AS (SELECT cid, track_id, s + 5 AS gap_start FROM run)"""
 
 
-def dropout_sql(k: int) -> str:
-    w, m, v = C.border_weights, C.border_margin_px, C.outward_velocity_min_px_per_frame
+def drawn_trials_sql(k: int, source: str, per_length: int) -> str:
+    """The runs that ``validation.dropout_trials`` draws of one length, and where they are hidden."""
+    at, order = drawn_sql(11, "cid", "track_id", "n", str(k)), drawn_sql(7, "cid", "track_id", "n", str(k))
+    return f"""
+isl AS (SELECT *, frame - row_number() OVER (PARTITION BY cid, track_id ORDER BY frame) AS g, count(*) OVER (PARTITION BY cid, track_id) AS tn FROM {source}),
+run AS (SELECT cid, track_id, g, min(frame) AS s, count(*) AS len, row_number() OVER (PARTITION BY cid, track_id ORDER BY g) - 1 AS n FROM isl WHERE tn >= 20 GROUP BY 1, 2, 3),
+drw AS (SELECT cid, track_id, s + 5 + {at} % (len - {k + 9}) AS gap_start, {order} AS pos FROM run WHERE len >= {k + 10}),
+trial AS (SELECT cid, track_id, gap_start FROM drw QUALIFY row_number() OVER (ORDER BY pos, cid, track_id, gap_start) <= {per_length})"""
+
+
+def dropout_sql(k: int, trials: str | None = None, source: str = "fx_tracked", config: Config = C) -> str:
+    """CTEs up to ``per``: what is filled of each trial."""
+    w, m, v = config.border_weights, config.border_margin_px, config.outward_velocity_min_px_per_frame
     vx, vy = f"({cx('b.')} - {cx('a.')})", f"({cy('b.')} - {cy('a.')})"
     leaving = f"((b.x1 <= {m * w['left']} AND -{vx} >= {v}) OR (b.y1 <= {m * w['top']} AND -{vy} >= {v}) OR (1850 - b.x2 <= {m * w['right']} AND {vx} >= {v}) OR (1000 - b.y2 <= {m * w['bottom']} AND {vy} >= {v}))"
     ex, ey = f"({cx('b.')} + {vx} * {k + 1})", f"({cy('b.')} + {vy} * {k + 1})"
-    near = f"sqrt(({cx('c.')} - {ex}) * ({cx('c.')} - {ex}) + ({cy('c.')} - {ey}) * ({cy('c.')} - {ey})) <= {C.resume_gate_px + C.max_speed_px_per_frame * k}"
-    fill = "true" if k <= C.max_dropout_frames else "false"
+    near = f"sqrt(({cx('c.')} - {ex}) * ({cx('c.')} - {ex}) + ({cy('c.')} - {ey}) * ({cy('c.')} - {ey})) <= {config.resume_gate_px + config.max_speed_px_per_frame * k}"
+    fill = "true" if k <= config.max_dropout_frames else "false"
     lerp = ", ".join(f"b.{c} + (c.{c} - b.{c}) * (CAST(h.frame - b.frame AS DOUBLE) / {k + 1}) AS f_{c}" for c in ("x1", "y1", "x2", "y2"))
-    return f"""{trials_sql(k)},
+    return f"""{trials or trials_sql(k)},
 res AS (SELECT t.cid, t.track_id, t.gap_start, h.x1, h.y1, h.x2, h.y2, {lerp}, NOT {leaving} AND {fill} AND {near} AS ok
-  FROM trial t JOIN fx_tracked a ON a.cid = t.cid AND a.track_id = t.track_id AND a.frame = t.gap_start - 2 JOIN fx_tracked b ON b.cid = t.cid AND b.track_id = t.track_id AND b.frame = t.gap_start - 1
-  JOIN fx_tracked c ON c.cid = t.cid AND c.track_id = t.track_id AND c.frame = t.gap_start + {k} JOIN fx_tracked h ON h.cid = t.cid AND h.track_id = t.track_id AND h.frame >= t.gap_start AND h.frame < t.gap_start + {k}),
+  FROM trial t JOIN {source} a ON a.cid = t.cid AND a.track_id = t.track_id AND a.frame = t.gap_start - 2 JOIN {source} b ON b.cid = t.cid AND b.track_id = t.track_id AND b.frame = t.gap_start - 1
+  JOIN {source} c ON c.cid = t.cid AND c.track_id = t.track_id AND c.frame = t.gap_start + {k} JOIN {source} h ON h.cid = t.cid AND h.track_id = t.track_id AND h.frame >= t.gap_start AND h.frame < t.gap_start + {k}),
 per AS (SELECT cid, track_id, gap_start, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_recovered, avg({iou("", "f_")}) FILTER (WHERE ok) AS mean_iou, avg({dist("", "f_")}) FILTER (WHERE ok) AS mean_center_dist_px FROM res GROUP BY 1, 2, 3)"""
+
+
+def dropout_report_sql(lengths: list[int], source: str, per_length: int, config: Config) -> str:
+    """CTEs up to ``rep``: the report over drawn trials of each length."""
+    names = ("isl", "run", "drw", "trial", "res", "per")
+    parts, rows = [], []
+    for k in lengths:
+        text = dropout_sql(k, drawn_trials_sql(k, source, per_length), source, config)
+        for name in names:
+            text = re.sub(rf"\b{name}\b", f"{name}_{k}", text)
+        parts.append(text)
+        rows.append(f"SELECT CAST({k} AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n_trials, round(CAST(sum(n_recovered) AS DOUBLE) / ({k} * count(*)), 6) AS recovery_rate, round(avg(mean_iou), 6) AS mean_iou, round(avg(mean_center_dist_px), 6) AS mean_center_dist_px FROM per_{k} HAVING count(*) > 0")
+    return ", ".join(parts) + ", rep AS (" + " UNION ALL ".join(rows) + ")"

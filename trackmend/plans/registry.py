@@ -14,7 +14,7 @@ from trackmend.functions import geometry as g
 from trackmend.operators import audit, calibration, camera, gaps, merge, rejects, selection, stereo, temporal, tracking, validation
 from trackmend.plans import oracles as o
 from trackmend.plans.correct import correct_detections, stage_survivor_ids, staged
-from trackmend.plans.fixtures import CHAIN, CONFIG, LANES, Fixture
+from trackmend.plans.fixtures import CHAIN, CONFIG, LANES, STEADY, Fixture
 from trackmend.sources import bundles, sinks
 from trackmend.streaming.associate import associate_stream
 
@@ -191,7 +191,7 @@ def _streamed(fx: Fixture, candidates: DataFrame, config: Config) -> DataFrame:
     source, out, marks = (_folder(spark, f"stream-{n}") for n in ("in", "out", "marks"))
     candidates.write.parquet(source)
     live = spark.readStream.schema(candidates.schema).parquet(source)
-    associate_stream(live, config, idle_ms=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    associate_stream(live, config).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -540,12 +540,22 @@ def stage_survivor_ids_rows(fx: Fixture) -> DataFrame:
     return stage_survivor_ids(staged(fx.detections, fx.frames, fx.vio, CHAIN))
 
 
-_COVER = f"{_FIN}, {o.STABLE}, half AS (SELECT * FROM fin WHERE (det_id IS NULL OR det_id % 2 = 0)), cov AS (SELECT s.cid, s.frame, s.track_id, coalesce(bool_or({o.dist('s.', 'f.')} <= greatest({o.diag('s.')}, 1.0)), false) AS covered, coalesce(bool_or({o.dist('s.', 'f.')} <= greatest({o.diag('s.')}, 1.0) AND f.status <> 'interpolated'), false) AS covered_without FROM stable s LEFT JOIN half f ON f.cid = s.cid AND f.frame = s.frame GROUP BY 1, 2, 3)"
+
+
+def _cover(stable: str, out: str) -> str:
+    """A CTE ``cov``: whether each frame of a stable track has an output box near its own."""
+    near = f"{o.dist('s.', 'f.')} <= greatest({o.diag('s.')}, 1.0)"
+    return f"cov AS (SELECT s.cid, s.frame, s.track_id, coalesce(bool_or({near}), false) AS covered, coalesce(bool_or({near} AND f.status <> 'interpolated'), false) AS covered_without FROM {stable} s LEFT JOIN (SELECT * FROM {out} WHERE status <> 'rejected') f ON f.cid = s.cid AND f.frame = s.frame GROUP BY 1, 2, 3)"
+
+
+_LOOSE_STABLE = f"live1 {o.LOOSE_LIVE}, {o.lanes('live1', '1')}, stable AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cid, track_id) AS tn FROM tk1) t WHERE tn >= 30)"
+_COVER = f"{o.CHAINED}, {_LOOSE_STABLE}, {_cover('stable', 'out')}"
 
 
 def _coverage(fx: Fixture) -> DataFrame:
-    half = _final(fx).where("status = 'interpolated' or source_ids[0] % 2 = 0")
-    return validation.frame_coverage(tracking.stable_tracks(fx.tracked), half)
+    """Stable loose tracks against what the whole correction puts out."""
+    stable = tracking.stable_tracks(tracking.build_loose_tracks(fx.detections, fx.frames, CONFIG, LOOSE))
+    return validation.frame_coverage(stable, correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN))
 
 
 @query(o.q(_COVER, "SELECT * FROM cov"))
@@ -601,7 +611,7 @@ def synthetic_dropout_summary(fx: Fixture) -> DataFrame:
     return _rounded(validation.synthetic_dropout_summary(validation.synthetic_dropout_eval(fx.tracked, fx.clips, CONFIG, _every_trial(fx, 2))))
 
 
-@query()
+@query(o.q(o.dropout_report_sql([1, 2, 3], "fx_tracked", 15, CONFIG), "SELECT * FROM rep"))
 def synthetic_dropout_sampled(fx: Fixture) -> DataFrame:
     trials = validation.dropout_trials(fx.tracked, [1, 2, 3], 15)
     return _rounded(validation.synthetic_dropout_summary(validation.synthetic_dropout_eval(fx.tracked, fx.clips, CONFIG, trials)))
@@ -628,6 +638,41 @@ def write_reports(fx: Fixture) -> DataFrame:
     return fx.spark.read.schema("cid long, status string, n long").json(f"{path}/status_counts")
 
 
+#: Over ``steady``: the correction, the tracks that stand for the truth (all boxes, as none is rejected before tracking), and
+#: each report of a validation.
+_STEADY = f"{o.chained('fx_steady', STEADY)}, stable AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cid, track_id) AS tn FROM tk) t WHERE tn >= 30)"
+_HIDDEN, _PER_LENGTH = [2, 3, 5, 10, 13], 400
+
+
+def _steady_reports(fx: Fixture) -> dict[str, DataFrame]:
+    from trackmend.plans.validate import validate_corpus as run
+
+    loose = STEADY.loose().but(max_speed_px_per_frame=STEADY.max_speed_px_per_frame, resume_gate_px=STEADY.resume_gate_px, max_dropout_frames=STEADY.max_dropout_frames)
+    return run(fx.steady, fx.frames, fx.vio, fx.clips, STEADY, loose=loose, hidden=tuple(_HIDDEN), per_length=_PER_LENGTH)
+
+
+@query(o.q(f"{_STEADY}, {o.dropout_report_sql(_HIDDEN, 'kept', _PER_LENGTH, STEADY)}", "SELECT * FROM rep"))
+def validate_dropout_report(fx: Fixture) -> DataFrame:
+    """Dropouts hidden in the tracks that the correction selects, drawn as in production."""
+    return _rounded(_steady_reports(fx)["synthetic_dropout"])
+
+
+@query(o.q(f"{_STEADY}, {_cover('stable', 'out')}", "SELECT cid, CAST(count(*) AS BIGINT) AS n_stable_track_frames, round(avg(CAST(covered_without AS DOUBLE)), 6) AS recall_without, round(avg(CAST(covered AS DOUBLE)), 6) AS recall_with, round(avg(CAST(covered AS DOUBLE)) - avg(CAST(covered_without AS DOUBLE)), 6) AS recall_gain FROM cov GROUP BY 1"))
+def validate_coverage_report(fx: Fixture) -> DataFrame:
+    return _rounded(_steady_reports(fx)["frame_coverage_recall"])
+
+
+@query(o.q(f"{_STEADY}, multi AS (SELECT cid, frame FROM fx_steady GROUP BY 1, 2 HAVING count(*) >= 3), oc AS (SELECT cid, frame, count(*) AS c FROM out WHERE status <> 'rejected' GROUP BY 1, 2), mr AS (SELECT m.cid, CAST(count(*) AS BIGINT) AS n_multibox, round(avg(CASE WHEN coalesce(c, 0) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS frac_resolved FROM multi m LEFT JOIN oc USING (cid, frame) GROUP BY 1)", "SELECT cl.cid, coalesce(n_multibox, 0) AS n_multibox, frac_resolved FROM fx_clips cl LEFT JOIN mr USING (cid)"))
+def validate_multibox_report(fx: Fixture) -> DataFrame:
+    return _rounded(_steady_reports(fx)["multibox_resolution"])
+
+
+@query(o.q(f"{_STEADY}, ir AS (SELECT cl.cid, coalesce(avg(CASE WHEN status = 'interpolated' THEN 1.0 WHEN status IS NOT NULL THEN 0.0 END), 0.0) AS interpolation_rate FROM fx_clips cl LEFT JOIN out USING (cid) GROUP BY 1)", "SELECT cid, round(interpolation_rate, 6) AS interpolation_rate, round(m, 6) AS mean_rate, round(s, 6) AS std_rate, interpolation_rate > m + 3 * s OR interpolation_rate > 0.20 AS flagged FROM ir, (SELECT avg(interpolation_rate) AS m, stddev_pop(interpolation_rate) AS s FROM ir) z"))
+def validate_interpolation_report(fx: Fixture) -> DataFrame:
+    """With the default share of 0.20."""
+    return _rounded(_steady_reports(fx)["interpolation_rate"])
+
+
 @query()
 def validate_corpus(fx: Fixture) -> DataFrame:
     """With the open gates of production, under which lanes compete for boxes: no SQL."""
@@ -698,19 +743,19 @@ def write_corrected(fx: Fixture) -> DataFrame:
 # stereo
 
 
-def _page_disparity(pages: DataFrame) -> DataFrame:
-    """Whole pages as textures, 80 bytes a row: the right image is the left one shifted by a known number of columns.
+def _page_disparity(pages: DataFrame, width: int = 80, at: tuple[float, ...] = (20.0,)) -> DataFrame:
+    """Whole pages as textures, ``width`` bytes a row, with boxes of 40 columns from ``at``: the right image is the left one shifted by a known number of columns.
 
     The box covers the middle two thirds of the rows.  Bytes after the last full row aren't part of the image.
     """
     shift = (F.col("cid") % 9).cast("int")
-    images = pages.withColumn("h", F.floor(F.length("b") / 80).cast("int"))
-    rows = F.when(F.col("h") > 0, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda r: F.substring(F.col("b"), r * 80 + 1, F.lit(80)))).otherwise(F.array().cast("array<binary>"))
-    moved = F.transform(rows, lambda r: F.concat(F.substring(r, shift + 1, F.lit(80) - shift), F.substring(r, F.lit(1), shift)))
-    pixels = images.select("cid", F.lit(0).cast("long").alias("frame"), F.lit(80).alias("w"), "h", F.substring(F.col("b"), F.lit(1), F.col("h") * 80).alias("left"), F.aggregate(moved, F.lit(b""), lambda a, x: F.concat(a, x)).alias("right"))
+    images = pages.withColumn("h", F.floor(F.length("b") / width).cast("int"))
+    rows = F.when(F.col("h") > 0, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda r: F.substring(F.col("b"), r * width + 1, F.lit(width)))).otherwise(F.array().cast("array<binary>"))
+    moved = F.transform(rows, lambda r: F.concat(F.substring(r, shift + 1, F.lit(width) - shift), F.substring(r, F.lit(1), shift)))
+    pixels = images.select("cid", F.lit(0).cast("long").alias("frame"), F.lit(width).alias("w"), "h", F.substring(F.col("b"), F.lit(1), F.col("h") * width).alias("left"), F.aggregate(moved, F.lit(b""), lambda a, x: F.concat(a, x)).alias("right"))
     edge = F.floor(F.col("h") / 6)
-    boxes = images.select("cid", F.lit(0).cast("long").alias("frame"), F.lit(20.0).alias("x1"), edge.cast("double").alias("y1"), F.lit(60.0).alias("x2"), (F.col("h") - edge).cast("double").alias("y2"))
-    return stereo.box_disparity(boxes, pixels).select("cid", "frame", "disp")
+    boxes = images.select("cid", F.lit(0).cast("long").alias("frame"), F.explode(F.array(*[F.lit(x) for x in at])).alias("x1"), edge.cast("double").alias("y1"), F.lit(0.0).alias("x2"), (F.col("h") - edge).cast("double").alias("y2"))
+    return stereo.box_disparity(boxes.withColumn("x2", F.col("x1") + 40), pixels)
 
 
 def _pages(fx: Fixture) -> DataFrame:
@@ -720,8 +765,10 @@ def _pages(fx: Fixture) -> DataFrame:
 @query("SELECT page_id AS cid, CAST(0 AS BIGINT) AS frame, CASE WHEN h - 2 * (h // 6) >= 8 THEN CAST(page_id % 9 AS DOUBLE) END AS disp FROM (SELECT page_id, strlen(coalesce(html, '')) // 80 AS h FROM pages) p")
 def box_disparity(fx: Fixture) -> DataFrame:
     """Every page; a box lower than 8 pixels has no disparity."""
-    return _page_disparity(_pages(fx))
+    return _page_disparity(_pages(fx)).select("cid", "frame", "disp")
 
 
-ORACLES["box_disparity_all_pages"] = ORACLES["box_disparity"]
-QUERIES["box_disparity_all_pages"] = QUERIES["box_disparity"]
+@query("SELECT page_id AS cid, CAST(0 AS BIGINT) AS frame, CAST(b.x AS DOUBLE) AS x1, CASE WHEN h - 2 * (h // 6) >= 8 THEN CAST(page_id % 9 AS DOUBLE) END AS disp, CASE WHEN h - 2 * (h // 6) >= 8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS match_conf FROM (SELECT page_id, strlen(coalesce(html, '')) // 160 AS h FROM pages) p, (SELECT unnest([20, 70]) AS x) b")
+def box_disparity_all_pages(fx: Fixture) -> DataFrame:
+    """Every page in rows of 160 bytes, with two boxes each and their scores."""
+    return _page_disparity(_pages(fx), 160, (20.0, 70.0)).select("cid", "frame", "x1", "disp", r6("match_conf"))

@@ -19,7 +19,8 @@ def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, cl
     tracks = build_loose_tracks(detections, frames, config, loose).persist()
     stable = stable_tracks(tracks, stable_frames)
     most = int(config.max_dropout_frames)
-    trials = v.dropout_trials(tracks, list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most})), per_length)
+    selected = rows.where("reject_stage is null")  # dropouts are hidden in what the correction selects
+    trials = v.dropout_trials(selected, list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most})), per_length)
     proxies = v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable))
     return {
         "status_counts": status_counts(finalized),
@@ -27,6 +28,6 @@ def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, cl
         "stage_summary": v.stage_summary(proxies),
         "frame_coverage_recall": v.frame_coverage_recall(v.frame_coverage(stable, finalized)),
         "multibox_resolution": v.multibox_resolution(detections, finalized, clips),
-        "synthetic_dropout": v.synthetic_dropout_summary(v.synthetic_dropout_eval(tracks, clips, config, trials)),
+        "synthetic_dropout": v.synthetic_dropout_summary(v.synthetic_dropout_eval(selected, clips, config, trials)),
         "interpolation_rate": v.flag_interpolation_outliers(v.interpolation_rate(finalized, clips)),
     }
