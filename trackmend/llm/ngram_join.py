@@ -201,23 +201,28 @@ def _near(parity: np.ndarray, size: np.ndarray, comp: np.ndarray | None) -> Iter
             yield at + i, np.flatnonzero(ok[i, i + 1 :]) + at + i + 1
 
 
-def _forest(parity: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all that near pairs connect, from the members with most near ones first.  A member that would
-    get many edges passes most of them on to some of its neighbours, so that no key is hot when edges are verified."""
+def _forest(keys: np.ndarray, parity: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect all that near pairs connect, from members with many near ones first, then small keys.  A member
+    that would get many edges passes most of them on to the first of each class of keys, so that no key is hot when edges
+    are verified.  Classes don't depend on the bucket: buckets that share their members share most edges as well."""
     m = len(parity)
     near = np.zeros((m, m), bool)
     for i, js in _near(parity, size, None):
         near[i, js] = near[js, i] = True
+    many = np.frexp(near.sum(1))[1]
+    mixed = _mix(keys.view(np.uint64))
     root = np.arange(m)
     out = []
-    for i in np.argsort(-near.sum(1), kind="stable"):
+    for i in np.lexsort((keys, -many)):
         new = []
         for j in np.flatnonzero(near[i] & (root != root[i])):
             if root[j] != root[i]:
                 new.append(int(j))
                 root[root == root[j]] = root[i]
-        for at, j in enumerate(new):
-            hub = new[at - at % HUB]
+        bits = np.uint64(64 - max(0, len(new) - 1).bit_length() + HUB.bit_length() - 1)
+        leads: dict[int, int] = {}
+        for j in new:
+            hub = leads.setdefault(int(mixed[j] >> bits) if bits < 64 else 0, j)
             out.append((hub, j) if hub != j and near[hub, j] else (int(i), j))
     return out
 
@@ -226,11 +231,12 @@ def _candidates(buckets: DataFrame, forest: bool) -> DataFrame:
     """(a, b): pairs of members of (bucket, key, n_shingles, parity[, component]) to verify."""
 
     def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
+        rows = rows.take(pc.sort_indices(rows.column("key")))
         keys = rows.column("key").to_numpy()
         parity = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(keys), -1)
         size = rows.column("n_shingles").to_numpy()
         if forest:
-            return [(int(keys[i]), int(keys[j])) for i, j in _forest(parity, size)]
+            return [(int(keys[i]), int(keys[j])) for i, j in _forest(keys, parity, size)]
         return [(int(keys[i]), int(keys[j])) for i, js in _near(parity, size, rows.column("component").to_numpy()) for j in js]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
