@@ -13,8 +13,8 @@ Counts by (suffix, domain, host) come from one grouped aggregation, the levels a
 verdict is taken out of each level before it serves as a prior for that page.  Only these counts and small rows without
 text are shuffled; the join with a hot host is split by AQE.
 
-The text model reads about ``per_language`` documents of each language, picked by a hash of the key, and all of smaller
-ones.  It has ``TABLE`` cells for each language, and
+The text model reads about ``per_language`` documents of each language, picked by a hash of key and text, and all of
+smaller ones; of documents that are alike in both it reads one.  It has ``TABLE`` cells for each language, and
 fewer where the languages are so many that it would hold more than ``MODEL`` cells (64 MB): no language is left out.  A page
 that is equally likely in several languages, up to nine digits, is given the first one by name.  Null or empty pages have no text evidence;
 null addresses share one empty host.  Rows repeated under a key are pages of their own.  Without documents that name a
@@ -65,7 +65,9 @@ def text_model(documents: DataFrame, per_language: int = 1000, text: str = "text
         return [], np.zeros((0, cells), np.float32)
     # a threshold for the hash of the key, by language: no shuffle, and no task that gets a whole language
     shares = documents.sparkSession.createDataFrame([(n, int(SPAN * min(1.0, per_language / sizes[n]))) for n in known], "lang string, below long")
-    rows = named.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key"), F.lit(SPAN)) < F.col("below"))
+    # rows without a key, or with a common one, are told apart by their texts; rows that are wholly alike count once
+    drawn = named.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key", "text"), F.lit(SPAN)) < F.col("below"))
+    rows = drawn.dropDuplicates(["key", "lang", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
