@@ -4,8 +4,10 @@ A text is cut into blocks, and each block is compressed with either dictionary.
 by the bytes of the text, says which kind of text it continues better; the smaller size itself, divided by those bytes,
 tells text that repeats itself.  A logistic model turns the two into a probability.
 
-The fit reads ``per_class`` labelled rows of each class at most, whole: one half trains the dictionaries, of
-``DICTIONARY`` bytes at most, the other half calibrates.  Scoring reads whole texts, where they lie, without a shuffle.
+The fit reads ``per_class`` labelled keys of each class at most.  The blocks of one half train the dictionaries, of
+``DICTIONARY`` bytes at most; only ``train_bytes`` of them, picked over all blocks by a hash, go to the driver for each
+class.  The other half calibrates, each key by the mean of its rows.  Scoring reads whole texts, where they lie, without
+a shuffle.
 
 Empty and null texts get the score of the features (0, 0).  Without labelled rows of one class the score is the share
 of the other.  Null keys aren't held out.  Other columns, ``lang`` and ``source`` among them, are ignored.
@@ -31,11 +33,10 @@ def _blocks(data: bytes) -> list[bytes]:
     return [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A dictionary for text like ``texts``; of texts too few to train one, themselves."""
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary for text like the blocks ``samples``; of blocks too few to train one, themselves."""
     import zstandard
 
-    samples = [b for t in texts for b in _blocks(t.encode())]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too little text, which then is below DICTIONARY as well
@@ -72,14 +73,27 @@ class QualityModel:
     calibration: Logistic
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 1600, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Learns from ``per_class`` labelled rows of each class at most."""
+def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 1600, train_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+    """Learns from ``per_class`` labelled keys of each class at most, and dictionaries from about ``train_bytes`` of each."""
     spark = documents.sparkSession
     sample, sizes = training_sample(labels, label, per_class, key)
     source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = source.join(F.broadcast(sample), "key")  # 2 * per_class rows
-    texts = sorted({(r.key, r.y, r.text) for r in rows.where("part < 0.5").select("key", "y", "text").collect()})
-    bad, good = (dictionary([t for _, y, t in texts if y == of]) for of in (0, 1))
+    train = rows.where("part < 0.5")
+    held = {r.y: r.bytes for r in train.groupBy("y").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}  # two rows
+    shares = {y: min(1.0, train_bytes / max(1, n)) for y, n in held.items()}
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), text_column(batch, "text").to_pylist(), strict=True):
+                some = [b for b in _blocks(t.encode()) if xxhash.xxh3_64_intdigest(b) < shares[y] * 2.0**64]
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(some), pa.int32()), pa.array(some, pa.binary())], ["y", "block"])
+
+    # blocks that are alike count once, so copies don't fill the share
+    found = sorted((r.y, bytes(r.block)) for r in train.select("y", "text").mapInArrow(blocks, "y int, block binary").distinct().collect())
+    bad, good = (dictionary([b for y, b in found if y == of]) for of in (0, 1))
     known = spark.sparkContext.broadcast((bad, good))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +101,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 1600,
         compress = Compressors(*known.value)
         for batch in batches:
             f = [compress.features(t) for t in text_column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64())], ["y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64())], ["y", "k", "a", "b"])
 
-    found = sorted((r.y, r.a, r.b) for r in rows.where("part >= 0.5").select("y", "text").mapInArrow(features, "y int, a double, b double").collect())
+    source = rows.where("part >= 0.5").select("y", F.xxhash64("key").alias("k"), "text")
+    measured = source.mapInArrow(features, "y int, k long, a double, b double").groupBy("y", "k").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    found = sorted((r.y, r.a, r.b) for r in measured.collect())  # 2 * per_class rows
     return QualityModel(bad, good, fit(np.array([[a, b] for _, a, b in found]).reshape(-1, 2), np.array([y for y, _, _ in found]), sizes))
 
 
