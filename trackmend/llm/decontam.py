@@ -4,7 +4,8 @@ Words are lower-cased and stripped of all but letters and digits.  A window of `
 benchmark window in two places at most leaves two of four interleaved blocks of its places untouched, so one of the six
 masks that look at two blocks each hashes both windows alike: the seeds lose nothing.  Items of fewer words than that are
 one window of their own length: from ``SHORT`` words on they may differ in one place, which one of two interleaved
-blocks never sees; shorter ones must be the whole document, word by word, as two or three words stand anywhere.
+blocks never sees; from ``QUOTED`` words on they may stand anywhere, word by word; those of four words and fewer must be the
+whole document, as so few stand anywhere.
 
 Hashes of the documents go through a bitmap before they are shuffled; what passes is joined with the benchmark's hashes
 and verified word by word.  The bitmap is the only thing that is broadcast.  It has about ``BITS_EACH`` bits for each
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trackmend.llm._shared import fresh, slices, strings, text_column, worker_cache
 
-WINDOW, SUBSTITUTIONS, BLOCKS, SHORT = 13, 2, 4, 8
+WINDOW, SUBSTITUTIONS, BLOCKS, SHORT, QUOTED = 13, 2, 4, 8, 5
 #: Pairs of blocks that a mask looks at; the places of the others are ignored.
 MASKS = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
 #: Bits of the bitmap for each hash, logarithms of its least and greatest size and of a page of it, and probes.
@@ -97,7 +98,7 @@ def seeds(flat: np.ndarray, bounds: np.ndarray, short: list[int], whole_only: bo
         for mask, (a, b) in enumerate(MASKS):
             yield mask, WINDOW, at, _mix(sums[a] + sums[b] + _constant(mask + 1))
     for n in short:
-        at = bounds[:-1][sizes == n] if whole_only or n < SHORT else np.flatnonzero(left >= n)
+        at = bounds[:-1][sizes == n] if whole_only or n < QUOTED else np.flatnonzero(left >= n)
         if len(at):
             for half in (0, 1) if n >= SHORT else (0,):
                 mask = 100 + 2 * n + half
