@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain computations; and rows that are odd in every way."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import ODD, SF, ids_of, linked
-from trackmend.llm import decontam, exact_dedup, langid, ngram_join, pieces, quality, token_store, toxicity, warc
+from trackmend.llm import decontam, exact_dedup, langid, ngram_join, pieces, quality, token_counts, token_store, toxicity, warc
 from trackmend.llm._shared import fresh, shared_folder
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,8 +49,8 @@ def test_quality_scores_are_those_of_the_dictionaries(spark, docs):
 def test_dictionaries_take_whole_texts_and_tiny_ones():
     tail = "only the end of this long text says zyxwvutsrq " * 40
     texts = ["start " * 500 + f"{i} " + tail for i in range(40)]
-    assert b"zyxwvutsrq" in quality.dictionary(texts)
-    assert quality.dictionary([]) == b"" and quality.dictionary(["ab"]) == b"ab"
+    assert b"zyxwvutsrq" in quality.dictionary([b for t in texts for b in quality._blocks(t.encode())])
+    assert quality.dictionary([]) == b"" and quality.dictionary([b"ab"]) == b"ab"
 
 
 @pytest.mark.parametrize("token", ["1d1ot", "m0r0n", "t1mm", "a@a", "oo", "b|b", "4x", "stt", "1-1d", "..a"])
@@ -72,39 +73,50 @@ def test_viterbi_is_the_best_of_all_readings(token):
     assert scores[channel.restore(token)] == pytest.approx(best, abs=1e-9)
 
 
-@pytest.mark.parametrize("token", ["abab", "1t1s", "a00b"])
-def test_spaced_viterbi_is_the_best_of_all_cuts(token):
+@pytest.mark.parametrize("tokens", [list("abab"), list("1t1s"), list("a00b"), ["ab", "a", "b"], ["1", "ts"], ["bb", "0b"], ["i.t", "a"], ["-", "it", "s"]], ids="".join)
+def test_viterbi_over_tokens_is_the_best_of_all_cuts(tokens):
     words = "a ab ba it is its at to bob b".split() * 2
     channel = toxicity.Channel(Counter(f"^^{w}$"[i : i + 3] for w in words for i in range(len(w) + 1)))
-
-    def reading(part: str, before: str) -> float:
+    flat = [(c, i == 0) for t in tokens for i, c in enumerate(t)]
+    options = []
+    for k, (c, starts) in enumerate(flat):
+        one = [(c, toxicity.AS_IS if c.isalpha() else toxicity.STRANGE)] + [(x, toxicity.IMITATED) for x in toxicity.IMITATES.get(c, "")]
+        if c in toxicity.SILENT or (k and flat[k - 1][0] == c):
+            one.append(("", toxicity.DROPPED))
+        gaps = [(" ", 0.0), (toxicity.JOINED, toxicity.DROPPED)] if starts and k else [("", 0.0)]
+        options.append([(g + x, v + w) for g, v in gaps for x, w in one])
+    scores = defaultdict(lambda: -math.inf)
+    for reading in itertools.product(*options):
+        text, value = "", 0.0
+        for x, v in reading:
+            gap = x[:1] if x[:1] in (" ", toxicity.JOINED) else ""
+            # nothing ends or goes on before the first letter of a word
+            if gap and (not text or text[-1] == " "):
+                value += v - (toxicity.DROPPED if gap == toxicity.JOINED else 0.0)
+                text += x[1:]
+            else:
+                value, text = value + v, text + x
+        for word in text.split(" "):
+            padded = f"^^{word.replace(toxicity.JOINED, '')}$"
+            value += sum(channel.log_p(*padded[i : i + 3]) for i in range(len(padded) - 2))
+        scores[text] = max(scores[text], value)
+    assert scores[" ".join(channel.words(tokens))] == pytest.approx(max(scores.values()), abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_reading_with_an_entry_is_left_out(seed):
+    """What the steps through the lexicon pass over has no reading with an entry."""
+    rng = random.Random(seed)
+    lexicon = {"idio": 1.0, "mor$": 1.0, "tool": 1.0, "bel$": 1.0, "ssss": 1.0}
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(lexicon, {}))
+    for _ in range(150):
+        token = "".join(rng.choice("idomrtl01!.-se5b8") for _ in range(rng.randint(1, 6)))
         options = []
-        for i, c in enumerate(part):
-            one = [(c, toxicity.AS_IS if c.isalpha() else toxicity.STRANGE)] + [(x, toxicity.IMITATED) for x in toxicity.IMITATES.get(c, "")]
-            if c in toxicity.SILENT or c == (part[i - 1] if i else before):
-                one.append(("", toxicity.DROPPED))
-            options.append(one)
-        best = {}
-        for r in itertools.product(*options):
-            word = "".join(c for c, _ in r)
-            padded = f"^^{word}$"
-            best[word] = max(best.get(word, -math.inf), sum(x for _, x in r) + sum(channel.log_p(*padded[i : i + 3]) for i in range(len(padded) - 2)))
-        return best
-
-    scores = {}
-    for cuts in itertools.product((False, True), repeat=len(token) - 1):
-        parts, at = [], 0
-        for i, cut in enumerate(cuts, 1):
-            if cut:
-                parts.append((token[at:i], token[at - 1] if at else ""))
-                at = i
-        parts.append((token[at:], token[at - 1] if at else ""))
-        for combo in itertools.product(*[reading(p, b).items() for p, b in parts]):
-            if all(w for w, _ in combo):
-                text = " ".join(w for w, _ in combo)
-                scores[text] = max(scores.get(text, -math.inf), sum(v for _, v in combo))
-    got = channel.restore(token, spaced=True)
-    assert scores.get(" ".join(got.split()), -math.inf) == pytest.approx(max(scores.values()), abs=1e-9)
+        for i, c in enumerate(token):
+            options.append([c, *toxicity.IMITATES.get(c, "")] + ([""] if c in toxicity.SILENT or (i and token[i - 1] == c) else []))
+        any_ = any(scorer.entry("".join(r)) for r in itertools.product(*options))
+        assert scorer.reach.ends(scorer.reach.token(1, token)) == any_, token
+
 
 
 def test_languages_by_plain_arithmetic(spark, docs):
@@ -184,7 +196,7 @@ def test_two_substitutions_over_a_table(spark, docs):
         for i, w in items.items():
             n = min(len(w), decontam.WINDOW)
             allowed = 2 if n == decontam.WINDOW else 1 if n >= decontam.SHORT else 0
-            if n == 0 or len(d) < n or (n < decontam.SHORT and len(d) != n):
+            if n == 0 or len(d) < n or (n < decontam.QUOTED and len(d) != n):
                 continue
             windows = np.lib.stride_tricks.sliding_window_view(d, n)
             for at in range(len(w) - n + 1):
@@ -363,3 +375,74 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_features_of_empty_texts():
     scorer = toxicity.Scorer(toxicity.ToxicityModel({}, {}))
     assert scorer.features(pa.array([], pa.string())).shape == (0, 3) and scorer.features(pa.array(["", " "])).tolist() == [[0, 0, 0]] * 2
+
+
+LONG = "word Other, " * 15_000 + "\n" + " ".join(f"w{i}" for i in range(12_000)) + " end"
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts of far more than 20,000 words, one of them twice, beside short ones."""
+    return spark.createDataFrame([(1, LONG), (2, LONG.replace(" ", "  ")), (3, "short"), (4, LONG + "!"), (5, None)], "doc_id long, text string")
+
+
+def test_long_texts_are_counted_and_stored_whole(spark, long_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in long_docs.collect()}
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(long_docs).collect()} == {i: (len(t.encode()), len(ids[i])) for i, t in texts.items()}
+    path = shared_folder(spark, "store")
+    token_store.write_token_store(long_docs, path, shard_tokens=20_000)
+    want = {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in ids.items()}
+    assert {r.doc_id: r.ids_crc32 for r in token_store.read_token_store(spark, path).collect()} == want
+
+
+def test_long_texts_are_deduplicated_and_scored_whole(spark, long_docs):
+    rows = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(long_docs).collect()}
+    assert rows == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+    # what tells them stands at the very end
+    toxic = spark.createDataFrame([(i, f"good words {i} here " + ("you idiot" if i % 2 else "you there")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit_toxicity(toxic, labels)
+    ends = spark.createDataFrame([(1, LONG + " you idiot"), (2, LONG + " you there"), (3, LONG + " i d i o t")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(ends, model).collect()}
+    assert score[1] > 0.7 > score[2] and score[3] > 0.7
+    fitted = quality.fit_quality(toxic, labels)
+    parts = quality.Compressors(fitted.bad, fitted.good)
+    got = {r.doc_id: r.score for r in quality.score_quality(long_docs, fitted).collect()}
+    for r in long_docs.collect():
+        assert got[r.doc_id] == pytest.approx(float(fitted.calibration(np.array([parts.features(r.text or "")]))[0]))
+
+
+def test_long_and_mixed_payloads_are_read_back(spark, monkeypatch):
+    """Payloads of all classes of size, null keys and equal payloads: files stay small, nothing is lost."""
+    monkeypatch.setattr(warc, "SMALL_BYTES", 200)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    rng = random.Random(2)
+    bodies = ["x" * 1500, LONG, ""] + ["".join(rng.choice("abc é") for _ in range(10**k)) for k in (1, 2, 3, 4) for _ in range(6)]
+    rows = [(i if i % 4 else None, f"http://h/{i}", b) for i, b in enumerate(bodies * 2)]
+    path = shared_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.read_warc(spark, path, with_payload=True).where("kind in ('response', 'revisit')").collect()
+    assert Counter((r.payload_bytes, r.payload_digest) for r in found) == Counter((len(b.encode()), hashlib.sha1(b.encode()).hexdigest()) for _, _, b in rows)
+    largest = {}
+    for i, _, b in rows:
+        if i is not None and len(b.encode()) >= 1000:
+            largest[b] = max(largest.get(b, i), i)
+    assert sum(r.kind == "revisit" for r in found) == sum(i is not None and b in largest and i != largest[b] for i, _, b in rows)
+
+
+def test_documents_without_keys_dont_crowd_the_language_sample(spark, monkeypatch):
+    texts = [f"the cat and dog number {i} of many" for i in range(3000)]
+    rows = [(None, t, "en") for t in texts] + [(7, t, "de") for t in texts] + [(None, texts[0], "en")] * 500
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known, table = langid.text_model(given, per_language=100)
+    whole, full = langid.text_model(given, per_language=10_000)
+    assert known == whole == ["de", "en"]
+    sums = [np.exp(t.astype(np.float64)) for t in (table, full)]
+    # a cell that all texts fill: shares are alike, while the sample has about a thirtieth of the counts
+    seen = [1 / s.min(1) for s in sums]
+    assert all(x < y / 8 for x, y in zip(*seen, strict=True))

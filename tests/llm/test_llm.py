@@ -190,7 +190,7 @@ def test_more_disguises():
     for w in ("iiddiioott", "m000ron", "stuupid", "tr@@sh", "!diot" + "!" * 70):
         assert scorer.token(w) > 0, w
     assert all(scorer.token(w) == 0 for w in ("green", "garden", "see", "2000"))
-    spaced = ["a i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\r\ni\no\nt", "i\u00a0d\u3000i o t", "s u c h a m o r o n", "the 1 d 1 0 t is", "l o s e r"]
+    spaced = ["id iot", "i d iot", "id i o t", "i. d. i. o. t.", "i, d, i, o, t", "(i)(d)(i)(o)(t)", "ii dd ii oo tt", "you - i - d - i - o - t", "a m0 r0n", "tr as h", "a i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\r\ni\no\nt", "i\u00a0d\u3000i o t", "s u c h a m o r o n", "the 1 d 1 0 t is", "l o s e r"]
     f = scorer.features(pa.array(spaced + ["t h e h o u s e", "g r e e n", "i d i o t s t u p i d"]))
     assert [s for s, x in zip(spaced, f[:, 0], strict=False) if x <= 0] == []
     assert f[-3:, 0].tolist() == [0, 0, 6] and f[-1, 2] == pytest.approx(np.log1p(2))

@@ -45,7 +45,8 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least: int = 1000, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """(value): the text of each record.  Of equal payloads of ``least`` bytes or more, the largest key has the response."""
+    """(value, payload_bytes): the text of each record.  Of equal payloads of ``least`` bytes or more, the largest key has
+    the response."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("body"))
     digest = F.unhex(F.sha2("body", 256))
@@ -54,10 +55,10 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
     moved = long.distinct().join(last, "digest").where("key <> target")
     moved = moved.groupBy("key").agg(F.collect_set(F.struct("digest", "target")).alias("targets"))  # one for each payload of a key
 
-    # the join and the window deal rows by the same key: payloads move once
-    full = rows.withColumn("digest", digest).join(moved, "key", "left")
-    full = full.withColumn("number", F.row_number().over(Window.partitionBy("key", "digest").orderBy("uri")) - 1)
-    target = F.filter(F.col("targets"), lambda x: x["digest"] == F.col("digest"))
+    # the join and the window deal rows by the same key: payloads move once; rows without a key are dealt by payload
+    full = rows.withColumn("digest", digest).withColumn("deal", F.coalesce("key", F.xxhash64("digest"))).join(moved.withColumnRenamed("key", "deal"), "deal", "left")
+    full = full.withColumn("number", F.row_number().over(Window.partitionBy("deal", "key", "digest").orderBy("uri")) - 1)
+    target = F.filter(F.when(F.col("key").isNotNull(), F.col("targets")), lambda x: x["digest"] == F.col("digest"))
     full = full.withColumn("target", F.try_element_at(target, F.lit(1)))
     again = F.col("target").isNotNull()
 
@@ -82,19 +83,29 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
         ),
         _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", metadata), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("\r\n"))),
     )
-    return full.select(F.explode(kinds).alias("value"))
+    return full.select(F.explode(kinds).alias("value"), F.octet_length("body").alias("payload_bytes"))
 
 
-#: Bytes of payload that an archive holds on average, at most.
-FILE_BYTES = 256 << 20
+#: Bytes of payload that an archive holds at most, about, and largest payload of the smallest class of them.
+FILE_BYTES, SMALL_BYTES = 256 << 20, 64 << 10
 
 
 def write_warc(pages: DataFrame, path: str, payload: str = "html", records_per_file: int = 100_000, **columns) -> None:
-    """Writes archives of ``records_per_file`` records at most, and fewer where payloads are large: an archive is read
-    as one binary value, so its size must stay well below 2 GB."""
-    mean = pages.agg(F.avg(F.octet_length(F.col(payload).cast("string"))).alias("mean")).first().mean or 0.0
-    records_per_file = max(1, min(records_per_file, int(3 * FILE_BYTES / (mean + 1))))
-    records(pages, payload=payload, **columns).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    """Writes archives of ``records_per_file`` records at most.
+
+    An archive is read as one binary value, so it must stay well below 2 GB however sizes are spread.  Payloads are put in
+    classes, each of up to eight times the size of the one before, and written class by class; the largest payload of a
+    class says how many records make a file.  Most tables have one class or two."""
+    size = F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0))
+    number = sum((F.when(size > SMALL_BYTES * 8**i, 1).otherwise(0) for i in range(5)), F.lit(0))  # up to 2 GB
+    classes = sorted(r.c for r in pages.select(number.alias("c")).distinct().collect()) or [0]
+    for number in classes:
+        most = SMALL_BYTES * 8**number
+        within = (F.col("payload_bytes") > (most // 8 if number else -1)) & (F.lit(number == 5) | (F.col("payload_bytes") <= most))
+        some = records(pages, payload=payload, **columns).where(within).select("value")
+        # a third of the records have a payload
+        count = max(1, min(records_per_file, 3 * FILE_BYTES // most))
+        some.write.mode("append" if number != classes[0] else "errorifexists").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): ?(.*?)\r?$", re.M)
