@@ -43,13 +43,51 @@ def test_transitive_duplicates_are_one_group(spark):
     assert [(r.source_ids, r.was_merged, r.x1) for r in rows] == [([0, 1, 2], True, 30.0), ([3], False, 500.0)]  # equal confidence: the lower id
 
 
-def test_wide_frames_agree_with_narrow_ones(spark, monkeypatch):
-    random.seed(3)
-    rows = [(0, x, y, x + 60, y + 60, 0.5) for x, y in ((random.randint(0, 400), random.randint(0, 400)) for _ in range(60))]
+@pytest.mark.parametrize(("n", "batch"), [(60, 10_000), (400, 7), (3, 2)])
+def test_groups_are_those_of_all_pairs(spark, n, batch):
+    """Wide and narrow frames, several in a batch and several batches in a frame, flat and turned boxes among them."""
+    rng = random.Random(n)
+    rows = []
+    for f in range(5):
+        for _ in range(rng.randint(1, n)):
+            x, y = rng.randint(0, 400), rng.randint(0, 400)
+            rows.append((f, x, y, x + rng.choice([60, 60, 0, -5, 90]), y + rng.choice([60, 60, 0]), rng.choice([0.5, 0.25])))
     df = boxes(spark, rows)
-    narrow = sorted(tuple(r.source_ids) for r in merge.merge_duplicates(df, Config()).collect())
-    monkeypatch.setattr(merge, "WIDEST", 10)
-    assert narrow == sorted(tuple(r.source_ids) for r in merge.merge_duplicates(df, Config()).collect())
+    want = set()
+    area = lambda b: max(0, b[3] - b[1]) * max(0, b[4] - b[2])
+    for f in range(5):
+        ids = [i for i, r in enumerate(rows) if r[0] == f]
+        root = {i: i for i in ids}
+        for i, j in itertools.combinations(ids, 2):
+            a, b = rows[i], rows[j]
+            common = max(0, min(a[3], b[3]) - max(a[1], b[1])) * max(0, min(a[4], b[4]) - max(a[2], b[2]))
+            if common > 0 and min(area(a), area(b)) > 0 and common / min(area(a), area(b)) >= Config().duplicate_overlap_threshold:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+        for number, first in enumerate(sorted(set(root.values()))):
+            members = [i for i in ids if root[i] == first]
+            best = min(members, key=lambda i: (-rows[i][5], i))
+            want.add((f, number, float(rows[best][1]), rows[best][5], tuple(members), len(members) > 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.frame, r.cand_idx, r.x1, r.confidence, tuple(r.source_ids), r.was_merged) for r in merge.merge_duplicates(df, Config()).collect()}
+        firsts = {(r.det_id, r.first) for r in merge.duplicate_components(df, Config()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and firsts == {(i, w[4][0]) for w in want for i in w[4]}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_parts_of_a_cost_matrix_are_solved_by_themselves(seed):
+    rng = np.random.default_rng(seed)
+    cost = rng.uniform(-5, 50, (int(rng.integers(1, 6)), int(rng.integers(1, 6))))
+    cost[rng.random(cost.shape) < rng.choice([0.3, 0.6, 0.8])] = tracking.IMPOSSIBLE
+    total = lambda pairs: (-len(pairs), sum(cost[i, j] for i, j in pairs))
+    small = cost if cost.shape[0] <= cost.shape[1] else cost.T
+    best = min((tuple((i, j) for i, j in enumerate(p) if small[i, j] < tracking.IMPOSSIBLE) for p in itertools.permutations(range(small.shape[1]), small.shape[0])), key=lambda q: (-len(q), sum(small[i, j] for i, j in q)))
+    found = tracking.matched(cost)
+    assert total(found) == pytest.approx((-len(best), sum(small[i, j] for i, j in best)))
+    assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
 
 
 def test_thresholds_are_strict(spark):
@@ -60,8 +98,9 @@ def test_thresholds_are_strict(spark):
 
 def test_non_finite_boxes_are_set_apart(spark):
     df = boxes(spark, [(0, 0, 0, math.nan, 10, 0.5), (0, 0, 0, math.inf, 10, 0.5), (0, 0, 0, 10, 10, 0.5)])
-    assert [r.det_id for r in rejects.finite(df).collect()] == [2]
-    assert rejects.quarantine(df).count() == 2
+    rows = rejects.geometric_reject(df, Config(min_area_px2=1)).collect()
+    assert sorted((r.source_ids, r.cand_idx, r.reject_stage) for r in rows if r.cand_idx is None) == [([0], None, "not_finite"), ([1], None, "not_finite")]
+    assert [(r.source_ids, r.cand_idx, r.reject_stage) for r in rows if r.cand_idx is not None] == [([2], 0, None)]
 
 
 def test_boxes_that_are_no_numbers_reach_no_track_and_no_hang(spark):

@@ -1,18 +1,22 @@
-"""Duplicate boxes of a frame: pairs, transitive groups, and the candidate that stands for each group."""
+"""Duplicate boxes of a frame: pairs, transitive groups, and the candidate that stands for each group.
+
+Frames are dealt out once, and their boxes swept from left to right: sorted by their left edges, a box is compared only
+with those that begin before it ends.  All frames of a batch are swept at once, whether they are narrow or wide, and
+groups are closed by passing on the smallest member.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackmend.config import Config
-from trackmend.functions.geometry import box, field_box, overlap_ratio
+from trackmend.functions.geometry import box, overlap_ratio
 
-#: Boxes of a frame whose overlaps fit the bits of a long.
-WIDEST = 63
 _BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -24,70 +28,121 @@ def duplicate_pairs(detections: DataFrame, config: Config) -> DataFrame:
     return a.join(b, ["cid", "frame"]).where((F.col("det_a") < F.col("det_b")) & near).select("cid", "frame", "det_a", "det_b")
 
 
-def _frames(detections: DataFrame) -> DataFrame:
-    """One row for each frame, its boxes in the order of their ids."""
-    return detections.groupBy("cid", "frame").agg(F.sort_array(F.collect_list(F.struct("det_id", *_BOX, "confidence"))).alias("d"))
-
-
-def _groups(config: Config) -> Column:
-    """For each box of ``d`` the place of the first box of its group: overlaps as bits, closed transitively."""
-    places = F.sequence(F.lit(0), F.size("d") - 1)
-
-    def bit(mask: Column, k: Column) -> Column:
-        return F.call_function("getbit", mask, k)
+def overlapping(frame: np.ndarray, corners: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of boxes of one frame that overlap by ``threshold`` or more, by a sweep over all frames."""
+    order = np.lexsort((corners[:, 0], frame))
+    f, (x1, y1, x2, y2) = frame[order], corners[order].T
+    area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, step = np.arange(len(f)), 1
+    while len(at):
+        at = at[at + step < len(f)]
+        other = at + step
+        # a box that begins where this one has ended ends its sweep
+        going = (f[other] == f[at]) & ((x1[other] < x2[at]) | (threshold <= 0))
+        at, other = at[going], other[going]
+        common = np.clip(np.minimum(x2[at], x2[other]) - x1[other], 0, None) * np.clip(np.minimum(y2[at], y2[other]) - np.maximum(y1[at], y1[other]), 0, None)
+        smaller = np.minimum(area[at], area[other])
+        ratio = np.divide(common, smaller, out=np.zeros(len(at)), where=(common > 0) & (smaller > 0))
+        near = ratio >= threshold
+        left.append(order[at[near]])
+        right.append(order[other[near]])
+        step += 1
+    return np.concatenate(left), np.concatenate(right)
+
+
+def first_members(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest member of the group of each of ``n`` items that pairs connect."""
+    first = np.arange(n)
+    while True:
+        least = np.minimum(first[left], first[right])
+        if np.array_equal(least, first[left]) and np.array_equal(least, first[right]):
+            return first
+        np.minimum.at(first, left, least)
+        np.minimum.at(first, right, least)
+        while not np.array_equal(first, first[first]):
+            first = first[first]
+
+
+def _by_frame(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on batches that end between frames, with the number of each row's frame in the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            if rows.num_rows:
+                number = _numbers(rows)
+                last = int(np.searchsorted(number, number[-1]))  # that frame may go on
+                if last:
+                    yield work(rows.slice(0, last), number[:last])
+                held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield work(held, _numbers(held))
+
+    return run
+
+
+def _numbers(rows: pa.Table) -> np.ndarray:
+    clip = rows.column("cid").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    frame = rows.column("frame").to_numpy()
+    return np.concatenate(([0], np.cumsum((clip[1:] != clip[:-1]) | (frame[1:] != frame[:-1]))))
+
+
+def _groups(rows: pa.Table, number: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the group's first box, whether the box is one of finite numbers); others are groups of their own."""
+    values = np.stack([rows.column(c).to_numpy().astype(float) for c in (*_BOX, "confidence")], 1)
+    sound = np.isfinite(values).all(1)
+    at = np.flatnonzero(sound)
+    left, right = overlapping(number[at], values[at, :4], threshold)
+    return first_members(len(number), at[left], at[right]), sound
+
+
+def _dealt(detections: DataFrame) -> DataFrame:
+    return detections.select("cid", "frame", "det_id", *_BOX, "confidence").repartition("cid", "frame").sortWithinPartitions("cid", "frame", "det_id")
 
-    def row(x: Column) -> Column:
-        near = F.transform(F.col("d"), lambda y: (x["det_id"] == y["det_id"]) | (overlap_ratio(field_box(x), field_box(y)) >= config.duplicate_overlap_threshold))
-        return F.aggregate(F.transform(near, lambda n, j: F.when(n, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
 
-    def firsts(masks: Column) -> Column:
-        closed = F.aggregate(places, masks, lambda now, k: F.transform(now, lambda m: F.when(bit(m, k) == 1, m.bitwiseOR(now[k])).otherwise(m)))
-        groups = F.transform(closed, lambda m: F.array_min(F.filter(places, lambda j: bit(m, j) == 1)))
-        # most frames have no overlap: each box is a group, and there is nothing to close
-        return F.when(F.forall(masks, lambda m: m.bitwiseAND(m - 1) == 0), places).otherwise(groups)
-
-    return F.transform(F.array(F.transform(F.col("d"), row)), firsts)[0]  # one element: its masks are computed once
-
-
-def _wide_groups(batches):
-    """The same by merging labels, for frames with more boxes than a long has bits."""
-    for frame in batches:
-        labels = []
-        for boxes, threshold in zip(frame["d"], frame["threshold"], strict=True):
-            x1, y1, x2, y2 = (np.array([b[c] for b in boxes], float) for c in _BOX)
-            area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
-            label = np.arange(len(boxes))
-            for i in range(len(boxes)):
-                common = np.clip(np.minimum(x2[i], x2) - np.maximum(x1[i], x1), 0, None) * np.clip(np.minimum(y2[i], y2) - np.maximum(y1[i], y1), 0, None)
-                smaller = np.minimum(area[i], area)
-                near = (common > 0) & (smaller > 0) & (common >= threshold * smaller)
-                near[i] = True
-                met = np.unique(label[near])
-                label[np.isin(label, met)] = met.min()
-            labels.append(label.astype(np.int32))
-        yield pd.DataFrame({"cid": frame["cid"], "frame": frame["frame"], "d": frame["d"], "g": labels})
+def duplicate_components(detections: DataFrame, config: Config) -> DataFrame:
+    """(cid, frame, det_id, first): the lowest id of the group of each box."""
+    threshold = config.duplicate_overlap_threshold
 
+    def work(rows: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+        first, _ = _groups(rows, number, threshold)
+        ids = rows.column("det_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([rows.column("cid").combine_chunks(), rows.column("frame").combine_chunks(), ids, ids.take(pa.array(first))], ["cid", "frame", "det_id", "first"])
 
-def duplicate_components(detections: DataFrame, config: Config) -> DataFrame:
-    """(cid, frame, d, g): the boxes of each frame, and for each the place of the first box of its group."""
-    frames = _frames(detections)
-    narrow = frames.where(F.size("d") <= WIDEST).select("cid", "frame", "d", F.when(F.size("d") == 1, F.array(F.lit(0))).otherwise(_groups(config)).alias("g"))
-    schema = T.StructType([*frames.schema, T.StructField("g", T.ArrayType(T.IntegerType()))])
-    wide = frames.where(F.size("d") > WIDEST).withColumn("threshold", F.lit(config.duplicate_overlap_threshold)).mapInPandas(_wide_groups, schema)
-    return narrow.unionByName(wide)
+    kind = detections.schema["cid"].dataType.simpleString()
+    return _dealt(detections).mapInArrow(_by_frame(work), f"cid {kind}, frame long, det_id long, first long")
 
 
 def merge_duplicates(detections: DataFrame, config: Config) -> DataFrame:
     """Candidates (cid, frame, cand_idx, x1, y1, x2, y2, confidence, source_ids, was_merged).
 
     A group is represented by its most confident box, of equals the one with the lowest id; candidates of a frame are
-    numbered in the order of their groups' lowest ids.
+    numbered in the order of their groups' lowest ids.  A box with a coordinate or confidence that isn't finite is a
+    candidate of its own without a number.
     """
-    boxed = F.transform(F.col("d"), lambda b, i: F.struct(b["confidence"].alias("confidence"), (-b["det_id"]).alias("order"), *[b[c].alias(c) for c in _BOX], F.col("g")[i].alias("g")))
-    groups = duplicate_components(detections, config).select("cid", "frame", boxed.alias("d"), F.array_sort(F.array_distinct("g")).alias("firsts"))
-    one = groups.select("cid", "frame", F.posexplode("firsts").alias("cand_idx", "first"), "d")
-    members = one.withColumn("m", F.filter("d", lambda b: b["g"] == F.col("first"))).withColumn("best", F.array_max("m"))
-    return members.select(
-        "cid", "frame", F.col("cand_idx").cast("long").alias("cand_idx"), *[F.col(f"best.{c}").alias(c) for c in _BOX], F.col("best.confidence").alias("confidence"),
-        F.array_sort(F.transform("m", lambda b: -b["order"])).alias("source_ids"), (F.size("m") > 1).alias("was_merged"),
-    )
+    threshold = config.duplicate_overlap_threshold
+
+    def work(rows: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+        first, sound = _groups(rows, number, threshold)
+        confidence = np.nan_to_num(rows.column("confidence").to_numpy().astype(float), nan=0.0)
+        # rows stand by id: a stable sort leaves the lowest one first among equals, and members in order
+        best_order, members = np.lexsort((-confidence, first)), np.argsort(first, kind="stable")
+        leads = np.flatnonzero(first == np.arange(len(first)))
+        size = np.bincount(first, minlength=len(first))[leads]
+        starts = np.cumsum(size) - size
+        best = pa.array(best_order[starts])
+        counted = np.cumsum(sound[leads])
+        of = number[leads]
+        begin = np.searchsorted(of, of)  # the frame's first candidate
+        index = counted - 1 - np.where(begin > 0, counted[begin - 1], 0)
+        ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(first)), pa.int32()), rows.column("det_id").combine_chunks().take(pa.array(members)))
+        columns = [rows.column(c).combine_chunks().take(best) for c in ("cid", "frame")]
+        columns += [pa.array(index, pa.int64(), mask=~sound[leads]), *[rows.column(c).combine_chunks().take(best) for c in (*_BOX, "confidence")], ids, pa.array(size > 1)]
+        return pa.RecordBatch.from_arrays(columns, ["cid", "frame", "cand_idx", *_BOX, "confidence", "source_ids", "was_merged"])
+
+    kind = detections.schema["cid"].dataType.simpleString()
+    corners = ", ".join(f"{c} double" for c in _BOX)
+    return _dealt(detections).mapInArrow(_by_frame(work), f"cid {kind}, frame long, cand_idx long, {corners}, confidence double, source_ids array<bigint>, was_merged boolean")

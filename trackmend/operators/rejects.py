@@ -38,24 +38,8 @@ def reject_reach(rows: DataFrame, config: Config, disparity: DataFrame | None) -
 
 
 def geometric_reject(detections: DataFrame, config: Config, disparity: DataFrame | None = None) -> DataFrame:
-    """Merged candidates, each with the stage that rejects it or null.  Boxes with a coordinate that isn't finite are
-    left to ``quarantine``."""
-    rows = reject_shape(reject_size(merge_duplicates(detections, config), config), config)
+    """Merged candidates, each with the stage that rejects it or null.  Boxes with a number that isn't finite are rejected
+    by themselves."""
+    merged = merge_duplicates(detections, config).withColumn("reject_stage", F.when(F.col("cand_idx").isNull(), "not_finite"))
+    rows = reject_shape(reject_size(merged, config), config)
     return reject_reach(rows, config, disparity)
-
-
-def _is_finite() -> Column:
-    ok = F.lit(True)
-    for c in [*_BOX, "confidence"]:
-        ok = ok & F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
-    return ok
-
-
-def finite(detections: DataFrame) -> DataFrame:
-    return detections.where(_is_finite())
-
-
-def quarantine(detections: DataFrame) -> DataFrame:
-    """The boxes that ``finite`` leaves out, each as a candidate of its own that is rejected as ``not_finite``."""
-    odd = detections.where(~_is_finite())
-    return odd.select("cid", "frame", F.lit(None).cast("long").alias("cand_idx"), *_BOX, "confidence", F.array("det_id").alias("source_ids"), F.lit(False).alias("was_merged"), F.lit("not_finite").alias("reject_stage"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmend.config import Config
+from trackmend.operators.merge import first_members
 
 IMPOSSIBLE = 1e6
 _BOX = ["x1", "y1", "x2", "y2"]
@@ -57,46 +58,72 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
+def matched(cost: np.ndarray) -> list[tuple[int, int]]:
+    """The possible pairs of the assignment of least cost.  Rows and columns that no possible pair connects don't bear
+    on each other, so each part of the matrix is solved by itself; most are single pairs."""
+    possible = cost < IMPOSSIBLE
+    rows, columns = np.nonzero(possible)
+    alone = (possible.sum(1)[rows] == 1) & (possible.sum(0)[columns] == 1)
+    out = list(zip(rows[alone].tolist(), columns[alone].tolist(), strict=True))
+    rows, columns = rows[~alone], columns[~alone]
+    if len(rows):
+        part = first_members(sum(cost.shape), rows, columns + len(cost))[rows]
+        for p in np.unique(part):
+            r, c = np.unique(rows[part == p]), np.unique(columns[part == p])
+            some = cost[np.ix_(r, c)]
+            out += [(int(r[i]), int(c[j])) for i, j in assign(some) if some[i, j] < IMPOSSIBLE]
+    return out
+
+
 class Linker:
-    """The live tracks of one clip.  A track is a list: number, last frame, x, y, last box, frame before, its x, y."""
+    """The live tracks of one clip, a row of ``live`` for each: number, last frame, x, y, last box, frame before, its x, y;
+    the last three are NaN for a track of one box."""
+
+    WIDTH = 11
 
-    def __init__(self, config: Config, live: list[list] | None = None, made: int = 0):
-        self.config, self.live, self.made = config, live or [], made
+    def __init__(self, config: Config, live: np.ndarray | None = None, made: int = 0):
+        self.config, self.made = config, made
+        self.live = np.zeros((0, self.WIDTH)) if live is None else live
 
     def step(self, frame: int, boxes: np.ndarray) -> list[int]:
         """The track number of each candidate of a frame, in their order."""
+        c, live = self.config, self.live
+        live = live[frame - live[:, 1] <= c.give_up_frames]
+        found = np.full(len(boxes), -1)
+        xy = (boxes[:, :2] + boxes[:, 2:]) / 2
+        if len(live) and len(boxes):
+            for i, j in matched(self._cost(frame, live, boxes, xy)):
+                live[i, 8:11] = live[i, 1:4]
+                live[i, 1], live[i, 2:4], live[i, 4:8] = frame, xy[j], boxes[j]
+                found[j] = live[i, 0]
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self.made + np.arange(len(new))
+            self.made += len(new)
+            nan = np.full((len(new), 3), np.nan)
+            live = np.concatenate([live, np.c_[found[new], np.full(len(new), frame), xy[new], boxes[new], nan]])
+        self.live = live
+        return found.tolist()
+
+    def _cost(self, frame: int, live: np.ndarray, boxes: np.ndarray, xy: np.ndarray) -> np.ndarray:
+        """Of each track and candidate, in one matrix."""
         c = self.config
-        self.live = [t for t in self.live if frame - t[1] <= c.give_up_frames]
-        found = [-1] * len(boxes)
-        xs, ys = (boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2
-        if self.live and len(boxes):
-            cost = np.full((len(self.live), len(boxes)), IMPOSSIBLE)
-            area = np.clip(boxes[:, 2] - boxes[:, 0], 0, None) * np.clip(boxes[:, 3] - boxes[:, 1], 0, None)
-            for i, (_, last, x, y, held, before, bx, by) in enumerate(self.live):
-                elapsed = frame - last
-                if elapsed <= 0:
-                    continue
-                if before is not None:
-                    x, y = x + (x - bx) / (last - before) * elapsed, y + (y - by) / (last - before) * elapsed
-                gate = c.resume_gate_px + c.max_speed_px_per_frame * elapsed
-                away = np.sqrt((xs - x) ** 2 + (ys - y) ** 2)
-                value = away
-                if elapsed <= 2:
-                    common = np.clip(np.minimum(boxes[:, 2], held[2]) - np.maximum(boxes[:, 0], held[0]), 0, None) * np.clip(np.minimum(boxes[:, 3], held[3]) - np.maximum(boxes[:, 1], held[1]), 0, None)
-                    union = area + max(0.0, held[2] - held[0]) * max(0.0, held[3] - held[1]) - common
-                    value = away - c.association_iou_weight * np.where((common > 0) & (union > 0), common / np.where(union > 0, union, 1), 0.0) * gate
-                cost[i] = np.where(away <= gate, value, IMPOSSIBLE)
-            for i, j in assign(cost):
-                if cost[i, j] < IMPOSSIBLE:
-                    t = self.live[i]
-                    self.live[i] = [t[0], frame, float(xs[j]), float(ys[j]), tuple(map(float, boxes[j])), t[1], t[2], t[3]]
-                    found[j] = t[0]
-        for j in range(len(boxes)):
-            if found[j] < 0:
-                found[j] = self.made
-                self.live.append([self.made, frame, float(xs[j]), float(ys[j]), tuple(map(float, boxes[j])), None, None, None])
-                self.made += 1
-        return found
+        elapsed = frame - live[:, 1]
+        speed = (live[:, 2:4] - live[:, 9:11]) / (live[:, 1] - live[:, 8])[:, None]
+        expected = live[:, 2:4] + np.where(np.isnan(live[:, 8:9]), 0.0, speed) * elapsed[:, None]
+        gate = (c.resume_gate_px + c.max_speed_px_per_frame * elapsed)[:, None]
+        dx, dy = xy[None, :, 0] - expected[:, None, 0], xy[None, :, 1] - expected[:, None, 1]
+        away = np.sqrt(dx**2 + dy**2)
+        value = away
+        near = elapsed <= 2
+        if near.any():
+            held, size = live[near, None, 4:8], np.clip(boxes[:, 2:] - boxes[:, :2], 0, None).prod(1)
+            common = np.clip(np.minimum(boxes[None, :, 2:], held[..., 2:]) - np.maximum(boxes[None, :, :2], held[..., :2]), 0, None).prod(2)
+            union = size + np.clip(held[..., 2:] - held[..., :2], 0, None).prod(2) - common
+            iou = np.divide(common, union, out=np.zeros(common.shape), where=(common > 0) & (union > 0))
+            value = away.copy()
+            value[near] -= c.association_iou_weight * iou * gate[near]
+        return np.where((away <= gate) & (elapsed > 0)[:, None], value, IMPOSSIBLE)
 
 
 def islands(candidates: DataFrame, config: Config) -> DataFrame:
@@ -158,10 +185,10 @@ def associate(candidates: DataFrame, frames: DataFrame, config: Config, split: b
 def build_loose_tracks(detections: DataFrame, frames: DataFrame, config: Config, loose: Config | None = None) -> DataFrame:
     """Merged candidates linked with every gate open that can be: boxes without a width or height, or with a coordinate
     that isn't finite, are no candidates even so.  ``loose`` has other gates than the open ones of ``config.loose()``."""
-    from trackmend.operators.rejects import finite, geometric_reject
+    from trackmend.operators.rejects import geometric_reject
 
     loose = loose or config.loose()
-    live = geometric_reject(finite(detections), loose).where("reject_stage is null").drop("reject_stage")
+    live = geometric_reject(detections, loose).where("reject_stage is null").drop("reject_stage")
     return associate(live, frames, loose)
 
 

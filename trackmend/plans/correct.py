@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackmend.config import Config
 from trackmend.operators.camera import vio_at_frame
 from trackmend.operators.gaps import interpolate_tracks, rejected_rows
-from trackmend.operators.rejects import finite, geometric_reject, quarantine
+from trackmend.operators.rejects import geometric_reject
 from trackmend.operators.selection import select_cap
 from trackmend.operators.temporal import reject_temporal
 from trackmend.operators.tracking import associate
@@ -21,7 +21,7 @@ def staged(detections: DataFrame, frames: DataFrame, vio: DataFrame, config: Con
     Candidates, and the staged rows in ``correct_detections``, are read by several branches: they are persisted, which
     survives lost executors; ``spark.catalog.clearCache()`` frees them.
     """
-    candidates = geometric_reject(finite(detections), config, disparity).unionByName(quarantine(detections)).persist()
+    candidates = geometric_reject(detections, config, disparity).persist()
     early = candidates.where("reject_stage is not null")
     live = candidates.where("reject_stage is null")
     # the camera's state joins before tracking, so that one dealing by clip serves all that follows

@@ -99,8 +99,7 @@ def duplicate_pairs(fx: Fixture) -> DataFrame:
 
 @query(o.q(o.merged(), "SELECT cid, frame, det_id, first FROM comp"))
 def duplicate_components(fx: Fixture) -> DataFrame:
-    rows = merge.duplicate_components(fx.detections, CONFIG).select("cid", "frame", "d", F.posexplode("g").alias("i", "first"))
-    return rows.select("cid", "frame", F.col("d")[F.col("i")]["det_id"].alias("det_id"), F.col("d")[F.col("first")]["det_id"].alias("first"))
+    return merge.duplicate_components(fx.detections, CONFIG)
 
 
 _CAND = f"cid, frame, cand_idx, {o.BOX6}, {o.r6('confidence', 'confidence')}, array_to_string(source_ids, ',') AS source_ids, was_merged"

@@ -32,7 +32,7 @@ _BOX = ["x1", "y1", "x2", "y2"]
 _ROW = ["cand_idx", *_BOX]
 #: Rows of a clip that a micro-batch holds in memory at most, and rows that are given on together.
 HELD, GIVEN = 100_000, 5_000
-LIVE = "number long, last long, x double, y double, x1 double, y1 double, x2 double, y2 double, before long, bx double, by double"
+LIVE = "number double, last double, x double, y double, x1 double, y1 double, x2 double, y2 double, before double, bx double, by double"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,14 +53,13 @@ class ClipLinker(StatefulProcessor):
 
     def _linker(self) -> tuple[Linker, int]:
         made, last = self.clock.get() if self.clock.exists() else (0, -1)
-        tracks = [[t[0], t[1], t[2], t[3], tuple(t[4:8]), t[8], t[9], t[10]] for t in self.live.get()] if self.live.exists() else []
-        return Linker(self.config, tracks, made), last
+        tracks = [list(t) for t in self.live.get()] if self.live.exists() else []
+        return Linker(self.config, np.array(tracks, float).reshape(-1, Linker.WIDTH), made), last
 
     def _keep(self, linker: Linker, last: int) -> None:
         self.clock.update((linker.made, last))
-        tracks = [(int(n), int(at), float(x), float(y), *map(float, box), before if before is None else int(before), bx, by) for n, at, x, y, box, before, bx, by in linker.live]
-        if tracks:
-            self.live.put(tracks)
+        if len(linker.live):
+            self.live.put([tuple(t) for t in linker.live.tolist()])
         else:
             self.live.clear()
 
