@@ -17,7 +17,7 @@ from trackmend.operators import audit, calibration, camera, gaps, merge, rejects
 from trackmend.plans import registry
 from trackmend.plans.correct import correct_detections
 from trackmend.plans.fixtures import CONFIG, LANES, Fixture
-from trackmend.sources import bundles
+from trackmend.sources import bundles, sinks
 from trackmend.streaming.associate import associate_stream
 
 SF = "/root/testdata/sf0.001"
@@ -393,6 +393,50 @@ def test_whole_pages_are_compared(spark, monkeypatch, name):
     assert sizes == {p: (n // 80, n // 80 * 80, n // 80 * 80, n // 80 - n // 80 // 6) for p, n in lengths.items()}
 
 
+def test_only_the_named_clips_are_opened(spark, tmp_path):
+    for name in ("a", "b*", "c"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "hand_boxes.json").write_text(json.dumps({"video_frame_count": 1, "frames": [{"frame": 0, "detections": [{"xyxy": [1, 2, 3, 4], "class": 0, "confidence": 0.9}]}]}))
+        (tmp_path / name / "meta.json").write_text(json.dumps({"width": 640}))
+        (tmp_path / name / "vio_pose.json").write_text(json.dumps({"t": [0.0], "speed": [1.0], "yaw": [0.0], "pitch": [0.0], "roll": [0.0]}))
+        (tmp_path / name / "frame_ts.json").write_text(json.dumps({"frame_ts": {"0": 5}}))
+    (tmp_path / "c" / "hand_boxes.json").write_text("not read")
+    root = str(tmp_path)
+    for read in (bundles.read_detections, bundles.read_frames, bundles.read_vio, bundles.read_frame_ts, bundles.read_clips):
+        assert sorted(r.cid for r in read(spark, root, clips=["a", "b*", "a"]).collect()) == ["a", "b*"]
+        assert read(spark, root, clips=[]).count() == 0
+        assert [f for f in read(spark, root, clips=["a"]).inputFiles() if "/a/" not in f] == []
+
+
+def test_one_clip_is_corrected_again(spark, tmp_path):
+    """Its folder and its row of the summary are replaced; the files and rows of all others stay."""
+    schema = "cid string, frame long, x1 double, y1 double, x2 double, y2 double, status string, confidence double, track_id long, reject_stage string, source_ids array<bigint>"
+    detections = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 0), ("c", 0, 0)], "cid string, frame long, det_id long")
+    first = spark.createDataFrame([(c, f, 0.0, 0.0, 1.0, 1.0, "reported", 0.5, 0, None, [i]) for c, f, i in (("a", 0, 0), ("a", 1, 1), ("b", 0, 0), ("c", 0, 0))], schema)
+    rows, summary = str(tmp_path / "rows"), str(tmp_path / "summary")
+    sinks.write_corrected(first, rows, "json")
+    sinks.write_run_summary(detections, first, summary)
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "rows").glob("cid=[bc]/*.json")}
+    before = {r.cid: r for r in spark.read.json(summary).collect()}
+    again = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 1.0, "reported", 0.5, 7, None, [0]), ("a", 1, 0.0, 0.0, 1.0, 1.0, "rejected", 0.5, None, "size", [1])], schema)
+    sinks.replace_corrected(again, rows)
+    sinks.replace_run_summary(detections.where("cid = 'a'"), again, summary, str(tmp_path / "staging"))
+    assert kept and {p: p.stat().st_mtime_ns for p in (tmp_path / "rows").glob("cid=[bc]/*.json")} == kept
+    found = spark.read.schema(schema).json(rows)
+    assert sorted((r.cid, r.frame, r.status, r.track_id) for r in found.collect()) == [("a", 0, "reported", 7), ("a", 1, "rejected", None), ("b", 0, "reported", 0), ("c", 0, "reported", 0)]
+    after = {r.cid: r for r in spark.read.json(summary).collect()}
+    assert {c: after[c] for c in "bc"} == {c: before[c] for c in "bc"} and (after["a"].reported, after["a"].rejected) == (1, 1) and (before["a"].reported, before["a"].rejected) == (2, 0)
+
+
+@pytest.mark.parametrize("values", [[0.0, -0.0, 1.5, -1.5, 1e300, -1e300, 5e-324, -5e-324], [7.0] * 50, [1.0], [float(i // 3) - 20 for i in range(200)]], ids=["odd", "ties", "one", "many"])
+def test_radix_selection(spark, values):
+    df = spark.createDataFrame([(v, None if i % 2 else v) for i, v in enumerate(values)], "v double, w double").repartition(3)
+    at = (1, 25, 50, 90, 99.5)
+    row = calibration.percentiles_of(df, [(F.col("v"), "v", at), (F.col("w"), "w", at), (F.col("v") / F.lit(None), "n", (50,))]).first()
+    want = [*np.percentile(values, at), *np.percentile(values[::2], at)]
+    assert list(row)[:-1] == pytest.approx([float(x) for x in want], rel=1e-12) and row[-1] is None
+
+
 def test_bundle_files(spark, tmp_path):
     d = tmp_path / "a_t1"
     d.mkdir()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +21,51 @@ AREA, ASPECT, SPEED = (1, 5, 50, 95, 99, 99.5), (50, 90, 95, 99, 99.5), (50, 90,
 GAP, MOTION, STATIC = (50, 75, 90, 95, 99), (10, 25, 40, 50, 75, 90), (1, 5, 10, 25, 50)
 
 
-#: Relative error of the sketch that brackets a percentile: ranks are off by one in ``ACCURACY`` of the rows at most.
-ACCURACY = 10_000
+#: Bits of a double that one pass decides.
+DIGIT = 16
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers that sort as the doubles do; both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits | np.int64(-(1 << 63))).view(np.uint64)
+
+
+def _double(key: int) -> float:
+    """What ``ordered`` gives the number ``key``."""
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _histograms(values: DataFrame, prefixes: list[list[int]], shift: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each measure and each prefix (the bits above ``shift`` + ``DIGIT``) the digits that occur, and how often.
+
+    Tasks count into arrays of fixed size; what reaches the driver is at most 2 ** ``DIGIT`` rows for each prefix,
+    however many values there are.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for m, wanted in enumerate(prefixes):
+                keys = ordered(batch.column(m).drop_null().to_numpy().astype(np.float64))
+                for prefix in wanted:
+                    some = keys if shift + DIGIT == 64 else keys[keys >> np.uint64(shift + DIGIT) == np.uint64(prefix)]
+                    digits = (some >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                    sums[m, prefix] = sums.get((m, prefix), 0) + np.bincount(digits, minlength=1 << DIGIT)
+        for (m, prefix), n in sums.items():
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), m, np.int32)), pa.array(np.full(len(used), prefix, np.int64)), pa.array(used.astype(np.int32)), pa.array(n[used])], ["m", "prefix", "digit", "n"])
+
+    found = values.mapInArrow(count, "m int, prefix long, digit int, n long").groupBy("m", "prefix", "digit").agg(F.sum("n").alias("n")).toArrow()
+    m, prefix, digit, n = (found.column(c).to_numpy() for c in ("m", "prefix", "digit", "n"))
+    out = {}
+    for i, wanted in enumerate(prefixes):
+        for p in wanted:
+            rows = np.flatnonzero((m == i) & (prefix == p))
+            rows = rows[np.argsort(digit[rows])]
+            out[i, p] = digit[rows], np.cumsum(n[rows])
+    return out
 
 
 def percentiles(rows: DataFrame, value: Column, name: str, at: tuple[float, ...]) -> DataFrame:
@@ -28,37 +76,40 @@ def percentiles(rows: DataFrame, value: Column, name: str, at: tuple[float, ...]
 def percentiles_of(rows: DataFrame, measures: list[tuple[Column, str, tuple[float, ...]]]) -> DataFrame:
     """The percentiles of several values of the same rows, in one row; nulls of a value don't count.
 
-    A sketch, merged from all tasks, brackets each percentile by two values with less than a thousandth of the rows
-    between them.  A second pass counts what is below each bracket and ranks the distinct values in it, so no task
-    sorts or holds all values.
+    Radix selection: a pass counts, for the bits that are known of each wanted value, how the next ``DIGIT`` bits are
+    spread; four passes know all 64.  No task, and no driver, holds more than these counts.  The values are kept for the
+    passes and let go, so the result is there when the call returns.
     """
-    values = rows.select(*[value.cast("double").alias(f"v{m}") for m, (value, _, _) in enumerate(measures)])
-    margin = 3 / ACCURACY
-    sketches = []
-    for m, (_, _, at) in enumerate(measures):
-        ends = [q for p in at for q in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
-        sketches += [F.percentile_approx(f"v{m}", F.array(*[F.lit(q) for q in ends]), F.lit(ACCURACY)).alias(f"b{m}"), F.count(f"v{m}").alias(f"total{m}")]
-    marked = values.crossJoin(F.broadcast(values.agg(*sketches)))  # one row
-    # (number, measure, percent, value, ends of its bracket)
-    wanted = []
-    for m, (_, _, at) in enumerate(measures):
-        wanted += [(len(wanted) + j, m, p, F.col(f"v{m}"), F.col(f"b{m}")[2 * j], F.col(f"b{m}")[2 * j + 1]) for j, p in enumerate(at)]
-    # the ends of a bracket may leave out the neighbour on either side that interpolation needs
-    sides = [f(c).alias(f"{name}{i}") for i, _, _, v, lo, hi in wanted for name, f, c in (("below", F.count_if, v < lo), ("prev", F.max, F.when(v < lo, v)), ("next", F.min, F.when(v > hi, v)))]
-    outside = marked.agg(*[F.first(f"total{m}").alias(f"total{m}") for m in range(len(measures))], *sides)
-    within = F.array_compact(F.array(*[F.when((v >= lo) & (v <= hi), F.struct(F.lit(i).alias("i"), v.alias("v"))) for i, _, _, v, lo, hi in wanted]))
-    inside = marked.select(F.explode(within).alias("w")).groupBy("w.i", "w.v").agg(F.count(F.lit(1)).alias("n"))
-    placed = inside.withColumn("end", F.sum("n").over(Window.partitionBy("i").orderBy("v"))).crossJoin(F.broadcast(outside))  # one row
-    out, picked = [], []
-    for i, m, p, *_ in wanted:
-        rank = F.lit(p / 100) * (F.col(f"total{m}") - 1)
-        for side, index in (("a", F.floor(rank)), ("b", F.ceil(rank))):
-            here = index - F.col(f"below{i}")
-            picked.append(F.max(F.when((F.col("i") == i) & (here >= F.col("end") - F.col("n")) & (here < F.col("end")), F.col("v"))).alias(f"{side}{i}"))
-        picked += [F.max(F.when(F.col("i") == i, F.col(f"{name}{i}"))).alias(f"{name}{i}") for name in ("prev", "next")] + [F.max(rank - F.floor(rank)).alias(f"t{i}")]
-        lower, upper = F.coalesce(f"a{i}", f"prev{i}"), F.coalesce(f"b{i}", F.when(F.col(f"a{i}").isNull(), F.col(f"prev{i}")).otherwise(F.col(f"next{i}")))
-        out.append((lower + (upper - lower) * F.col(f"t{i}")).alias(f"{measures[m][1]}_p{p}".replace(".", "_")))
-    return placed.agg(*picked).select(*out)
+    spark = rows.sparkSession
+    values = rows.select(*[value.cast("double").alias(f"v{m}") for m, (value, _, _) in enumerate(measures)]).persist()
+    try:
+        wanted: dict[tuple[int, int], tuple[int, int]] = {}  # (measure, rank) -> (bits known, rank among those that share them)
+        prefixes = [[0] for _ in measures]
+        total = [0] * len(measures)
+        for shift in range(64 - DIGIT, -1, -DIGIT):
+            found = _histograms(values, prefixes, shift)
+            if shift == 64 - DIGIT:
+                total = [int(found[m, 0][1][-1]) if len(found[m, 0][1]) else 0 for m in range(len(measures))]
+                for m, (_, _, at) in enumerate(measures):
+                    ranks = [p / 100 * (total[m] - 1) for p in at] if total[m] else []
+                    wanted |= {(m, r): (0, r) for x in ranks for r in (math.floor(x), math.ceil(x))}
+            for of, (prefix, rank) in wanted.items():
+                digits, reached = found[of[0], prefix]
+                i = int(np.searchsorted(reached, rank, side="right"))
+                wanted[of] = (prefix << DIGIT) | int(digits[i]), rank - (int(reached[i - 1]) if i else 0)
+            prefixes = [sorted({prefix for (of, _), (prefix, _) in wanted.items() if of == m}) for m in range(len(measures))]
+    finally:
+        values.unpersist()
+    out = []
+    for m, (_, name, at) in enumerate(measures):
+        for p in at:
+            rank = p / 100 * (total[m] - 1)
+            value = None
+            if total[m]:
+                low, high = (_double(wanted[m, r][0]) for r in (math.floor(rank), math.ceil(rank)))
+                value = low if low == high else low + (high - low) * (rank - math.floor(rank))
+            out.append(F.lit(value).cast("double").alias(f"{name}_p{p}".replace(".", "_")))
+    return spark.range(0, 1, 1, 1).select(*out)
 
 
 def size_shape_speed_stats(stable: DataFrame) -> DataFrame:

@@ -15,6 +15,12 @@ def write_corrected(finalized: DataFrame, path: str, form: str = "parquet") -> N
     (writer.partitionBy("cid").json(path) if form == "json" else writer.parquet(path))
 
 
+def replace_corrected(finalized: DataFrame, path: str) -> None:
+    """The JSON form again for the clips of ``finalized``: their folders are replaced as the write commits, those of all
+    other clips stay as they are."""
+    sort_finalized(finalized).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cid").json(path)
+
+
 def corrected_documents(finalized: DataFrame) -> DataFrame:
     """(cid, detections): one document for each clip, ordered by frame."""
     row = F.struct("frame", "x1", "y1", "x2", "y2", "status", "confidence", "track_id", "reject_stage", "source_ids")
@@ -31,6 +37,19 @@ def write_run_summary(detections: DataFrame, finalized: DataFrame, path: str) ->
     run_summary(detections, finalized).write.mode("overwrite").json(path)
 
 
+def replace_run_summary(detections: DataFrame, finalized: DataFrame, path: str, staging: str) -> None:
+    """The summary again for the clips of ``detections``; the rows of all other clips stay as they are.
+
+    The merged rows are written to ``staging``, a folder that all executors share, before they take the place of the old
+    ones: a job that fails on the way has lost nothing.
+    """
+    new = run_summary(detections, finalized)
+    spark = detections.sparkSession
+    old = spark.read.schema(new.schema).json(path)
+    old.join(new.select("cid"), "cid", "left_anti").unionByName(new).write.mode("overwrite").json(staging)
+    spark.read.schema(new.schema).json(staging).write.mode("overwrite").json(path)
+
+
 def write_reports(reports: dict[str, DataFrame], path: str) -> None:
     """A folder of JSON lines for each report."""
     for name, rows in reports.items():
