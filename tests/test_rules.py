@@ -311,6 +311,70 @@ def test_tracks_of_all_kinds_against_every_pairing(spark, monkeypatch, speed):
     assert batch == want and stream == want
 
 
+@pytest.fixture(scope="module")
+def by_hand(spark):
+    """The loose tracks of all clips under the open gates of production, linked by hand: (cid, track) -> its candidates."""
+    fx, config = Fixture(spark, SF), CONFIG.loose()
+    candidates = merge.merge_duplicates(fx.detections, config).collect()
+    tracks = {}
+    for cid in {r.cid for r in candidates}:
+        rows = {(r.frame, r.cand_idx): r for r in candidates if r.cid == cid}
+        numbers = linked_by_hand([(f, i, (r.x1, r.y1, r.x2, r.y2)) for (f, i), r in rows.items()], config)
+        for place, number in numbers.items():
+            tracks.setdefault((cid, number), []).append(rows[place])
+    return {k: sorted(t, key=lambda r: r.frame) for k, t in tracks.items()}
+
+
+def test_loose_tracks_under_open_gates(spark, by_hand):
+    fx = Fixture(spark, SF)
+    got = {(r.cid, r.frame, r.cand_idx): r.track_id for r in tracking.build_loose_tracks(fx.detections, fx.frames, CONFIG).collect()}
+    assert got == {(cid, r.frame, r.cand_idx): n for (cid, n), t in by_hand.items() for r in t} and len(got) > 4000
+
+
+def test_calibration_under_open_gates(spark, by_hand):
+    """Sizes, shapes, speeds and gaps that are mined, by numpy over tracks linked by hand."""
+    from trackmend.plans.calibrate import report
+
+    fx = Fixture(spark, SF)
+    found, _ = report(fx.detections, fx.frames, fx.vio, fx.disparity, CONFIG)
+    stable = [t for t in by_hand.values() if len(t) >= 30]
+    area, aspect, speed, gaps_ = [], [], [], []
+    for t in stable:
+        for r in t:
+            w, h = max(r.x2 - r.x1, 1e-6), max(r.y2 - r.y1, 1e-6)
+            area.append((r.x2 - r.x1) * (r.y2 - r.y1))
+            aspect.append(max(w, h) / min(w, h))
+        for a, b in itertools.pairwise(t):
+            moved = math.dist(((a.x1 + a.x2) / 2, (a.y1 + a.y2) / 2), ((b.x1 + b.x2) / 2, (b.y1 + b.y2) / 2))
+            if b.frame == a.frame + 1:
+                speed.append(moved)
+            gaps_.append(b.frame - a.frame - 1)
+    sizes = found["sizes"].first()
+    assert sizes.n_boxes == len(area)
+    for name, values, at in (("area", area, calibration.AREA), ("aspect", aspect, calibration.ASPECT), ("speed", speed, calibration.SPEED)):
+        assert [sizes[f"{name}_p{p}".replace(".", "_")] for p in at] == pytest.approx(np.percentile(values, at).tolist())
+    assert 0 < found["gaps"].first().n_gaps <= sum(n > 0 for n in gaps_)
+
+
+def test_validation_under_open_gates(spark, by_hand):
+    """The proxies of each stage, counted from tracks linked by hand and the rows that a correction keeps."""
+    from trackmend.plans.correct import stage_survivor_ids, staged
+    from trackmend.plans.validate import validate_corpus
+
+    fx = Fixture(spark, SF)
+    real = {(cid, d) for (cid, _), t in by_hand.items() if len(t) >= 30 for r in t for d in r.source_ids}
+    rows = {(r.cid, r.det_id): r for r in stage_survivor_ids(staged(fx.detections, fx.frames, fx.vio, CONFIG)).collect()}
+    clips = {cid for cid, _ in rows}
+    for r in validate_corpus(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG)["stage_summary"].collect():
+        precision, recall = [], []
+        for cid in clips:
+            alive = {k for k, x in rows.items() if k[0] == cid and (r.stage == "raw" or x[r.stage])}
+            true = {k for k in real if k[0] == cid}
+            precision.append(len(alive & true) / len(alive))
+            recall.append(len(alive & true) / len(true))
+        assert (r.mean_precision_proxy, r.mean_recall_proxy) == pytest.approx((np.mean(precision), np.mean(recall)))
+
+
 def test_all_candidates_get_a_track(spark):
     fx = Fixture(spark, SF)
     rows = registry.QUERIES["associate_all_candidates"](spark, SF).collect()
