@@ -49,6 +49,8 @@ def joined(ids: str) -> Column:
 def _folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="trackmend-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -739,6 +741,42 @@ def write_corrected(fx: Fixture) -> DataFrame:
     return fx.spark.read.schema(schema).json(path).select("cid", "frame", "status", "track_id", *[r6(c) for c in _BOX])
 
 
+_FIRST = "(SELECT min(cid) FROM fx_clips)"
+
+
+def _first_clip(fx: Fixture) -> int:
+    return fx.clips.agg(F.min("cid")).first()[0]
+
+
+@query(o.q("", f"SELECT CAST(cid AS VARCHAR) AS cid, frame, det_id, {o.BOX6} FROM fx_detections WHERE cid = {_FIRST}"))
+def read_one_clip(fx: Fixture) -> DataFrame:
+    """One clip by its name: no other folder is opened."""
+    rows = bundles.read_detections(fx.spark, f"{_bundles(fx)}/boxes", "*.json", clips=[str(_first_clip(fx))])
+    return rows.select("cid", "frame", "det_id", *[r6(c) for c in _BOX])
+
+
+@query(o.q(_FIN, f"SELECT cid, frame, status, track_id, {o.BOX6} FROM fin WHERE cid <> {_FIRST} OR status <> 'interpolated'"))
+def replace_corrected(fx: Fixture) -> DataFrame:
+    """All clips are written, and then the first one again, without what was filled in."""
+    path, out = _folder(fx.spark, "corrected"), _final(fx)
+    sinks.write_corrected(out, path, "json")
+    sinks.replace_corrected(out.where((F.col("cid") == _first_clip(fx)) & (F.col("status") != "interpolated")), path)
+    schema = "frame long, x1 double, y1 double, x2 double, y2 double, status string, confidence double, track_id long, reject_stage string, source_ids array<bigint>, cid long"
+    return fx.spark.read.schema(schema).json(path).select("cid", "frame", "status", "track_id", *[r6(c) for c in _BOX])
+
+
+@query(ORACLES["run_summary"])
+def replace_run_summary(fx: Fixture) -> DataFrame:
+    """The summary of all clips, of which the first one's row is written again."""
+    path, staging = _folder(fx.spark, "summary"), _folder(fx.spark, "staging")
+    out = correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN)
+    first = F.col("cid") == _first_clip(fx)
+    # as if the first clip had been lost
+    sinks.write_run_summary(fx.detections.where(~first), out.where(~first), path)
+    sinks.replace_run_summary(fx.detections.where(first), out.where(first), path, staging)
+    return fx.spark.read.schema(sinks.run_summary(fx.detections, out).schema).json(path)
+
+
 # stereo
 
 
