@@ -23,6 +23,8 @@ document, linked by any of its texts.  Empty tables give an empty result; other
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ PARTS = 3
 #: Partitions of the domain that a set is tried under, if too many of its pairs of parts are empty: chances are below a
 #: half in each, so about one set in 2 ** TURNS, if that, has to be found by empty pairs.
 TURNS = 32
+#: Elements of sets that are signed together.
+TOGETHER = 1 << 19
 #: Members of a block of a bucket at most, and bytes of their parities.
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
 #: One document in so many tells which signatures are hot; members that it must find; cells that hot signatures share.
@@ -94,7 +98,7 @@ class Schemes:
     def band(self, size: int) -> int:
         while self.low[-1] <= size:
             self.low.append(self.low[-1] * 100 // PERCENT + 1)
-        return int(np.searchsorted(self.low, size, side="right")) - 1
+        return bisect.bisect_right(self.low, size) - 1
 
     def most(self, b: int) -> int:
         """The largest size in a band."""
@@ -118,8 +122,13 @@ class Schemes:
         return [x for x in ((b - 1, b) if b else (b,)) if self.scheme(x)[0]]
 
     def signatures(self, s: np.ndarray, b: int) -> np.ndarray:
-        """A 32-bit hash for each pair of parts of a group, under scheme ``b``; 0 for pairs that are left out.  With the
-        scheme and its number it makes the signature; equal hashes of different elements only add pairs to verify.
+        """Those of one set."""
+        return self.signatures_of(s, np.array([len(s)]), b)[0]
+
+    def signatures_of(self, flat: np.ndarray, sizes: np.ndarray, b: int) -> list[np.ndarray]:
+        """For each of the sorted sets that ``flat`` holds one after another, a 32-bit hash for each pair of parts of a
+        group, under scheme ``b``; 0 for pairs that are left out.  With the scheme and its number a hash makes the
+        signature; equal hashes of different elements only add pairs to verify.
 
         Similar sets agree on ``2 * groups - k`` pairs at least.  A set with fewer empty ones agrees on one that isn't, so
         its empty pairs are left out.  Of a set with more, all pairs that it agrees on with a similar one may be empty;
@@ -128,36 +137,67 @@ class Schemes:
         """
         k, _, lower = self.scheme(b)
         enough = 2 * (len(lower) + 1) // PARTS - k
-        out = []
+        out: list[list[np.ndarray]] = [[] for _ in sizes]
+        which = np.arange(len(sizes))
         for turn in range(TURNS):
-            h, empty = self._turn(s if not turn else np.sort(_mix(s + np.uint64(turn * int(_PRIME[4]) % (1 << 64)))), lower)
-            few = empty.sum() < enough
-            if few or turn < TURNS - 1:
-                h[empty] = 0
-            out.append(h.ravel())
-            if few:
+            if turn:
+                flat = _mix(flat + np.uint64(turn * int(_PRIME[4]) % (1 << 64)))
+                flat = flat[np.lexsort((flat, np.repeat(np.arange(len(sizes)), sizes)))]
+            h, empty = self._turn(flat, sizes, lower)
+            few = empty.sum(1) < enough
+            h[empty & (few[:, None] | (turn < TURNS - 1))] = 0
+            for i, row in zip(which.tolist(), h, strict=True):
+                out[i].append(row)
+            if few.all():
                 break
-        return out[0] if len(out) == 1 else np.concatenate(out)
+            flat, which, sizes = flat[np.repeat(~few, sizes)], which[~few], sizes[~few]
+        return [rows[0] if len(rows) == 1 else np.concatenate(rows) for rows in out]
 
     @staticmethod
-    def _turn(s: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a hash, whether it is empty) of each pair of parts of each group."""
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ _PRIME[3]), dtype=np.uint64)))
-        cut = np.concatenate(([0], np.searchsorted(s, lower), [len(s)]))
-        size, held = np.diff(cut).reshape(-1, PARTS), (sums[cut[1:]] - sums[cut[:-1]]).reshape(-1, PARTS)
+    def _turn(flat: np.ndarray, sizes: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a hash, whether it is empty) of each set and each pair of parts of a group."""
+        parts = len(lower) + 1
+        # cells are in order, so each is a run of elements
+        cell = np.searchsorted(lower, flat, side="right") + np.repeat(np.arange(len(sizes)) * parts, sizes)
+        size = np.bincount(cell, minlength=len(sizes) * parts)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(flat ^ _PRIME[3]), dtype=np.uint64)))[ends]
+        size, held = size.reshape(len(sizes), -1, PARTS), (sums[1:] - sums[:-1]).reshape(len(sizes), -1, PARTS)
         following = [1, 2, 0]
-        h = (_mix(held * _PRIME[0] + held[:, following] * _PRIME[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        h = (_mix(held * _PRIME[0] + held[..., following] * _PRIME[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         h[h == 0] = 1
-        return h, size + size[:, following] == 0
+        return h.reshape(len(sizes), -1), (size + size[..., following] == 0).reshape(len(sizes), -1)
 
     def block(self, b: int) -> int:
         """Members of a block under scheme ``b``, whose parities have a quarter byte for each element of the largest set."""
         return min(BLOCK, max(16, 4 * BLOCK_BYTES // self.most(b)))
 
-    def parity(self, s: np.ndarray, b: int) -> bytes:
+    def parities(self, flat: np.ndarray, sizes: np.ndarray, b: int) -> np.ndarray:
+        """The bit parities of each set, a row of bytes each."""
         bits = 64 * self.scheme(b)[1]
-        at = ((_mix(s ^ _PRIME[1]) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
-        return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+        at = ((_mix(flat ^ _PRIME[1]) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+        count = np.bincount(at.astype(np.int64) + np.repeat(np.arange(len(sizes)) * bits, sizes), minlength=len(sizes) * bits)
+        return np.packbits((count & 1).astype(np.uint8).reshape(len(sizes), bits), axis=1)
+
+    def marks(self, sets: list[np.ndarray]) -> list[list[tuple[int, np.ndarray, bytes]]]:
+        """(scheme, signatures, parities) of each set, for each of its schemes; sets of one scheme are taken together."""
+        out: list[list[tuple[int, np.ndarray, bytes]]] = [[] for _ in sets]
+        by = defaultdict(list)
+        for i, s in enumerate(sets):
+            for b in self.of(len(s)) if len(s) else ():
+                by[b].append(i)
+        for b in sorted(by):
+            at, taken = 0, by[b]
+            while at < len(taken):
+                held, to = 0, at
+                while to < len(taken) and (to == at or held + len(sets[taken[to]]) <= TOGETHER):
+                    held, to = held + len(sets[taken[to]]), to + 1
+                some = [sets[i] for i in taken[at:to]]
+                flat, sizes = np.concatenate(some), np.array([len(s) for s in some])
+                for i, h, p in zip(taken[at:to], self.signatures_of(flat, sizes, b), self.parities(flat, sizes, b), strict=True):
+                    out[i].append((b, h, p.tobytes()))
+                at = to
+        return out
 
 
 def _described(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -172,7 +212,7 @@ def _described(documents: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets = shingle_sets(text_column(part, "text"))
-                marks = [[(b, schemes.signatures(s, b), schemes.parity(s, b)) for b in schemes.of(len(s))] if len(s) else [] for s in sets]
+                marks = schemes.marks(sets)
                 flat = [m for one in marks for m in one]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m[1]) for m in flat]), pa.int32()), pa.array(np.concatenate([m[1] for m in flat]) if flat else np.zeros(0, np.int32)))
                 structs = pa.StructArray.from_arrays([pa.array([m[0] for m in flat], pa.int32()), lists, pa.array([m[2] for m in flat], pa.binary())], fields=list(kind.value_type))
