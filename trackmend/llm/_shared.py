@@ -55,6 +55,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of jobs whose results are written: it does so as soon as the driver's JVM
+        finds that nothing refers to them any more, which it would else look for only when memory runs short."""
+        self.spark._jvm.System.gc()
+
     def clear(self, keep: int = 0) -> None:
         """Deletes all but the last ``keep`` tables."""
         cut = len(self.paths) - keep
