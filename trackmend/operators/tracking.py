@@ -7,6 +7,7 @@ end of a clip, are found afterwards with windows over one row for each track.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmend.config import Config
-from trackmend.operators.merge import first_members
 
 IMPOSSIBLE = 1e6
 _BOX = ["x1", "y1", "x2", "y2"]
@@ -23,55 +23,71 @@ _PLACE = ["cid", "island", "frame"]
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The (row, column) pairs of least total cost, by shortest augmenting paths."""
+    """The (row, column) pairs of least total cost, by shortest augmenting paths.
+
+    In plain lists: matrices are parts of one frame's, mostly of a few rows, where arrays take longer to make than to use."""
     if not cost.size:
         return []
     flipped = cost.shape[0] > cost.shape[1]
     cost = np.where(np.isfinite(cost), cost, IMPOSSIBLE)
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
+    c = (cost.T if flipped else cost).tolist()
+    n, m = len(c), len(c[0])
+    row_price, col_price, owner = [0.0] * n, [0.0] * m, [-1] * m
     for start in range(n):
-        reach, via = np.full(m, np.inf), np.full(m, -1)
-        closed = np.zeros(m, bool)
+        reach, via, open_ = [math.inf] * m, [-1] * m, list(range(m))
         row, col, base = start, -1, 0.0
+        done = []
         while True:
-            slack = base + c[row] - row_price[row] - col_price
-            better = ~closed & (slack < reach)
-            reach[better], via[better] = slack[better], col
-            col = int(np.argmin(np.where(closed, np.inf, reach)))
-            base = reach[col]
-            closed[col] = True
+            costs, price = c[row], base - row_price[row]
+            nearest, least = -1, math.inf
+            for j in open_:
+                slack = price + costs[j] - col_price[j]
+                if slack < reach[j]:
+                    reach[j], via[j] = slack, col
+                if reach[j] < least:
+                    nearest, least = j, reach[j]
+            col, base = nearest, least
+            open_.remove(col)
             if owner[col] < 0:
                 break
+            done.append(col)
             row = owner[col]
-        done = closed & (np.arange(m) != col)
         row_price[start] += base
-        row_price[owner[done]] += base - reach[done]
-        col_price[done] -= base - reach[done]
+        for j in done:
+            row_price[owner[j]] += base - reach[j]
+            col_price[j] -= base - reach[j]
         while col >= 0:
             before = via[col]
             owner[col] = owner[before] if before >= 0 else start
             col = before
-    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    pairs = [(i, j) for j, i in enumerate(owner) if i >= 0]
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
 def matched(cost: np.ndarray) -> list[tuple[int, int]]:
     """The possible pairs of the assignment of least cost.  Rows and columns that no possible pair connects don't bear
     on each other, so each part of the matrix is solved by itself; most are single pairs."""
-    possible = cost < IMPOSSIBLE
-    rows, columns = np.nonzero(possible)
-    alone = (possible.sum(1)[rows] == 1) & (possible.sum(0)[columns] == 1)
-    out = list(zip(rows[alone].tolist(), columns[alone].tolist(), strict=True))
-    rows, columns = rows[~alone], columns[~alone]
-    if len(rows):
-        part = first_members(sum(cost.shape), rows, columns + len(cost))[rows]
-        for p in np.unique(part):
-            r, c = np.unique(rows[part == p]), np.unique(columns[part == p])
-            some = cost[np.ix_(r, c)]
-            out += [(int(r[i]), int(c[j])) for i, j in assign(some) if some[i, j] < IMPOSSIBLE]
+    edges = list(zip(*(x.tolist() for x in np.nonzero(cost < IMPOSSIBLE)), strict=True))
+    parts: list[tuple[set[int], set[int]]] = []
+    for i, j in edges:
+        met = [p for p in parts if i in p[0] or j in p[1]]
+        if len(met) == 1:
+            rows, columns = met[0]
+            rows.add(i)
+            columns.add(j)
+            continue
+        parts = [p for p in parts if p not in met]
+        parts.append(({i}.union(*(p[0] for p in met)), {j}.union(*(p[1] for p in met))))
+    out = []
+    for rows, columns in parts:
+        r, c = sorted(rows), sorted(columns)
+        if len(r) == len(c) == 1:
+            out.append((r[0], c[0]))
+        elif len(parts) == 1 and len(r) == cost.shape[0] and len(c) == cost.shape[1]:
+            out += [(i, j) for i, j in assign(cost) if cost[i, j] < IMPOSSIBLE]
+        else:
+            some = cost[r][:, c]
+            out += [(r[i], c[j]) for i, j in assign(some) if some[i, j] < IMPOSSIBLE]
     return out
 
 
@@ -87,43 +103,56 @@ class Linker:
 
     def step(self, frame: int, boxes: np.ndarray) -> list[int]:
         """The track number of each candidate of a frame, in their order."""
-        c, live = self.config, self.live
-        live = live[frame - live[:, 1] <= c.give_up_frames]
-        found = np.full(len(boxes), -1)
-        xy = (boxes[:, :2] + boxes[:, 2:]) / 2
+        live = self.live
+        live = live[frame - live[:, 1] <= self.config.give_up_frames]
+        # what each candidate would make its track's row
+        rows = np.full((len(boxes), self.WIDTH), np.nan)
+        rows[:, 1], rows[:, 2:4], rows[:, 4:8] = frame, (boxes[:, :2] + boxes[:, 2:]) / 2, boxes
+        found = [-1] * len(boxes)
         if len(live) and len(boxes):
-            for i, j in matched(self._cost(frame, live, boxes, xy)):
-                live[i, 8:11] = live[i, 1:4]
-                live[i, 1], live[i, 2:4], live[i, 4:8] = frame, xy[j], boxes[j]
-                found[j] = live[i, 0]
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            found[new] = self.made + np.arange(len(new))
-            self.made += len(new)
-            nan = np.full((len(new), 3), np.nan)
-            live = np.concatenate([live, np.c_[found[new], np.full(len(new), frame), xy[new], boxes[new], nan]])
+            pairs = matched(self._cost(frame, live, boxes, rows[:, 2:4]))
+            if pairs:
+                i, j = (list(x) for x in zip(*pairs, strict=True))
+                rows[j, 0], rows[j, 8:11] = live[i, 0], live[i, 1:4]
+                live[i] = rows[j]
+                for a, b in pairs:
+                    found[b] = int(live[a, 0])
+        new = [j for j, number in enumerate(found) if number < 0]
+        for j in new:
+            found[j] = self.made
+            self.made += 1
+        if new:
+            rows[new, 0] = [found[j] for j in new]
+            live = np.concatenate([live, rows[new]])
         self.live = live
-        return found.tolist()
+        return found
 
     def _cost(self, frame: int, live: np.ndarray, boxes: np.ndarray, xy: np.ndarray) -> np.ndarray:
         """Of each track and candidate, in one matrix."""
         c = self.config
-        elapsed = frame - live[:, 1]
-        speed = (live[:, 2:4] - live[:, 9:11]) / (live[:, 1] - live[:, 8])[:, None]
-        expected = live[:, 2:4] + np.where(np.isnan(live[:, 8:9]), 0.0, speed) * elapsed[:, None]
-        gate = (c.resume_gate_px + c.max_speed_px_per_frame * elapsed)[:, None]
-        dx, dy = xy[None, :, 0] - expected[:, None, 0], xy[None, :, 1] - expected[:, None, 1]
-        away = np.sqrt(dx**2 + dy**2)
-        value = away
-        near = elapsed <= 2
-        if near.any():
-            held, size = live[near, None, 4:8], np.clip(boxes[:, 2:] - boxes[:, :2], 0, None).prod(1)
-            common = np.clip(np.minimum(boxes[None, :, 2:], held[..., 2:]) - np.maximum(boxes[None, :, :2], held[..., :2]), 0, None).prod(2)
-            union = size + np.clip(held[..., 2:] - held[..., :2], 0, None).prod(2) - common
-            iou = np.divide(common, union, out=np.zeros(common.shape), where=(common > 0) & (union > 0))
-            value = away.copy()
-            value[near] -= c.association_iou_weight * iou * gate[near]
-        return np.where((away <= gate) & (elapsed > 0)[:, None], value, IMPOSSIBLE)
+        last, before = live[:, 1], live[:, 8]
+        elapsed = frame - last
+        # tracks of one box have no speed: their frame before, and where they were, are NaN
+        moved = (live[:, 2:4] - live[:, 9:11]) / (last - before)[:, None] * elapsed[:, None]
+        ex, ey = (live[:, 2:4] + np.where(np.isnan(moved), 0.0, moved)).T
+        gate = c.resume_gate_px + c.max_speed_px_per_frame * elapsed
+        dx, dy = xy[:, 0] - ex[:, None], xy[:, 1] - ey[:, None]
+        away = np.sqrt(dx * dx + dy * dy)
+        possible = (away <= gate[:, None]) & (elapsed > 0)[:, None]
+        # overlaps count for two frames
+        i, j = np.nonzero(possible & (elapsed <= 2)[:, None])
+        if len(i):
+            a, b = live[i, 4:8], boxes[j]
+            w, h = np.minimum(a[:, 2:], b[:, 2:]).T - np.maximum(a[:, :2], b[:, :2]).T
+            common = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+            union = _size(a) + _size(b) - common
+            iou = np.divide(common, union, out=np.zeros(len(i)), where=(common > 0) & (union > 0))
+            away[i, j] -= c.association_iou_weight * iou * gate[i]
+        return np.where(possible, away, IMPOSSIBLE)
+
+
+def _size(boxes: np.ndarray) -> np.ndarray:
+    return np.maximum(boxes[:, 2] - boxes[:, 0], 0.0) * np.maximum(boxes[:, 3] - boxes[:, 1], 0.0)
 
 
 def islands(candidates: DataFrame, config: Config) -> DataFrame:
