@@ -5,7 +5,6 @@ import datetime as dt
 import json
 import math
 import random
-import time
 
 import numpy as np
 import pytest
