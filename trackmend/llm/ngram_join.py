@@ -390,12 +390,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     tied = same.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     tied = same.join(tied.select(F.col("a").alias("least")).distinct(), same["rep"] == F.col("least"), "left_semi").select("key").join(same, "key").groupBy("key").agg(F.min("rep").alias("a")).join(same, "key").select("a", F.col("rep").alias("b")).where("a <> b")
 
-    # marks are large: only those of sets that a key has twice are moved to be told apart
-    twice = scratch.stored(small.groupBy("key", "set_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").distinct(), "repeated-sets")
-    scratch.release()
-    kept = nodes.join(same.where("key = rep").select("key"), "key", "left_semi")
-    reps = kept.join(twice, "key", "left_anti").unionByName(kept.join(twice, "key", "left_semi").dropDuplicates(["key", "set_hash"]))
-    reps = reps.select("key", "n_shingles", F.explode("marks").alias("mark"))
+    # the join and the distinct deal rows by the same key: marks move once
+    reps = nodes.join(same.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key", "set_hash"]).select("key", "n_shingles", F.explode("marks").alias("mark"))
     reps = reps.select("key", "n_shingles", "mark.scheme", "mark.hashes", "mark.parity")
     blocks = scratch.stored(_blocks(reps), "blocks")
     scratch.release()
