@@ -35,14 +35,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes and reads again.  What was shuffled for it is deleted as soon as it is written: nothing reads that again,
+    and Spark would else keep it until the driver's memory runs short."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, True)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+    return _write(df, shared_folder(df.sparkSession, name))
+
+
 class Scratch:
     """Tables in the shared folder that are deleted when a job no longer needs them."""
 
@@ -52,8 +68,7 @@ class Scratch:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_folder(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _write(df, path)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of jobs whose results are written: it does so as soon as the driver's JVM

@@ -379,7 +379,7 @@ def _blocks(reps: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row: size of its set, smallest key that links reach from it."""
     scratch = Scratch(documents.sparkSession)
-    scratch.release()
+    scratch.release()  # of what was shuffled before
     rows = scratch.stored(_described(documents, key, text), "shingles")
     nodes = rows.where("key is not null and set_hash is not null")
     small = nodes.select("key", "set_hash")
@@ -394,7 +394,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     reps = nodes.join(same.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key", "set_hash"]).select("key", "n_shingles", F.explode("marks").alias("mark"))
     reps = reps.select("key", "n_shingles", "mark.scheme", "mark.hashes", "mark.parity")
     blocks = scratch.stored(_blocks(reps), "blocks")
-    scratch.release()
     scheme = F.shiftrightunsigned("signature", NUMBER_BITS + 32).cast("int").alias("scheme")
 
     def listed(groups: DataFrame) -> DataFrame:
@@ -406,10 +405,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         return members.join(reps.select("key", "scheme", "n_shingles", "parity"), ["key", "scheme"]).select("bucket", "key", "n_shingles", "parity")
 
     buckets = scratch.stored(with_parity(listed(blocks.where("size(keys) > 1").select(scheme, "keys"))), "buckets")
-    scratch.release()
     first = scratch.stored(_candidates(buckets, True), "candidates")
     links = scratch.stored(_verified(documents, first, key, text).unionByName(tied), "links")
-    scratch.release()
     comp = components(links)
 
     def labelled(members: DataFrame) -> DataFrame:
@@ -426,7 +423,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     if not crossed.isEmpty():
         every = every.unionByName(labelled(with_parity(listed(crossed))))
     second = scratch.stored(_candidates(every, False).join(first, ["a", "b"], "left_anti"), "candidates")
-    scratch.release()
     if not second.isEmpty():
         links = scratch.stored(links.unionByName(_verified(documents, second, key, text)), "links")
         comp = components(links)
