@@ -133,6 +133,15 @@ def test_mixture_has_each_document_as_often_as_planned(spark):
     assert Counter((r.doc_id, words(r.text)) for r in found.collect()) == +plan
 
 
+def test_columns_that_clash_with_those_of_the_plan(spark):
+    docs = rows_of(spark, ODD)
+    for c in ("_key", "_n", "_size", "_spot", "target", "size", "before", "total", "g", "other"):
+        docs = docs.withColumn(c, mixing.F.lit("x"))
+    found = mixing.mixture(docs)
+    assert found.columns == docs.columns and found.count() == sum(r.copies for r in mixing.mix(docs).collect())
+    assert merkle.verified_manifest(docs).count() == len(ODD)
+
+
 def test_no_rows(spark):
     none = rows_of(spark, [])
     assert merkle.verified_manifest(none).count() == 0 and mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0

@@ -99,13 +99,14 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     """The mix itself: the rows of ``documents`` with all their columns, each as often as it is emitted.
 
     Rows of one key and size are given the copies of that key and size in the order of their texts."""
-    words, place, times = (fresh(documents, c) for c in ("_size", "_place", "_copies"))
-    plan = stored(mix(documents, weights, most, seed, key, text, source).select(F.col(key).alias("_k"), F.col("size").alias("_s"), F.col("target").alias("_t"), F.col("copies").alias(times)), "mix")
-    plan = plan.withColumn("_p", F.row_number().over(Window.partitionBy("_k", "_s").orderBy("_t", times))).where(F.col(times) > 0)
+    words, place, times, of, size, spot, n = (fresh(documents, c) for c in ("_size", "_place", "_copies", "_key", "_of_size", "_spot", "_n"))
+    plan = mix(documents, weights, most, seed, key, text, source)
+    plan = stored(plan.select(F.col(key).alias(of), F.col("size").alias(size), "target", F.col("copies").alias(times)), "mix")
+    plan = plan.withColumn(spot, F.row_number().over(Window.partitionBy(of, size).orderBy("target", times))).where(F.col(times) > 0).drop("target")
     rows = documents.withColumn(words, word_count(F.col(text)))
     rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(key, words).orderBy(source, text)))
-    met = rows.join(plan, F.col(key).eqNullSafe(F.col("_k")) & (F.col(words) == F.col("_s")) & (F.col(place) == F.col("_p")))
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(documents.columns)
+    met = rows.join(plan, F.col(key).eqNullSafe(F.col(of)) & (F.col(words) == F.col(size)) & (F.col(place) == F.col(spot)))
+    return met.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(documents.columns)
 
 
 def _oracle(seed: int = 0, rounds: int = 12) -> str:
