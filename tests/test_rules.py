@@ -491,6 +491,26 @@ def test_one_clip_is_corrected_again(spark, tmp_path):
     assert {c: after[c] for c in "bc"} == {c: before[c] for c in "bc"} and (after["a"].reported, after["a"].rejected) == (1, 1) and (before["a"].reported, before["a"].rejected) == (2, 0)
 
 
+def test_corrected_rows_are_written_in_order(spark, tmp_path):
+    """Each file has whole clips, one after another, each in the order of its frames; in both forms."""
+    import pyarrow.json
+    import pyarrow.parquet
+
+    fx = Fixture(spark, SF)
+    out = correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG).persist()
+    for form, suffix in (("parquet", "parquet"), ("json", "json")):
+        sinks.write_corrected(out.repartition(5, "frame"), str(tmp_path / form), form)
+        places = []
+        for f in sorted((tmp_path / form).rglob(f"*.{suffix}")):
+            rows = pyarrow.parquet.read_table(f) if form == "parquet" else pyarrow.json.read_json(f)
+            clips = rows.column("cid").to_pylist() if form == "parquet" else [int(f.parent.name.removeprefix("cid="))] * rows.num_rows
+            one = list(zip(clips, rows.column("frame").to_pylist(), strict=True))
+            assert one == sorted(one)
+            places.append(set(clips))
+        assert sum(map(len, places)) == len(set().union(*places)) == 3  # no clip is in two files
+    out.unpersist()
+
+
 @pytest.mark.parametrize("values", [[0.0, -0.0, 1.5, -1.5, 1e300, -1e300, 5e-324, -5e-324], [7.0] * 50, [1.0], [float(i // 3) - 20 for i in range(200)]], ids=["odd", "ties", "one", "many"])
 def test_radix_selection(spark, values):
     df = spark.createDataFrame([(v, None if i % 2 else v) for i, v in enumerate(values)], "v double, w double").repartition(3)
