@@ -98,3 +98,31 @@ def test_the_fold_goes_on_over_batches(spark):
         got = {(r.track_id, r.frame) for r in temporal.reject_displacement(df, Config(max_speed_px_per_frame=100)).where("reject_stage = 'displacement'").collect()}
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == want and want
+
+
+@pytest.fixture(scope="module")
+def lined(spark, tmp_path_factory):
+    """Pages with repeated lines, in which a patch is found at several places, a flat one, and a low one."""
+    folder = str(tmp_path_factory.mktemp("pages"))
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefghij <>é") for _ in range(n))
+    line = noise(20)
+    pages = [(1, (line * 8)[:160] * 60), (2, "x" * 9000), (3, noise(9000)), (4, "low" * 20), (5, None), (17, (noise(13) * 1000)[:9000]), (8, (noise(80) * 120)[:9000]), (6, noise(400) + "a" * 7000)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["box_disparity"])
+def test_disparities_of_pages_with_repeated_lines(spark, lined, name):
+    import duckdb
+
+    from trackmend.plans import registry
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{lined}/pages.parquet/*.parquet'")
+    found = con.sql(registry.ORACLES[name])
+    names = [c[0] for c in found.description]
+    got = registry.QUERIES[name](spark, lined).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+    by = {(r.cid, r.asDict().get("x1")): r.disp for r in got}
+    assert any(d is not None and d != c % 9 for (c, _), d in by.items()) and any(d is None for d in by.values())
