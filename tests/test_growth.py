@@ -126,3 +126,12 @@ def test_disparities_of_pages_with_repeated_lines(spark, lined, name):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
     by = {(r.cid, r.asDict().get("x1")): r.disp for r in got}
     assert any(d is not None and d != c % 9 for (c, _), d in by.items()) and any(d is None for d in by.values())
+
+
+@pytest.mark.parametrize("kind", ["boxes", "vio", "ts"])
+def test_a_query_writes_only_the_bundles_it_reads(spark, kind):
+    import os
+
+    from trackmend.plans import registry
+
+    assert os.listdir(registry._bundles(Fixture(spark, SF), kind)) == [kind]
