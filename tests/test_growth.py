@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackmend.config import Config
 from trackmend.operators import tracking
@@ -135,3 +136,30 @@ def test_a_query_writes_only_the_bundles_it_reads(spark, kind):
     from trackmend.plans import registry
 
     assert os.listdir(registry._bundles(Fixture(spark, SF), kind)) == [kind]
+
+
+def test_toxicity_is_learned_from_every_labelled_row(spark, monkeypatch):
+    from trackmend.llm import _labelled, toxicity
+
+    keys = spark.range(15000).select(F.col("id").alias("doc_id"))
+    learned = keys.where(~_labelled.held_out(F.col("doc_id")) & (_labelled.dealt(F.col("doc_id")) < 0.67) & (F.col("doc_id") % 40 > 0))
+    # a sample in the order of this hash would end before these rows
+    late = [r.doc_id for r in learned.orderBy(F.xxhash64(F.lit(17), F.col("doc_id")).desc()).limit(12).collect()]
+    docs = keys.withColumn("text", F.when(F.col("doc_id").isin(late), "zorgle plain words").otherwise("plain words")).persist()
+    labels = keys.withColumn("toxic", (F.col("doc_id") % 40 > 0).cast("int"))
+    model = toxicity.fit_toxicity(docs, labels)
+    # words of 12 of about 6530 toxic rows and of none of about 170 clean ones aren't told apart; all rows' trigrams are counted
+    rows = learned.count() + keys.where(~_labelled.held_out(F.col("doc_id")) & (_labelled.dealt(F.col("doc_id")) < 0.67) & (F.col("doc_id") % 40 == 0)).count()
+    assert model.trigrams["^^p"] == rows and model.trigrams["^^z"] == 12
+    monkeypatch.setattr(toxicity, "COUNTED", 10)
+    again = toxicity.fit_toxicity(docs, labels)
+    assert (again.lexicon, again.trigrams) == (model.lexicon, model.trigrams)
+
+
+def test_rows_that_stand_for_many_count_as_many():
+    from trackmend.llm import _labelled
+
+    x, y, n = np.array([[0.0], [1.0], [2.0], [1.5]]), np.array([0, 0, 1, 0]), np.array([5, 2, 4, 1])
+    one = _labelled.fit(x, y, {0: 80, 1: 20}, times=n)
+    many = _labelled.fit(np.repeat(x, n, 0), np.repeat(y, n), {0: 80, 1: 20})
+    assert np.allclose(one(x), many(x), atol=1e-12)

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and a logistic model for a few features.
+"""Labelled rows, all or a bounded sample, and a logistic model for a few features.
 
 Rows whose ``crc32(key as text) mod 3`` is 1 are held out: nothing is learned from their labels.
 """
@@ -16,17 +16,27 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
+def dealt(key: Column) -> Column:
+    """A number in [0, 1) that deals rows out to the steps of a fit."""
+    return F.pmod(F.xxhash64(F.lit(23), key), F.lit(1000)) / 1000
+
+
+def training_rows(labels: DataFrame, label: str, key: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
+    """((key, y) of every row that may be learned from, number of rows of each class).  A key with both labels counts as 1."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    rows = rows.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    return rows, {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def training_sample(labels: DataFrame, label: str, per_class: int, key: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """((key, y, part): up to ``per_class`` rows of each class in the order of a hash, number of rows of each class).
 
     ``part`` in [0, 1) deals the rows out to the steps of a fit.  A key with both labels counts as 1.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    rows = rows.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    rows, sizes = training_rows(labels, label, key)
     rows = rows.withColumn("order", F.xxhash64(F.lit(17), F.col("key")))
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [rows.where(F.col("y") == y).orderBy("order", "key").limit(per_class) for y in (0, 1)]
-    return some[0].unionByName(some[1]).select("key", "y", (F.pmod(F.xxhash64(F.lit(23), F.col("key")), F.lit(1000)) / 1000).alias("part")), sizes
+    return some[0].unionByName(some[1]).select("key", "y", dealt(F.col("key")).alias("part")), sizes
 
 
 @dataclass(frozen=True)
@@ -42,18 +52,21 @@ class Logistic:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int], ridge: float = 0.002) -> Logistic:
-    """By Newton's method, each class weighted to its share among all labelled rows."""
+def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int], ridge: float = 0.002, times: np.ndarray | None = None) -> Logistic:
+    """By Newton's method, each class weighted to its share among all labelled rows; ``times`` says how many rows each
+    one stands for."""
     x, y = np.asarray(x, float), np.asarray(y, float)
+    times = np.ones(len(y)) if times is None else np.asarray(times, float)
     width = x.shape[1]
     total = max(1, sum(sizes.values()))
     if len(set(y)) < 2:
         share = (sizes.get(1, 0) + 1) / (total + 2)
         return Logistic(np.zeros(width), np.ones(width), np.array([np.log(share / (1 - share)), *np.zeros(width)]))
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean = np.average(x, 0, times)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, times)) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
-    each = np.where(y == 1, sizes.get(1, 1) / max(1, (y == 1).sum()), sizes.get(0, 1) / max(1, (y == 0).sum()))
-    each = each * len(y) / each.sum()
+    each = times * np.where(y == 1, sizes.get(1, 1) / max(1, times[y == 1].sum()), sizes.get(0, 1) / max(1, times[y == 0].sum()))
+    each = each * times.sum() / each.sum()
     w = np.zeros(width + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))

@@ -10,8 +10,7 @@ strongest entry and the number of such tokens into a probability.
 Only lattices that hold a word with an entry are searched.  Whether one does is found by stepping through the lexicon,
 as a tree of letters, with all readings at once; nothing that the search could find is left out by that.
 
-The fit (lexicon, trigrams, calibration) reads ``per_class`` labelled rows of each class at most.  Each distinct token
-is decoded once in a worker.  Scoring reads whole texts where they lie, without a shuffle.
+The fit (lexicon, trigrams, calibration) reads all labelled rows that aren't held out.  Each distinct token is decoded once in a worker.  Scoring reads whole texts where they lie, without a shuffle.
 
 Empty and null texts, and texts without an entry, get the score of the features 0.  Without labelled rows of one
 class the score is the share of the other.  Null keys aren't held out.  Other columns are ignored.
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmend.llm._labelled import Logistic, fit, held_out, training_sample
+from trackmend.llm._labelled import Logistic, dealt, fit, held_out, training_rows
 from trackmend.llm._shared import drop_caches, slices, strings, text_column
 
 #: Letters that a character imitates.
@@ -48,6 +47,8 @@ FEW = 3
 STEPS = 500_000
 #: Tokens that a worker remembers before it starts again, and the length up to which it does.
 CACHE_ENTRIES, LONGEST_KEY = 250_000, 64
+#: Beginnings and words that a task of the fit counts before it passes them on.
+COUNTED = 1_000_000
 
 
 def beginnings(word: str) -> list[str]:
@@ -309,41 +310,57 @@ class Scorer:
         return np.c_[top, top**2, np.log1p(count)]
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 6000, least: int = 4, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Learns from ``per_class`` labelled rows of each class at most; entries stand in ``least`` toxic rows or more."""
+def fit_toxicity(documents: DataFrame, labels: DataFrame, least: int = 4, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+    """Learns from every labelled row that isn't held out: lexicon and trigrams from two thirds, the calibration from the
+    rest.  Entries stand in ``least`` toxic rows or more."""
     spark = documents.sparkSession
-    sample, sizes = training_sample(labels, label, per_class, key)
-    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = source.join(F.broadcast(sample), "key")  # 2 * per_class rows
+    known_labels, sizes = training_rows(labels, label, key)
+    source = documents.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # rows are dealt out before the join, so that a text is shuffled for its own step only; labels of a large corpus are too
+    # many to broadcast
+    learn, check = (source.where(w).join(known_labels.hint("merge"), "key").select("y", "text") for w in (dealt(F.col("key")) < 0.67, dealt(F.col("key")) >= 0.67))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[Counter[str]] = [Counter(), Counter()]
-        trigrams: Counter[str] = Counter()
+        seen: Counter[str] = Counter()
+        parts: dict[str, list[str]] = {}
+
+        def counted() -> pa.RecordBatch:
+            trigrams: Counter[str] = Counter()
+            for w, n in seen.items():
+                padded = f"^^{w}$"
+                for i in range(len(padded) - 2):
+                    trigrams[padded[i : i + 3]] += n
+            rows = [("e" + k, entries[0][k], entries[1][k]) for k in entries[0].keys() | entries[1].keys()] + [("t" + k, n, 0) for k, n in trigrams.items()]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            for held in (*entries, seen, parts):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["entry", "clean", "toxic"])
+
         for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), text_column(batch, "text").to_pylist(), strict=True):
-                words = {w.strip(_EDGE) for w in t.lower().split()}
-                words = {w for w in words if w.isalpha()}
-                entries[y].update({b for w in words for b in beginnings(w)})
-                entries[y][""] += 1
-                for w in words:
-                    padded = f"^^{w}$"
-                    trigrams.update(padded[i : i + 3] for i in range(len(padded) - 2))
-        parts = [("e", k, entries[0][k], entries[1][k]) for k in entries[0].keys() | entries[1].keys()] + [("t", k, n, 0) for k, n in trigrams.items()]
-        columns = list(zip(*parts, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["kind", "entry", "clean", "toxic"])
-
-    counts = rows.where("part < 0.67").select("y", "text").mapInArrow(count, "kind string, entry string, clean long, toxic long")
-    counts = counts.groupBy("kind", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"kind = 't' or entry = '' or toxic >= {least}")
-    found = counts.collect()  # of a bounded sample
-    clean, toxic = next(((r.clean, r.toxic) for r in found if r.kind == "e" and not r.entry), (0, 0))
-    lexicon = {}
-    for r in found:
-        if r.kind == "e" and r.entry:
-            # the log of the ratio of the shares, less for entries that few rows have
-            value = math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.clean + 0.5) / (clean + 1)) - 2 / math.sqrt(r.toxic)
-            if value > 2:
-                lexicon[r.entry] = value
-    model = ToxicityModel(lexicon, {r.entry: r.clean for r in found if r.kind == "t"})
+            for part in slices(batch, "text"):
+                for y, t in zip(part.column(0).to_pylist(), text_column(part, "text").to_pylist(), strict=True):
+                    words = {w.strip(_EDGE) for w in t.lower().split()}
+                    words = {w for w in words if w.isalpha()}
+                    for w in words:
+                        if w not in parts:
+                            parts[w] = beginnings(w)
+                    entries[y].update({b for w in words for b in parts[w]})
+                    entries[y][""] += 1
+                    seen.update(words)
+                if len(entries[0]) + len(entries[1]) + len(parts) > COUNTED:
+                    yield counted()
+        yield counted()
+
+    # entries of the lexicon begin with an e, that of no letters counts the rows; trigrams begin with a t
+    counts = learn.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.where(f"entry like 't%' or entry = 'e' or toxic >= {least}").persist()
+    clean, toxic = next(((r.clean, r.toxic) for r in counts.where("entry = 'e'").collect()), (0, 0))
+    # the log of the ratio of the shares, less for entries that few rows have
+    value = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) - 2 / F.sqrt("toxic")
+    lexicon = {r.entry[1:]: r.value for r in counts.where("entry like 'e_%'").withColumn("value", value).where("value > 2").orderBy("entry").collect()}
+    model = ToxicityModel(lexicon, {r.entry[1:]: r.clean for r in counts.where("entry like 't%'").orderBy("entry").collect()})
+    counts.unpersist()
     known = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +371,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 6000,
                 f = scorer.features(text_column(part, "text"))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, i]) for i in range(3))], ["y", "a", "b", "c"])
 
-    held = sorted(tuple(r) for r in rows.where("part >= 0.67").select("y", "text").mapInArrow(features, "y int, a double, b double, c double").collect())
-    calibration = fit(np.array([r[1:] for r in held]).reshape(-1, 3), np.array([r[0] for r in held]), sizes)
+    # rows of the same features are one with a number: an entry and a count of tokens say it all
+    alike = check.mapInArrow(features, "y int, a double, b double, c double").groupBy("y", "a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+    held = sorted(tuple(r) for r in alike.collect())
+    calibration = fit(np.array([r[1:4] for r in held]).reshape(-1, 3), np.array([r[0] for r in held]), sizes, times=np.array([r[4] for r in held]))
     return ToxicityModel(model.lexicon, model.trigrams, calibration)
 
 
