@@ -1,6 +1,7 @@
 """Jobs over boxes read and link them once, and blocks and batches of any size give the same results."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -163,3 +164,26 @@ def test_rows_that_stand_for_many_count_as_many():
     one = _labelled.fit(x, y, {0: 80, 1: 20}, times=n)
     many = _labelled.fit(np.repeat(x, n, 0), np.repeat(y, n), {0: 80, 1: 20})
     assert np.allclose(one(x), many(x), atol=1e-12)
+
+
+def test_trials_of_all_lengths_are_drawn_in_one_pass(spark):
+    from trackmend.operators import validation
+
+    fx = Fixture(spark, SF)
+    trials = validation.dropout_trials(fx.tracked, [1, 2, 3], 15)
+    plan = executed(trials)
+    assert plan.count("Scan parquet") == 1 and "WindowGroupLimit" in plan and "TakeOrdered" not in plan
+    rows = trials.collect()
+    for k in (1, 2, 3):
+        assert sorted(r.trial for r in rows if r.k == k) == list(range(1, 1 + sum(r.k == k for r in rows))) and sum(r.k == k for r in rows) <= 15
+
+
+def test_reports_of_a_validation_share_the_output_rows(spark):
+    from trackmend.plans.validate import validate_corpus
+
+    fx = Fixture(spark, SF)
+    reports = validate_corpus(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN)
+    for name in ("status_counts", "frame_coverage_recall", "multibox_resolution", "interpolation_rate"):
+        held = re.findall(r"InMemoryRelation \[(.*?)\]", reports[name]._jdf.queryExecution().withCachedData().toString())
+        assert any("status#" in columns for columns in held), name
+    spark.catalog.clearCache()

@@ -99,11 +99,10 @@ def dropout_trials(tracked: DataFrame, lengths: list[int], per_length: int, leas
     at = F.col("start") + 5 + F.pmod(draw(11, "cid", "track_id", "run", "k"), room)
     order = draw(7, "cid", "track_id", "run", "k")
     drawn = runs.select("k", "cid", "track_id", at.alias("gap_start"), order.alias("order"))
-    some = None
-    for k in sorted(set(lengths)):  # the first of each length: a top-k, not a sort of all
-        one = drawn.where(F.col("k") == k).orderBy("order", "cid", "track_id", "gap_start").limit(per_length)
-        some = one if some is None else some.unionByName(one)
-    return some.withColumn("trial", F.row_number().over(Window.partitionBy("k").orderBy("order", "cid", "track_id", "gap_start")).cast("long")).drop("order")
+    # the first of each length in one pass over all: tasks keep no more than these of their own
+    number = F.row_number().over(Window.partitionBy("k").orderBy("order", "cid", "track_id", "gap_start"))
+    some = drawn.withColumn("_trial", number).where(F.col("_trial") <= per_length)
+    return F.broadcast(some.select("k", "cid", "track_id", "gap_start", F.col("_trial").cast("long").alias("trial")))  # per_length rows of each length
 
 
 def synthetic_dropout_eval(tracked: DataFrame, clips: DataFrame, config: Config, trials: DataFrame) -> DataFrame:
