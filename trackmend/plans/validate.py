@@ -15,13 +15,14 @@ def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, cl
     """The reports by name.  ``hidden`` are the numbers of frames that the synthetic dropouts hide, by default from two up
     to beyond what is filled; ``loose`` has other gates for the tracks that stand for the truth."""
     rows = staged(detections, frames, vio, config).persist()
-    finalized = finish(rows, clips, config)
+    # what several reports read is computed once, without the columns that none of them asks for
+    finalized = finish(rows, clips, config).select("cid", "frame", "x1", "y1", "x2", "y2", "status").persist()
     tracks = build_loose_tracks(detections, frames, config, loose).persist()
     stable = stable_tracks(tracks, stable_frames)
     most = int(config.max_dropout_frames)
     selected = rows.where("reject_stage is null")  # dropouts are hidden in what the correction selects
     trials = v.dropout_trials(selected, list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most})), per_length)
-    proxies = v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable))
+    proxies = v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable)).persist()
     return {
         "status_counts": status_counts(finalized),
         "proxy_precision_recall": proxies,
