@@ -187,3 +187,39 @@ def test_reports_of_a_validation_share_the_output_rows(spark):
         held = re.findall(r"InMemoryRelation \[(.*?)\]", reports[name]._jdf.queryExecution().withCachedData().toString())
         assert any("status#" in columns for columns in held), name
     spark.catalog.clearCache()
+
+
+def test_a_correction_is_one_pass_that_keeps_nothing(spark):
+    from trackmend.sources import sinks
+
+    spark.catalog.clearCache()
+    fx = Fixture(spark, SF)
+    out = correct.correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CHAIN)
+    # the summary reads the output once: merging, linking and the fold over tracks
+    plan = executed(sinks.run_summary(fx.detections, out))
+    assert "InMemoryTableScan" not in plan and plan.count("MapInArrow") == 3
+
+
+def test_output_rows_of_one_pass_are_those_of_two(spark):
+    from trackmend.operators import gaps
+
+    rows = [(c, f, t, 10 * t + c, 40.0 * f, 300.0 * t, 40.0 * f + 90, 300.0 * t + 90, 0.5, [100 * f + t], f % 7 == 0, "static" if (f + t) % 11 == 0 else None) for c in (1, 2) for t in (0, 1, 2) for f in range(40) if f % (5 + t) > 1]
+    rows += [(1, f, None, None, 0.0, 0.0, 9.0, 9.0, 0.1, [7000 + f], False, "size") for f in range(9)]
+    df = spark.createDataFrame(rows, f"cid long, frame long, track_id long, track_ord long, {BOX}, confidence double, source_ids array<bigint>, was_merged boolean, reject_stage string")
+    clips = spark.createDataFrame([(1, 1850.0, 1000.0)], "cid long, width double, height double")
+    got = gaps.output_rows(df, clips, CONFIG)
+    rejected = df.where("reject_stage is not null").select("cid", "frame", "x1", "y1", "x2", "y2", F.lit("rejected").alias("status"), "confidence", F.lit(None).cast("long").alias("track_id"), "reject_stage", "source_ids")
+    want = rejected.unionByName(gaps.interpolate_tracks(df.where("reject_stage is null"), clips, CONFIG))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {"interpolated", "rejected", "merged", "reported"} == {r.status for r in got.collect()}
+
+
+def test_a_summary_tells_missing_boxes_and_those_put_out_twice(spark):
+    from trackmend.sources import sinks
+
+    boxes = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "cid long, det_id long")
+    out = spark.createDataFrame([(1, [0, 1], "merged"), (1, [1], "rejected"), (1, [], "interpolated"), (1, [9], "reported"), (2, [0], "reported")], "cid long, source_ids array<bigint>, status string")
+    got = {r.cid: r.asDict() for r in sinks.run_summary(boxes, out).collect()}
+    assert got[1] == {"cid": 1, "total_raw": 3, "accounted": 3, "missing": 0, "n_duplicated": 1, "ok": False, "reported": 1, "merged": 1, "rejected": 1, "interpolated": 1}
+    assert got[2] == {"cid": 2, "total_raw": 1, "accounted": 1, "missing": 0, "n_duplicated": 0, "ok": True, "reported": 1, "merged": 0, "rejected": 0, "interpolated": 0}
