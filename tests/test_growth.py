@@ -200,6 +200,14 @@ def test_a_correction_is_one_pass_that_keeps_nothing(spark):
     assert "InMemoryTableScan" not in plan and plan.count("MapInArrow") == 3
 
 
+def test_a_report_by_itself_keeps_nothing(spark):
+    from trackmend.plans import registry
+
+    spark.catalog.clearCache()
+    for name in ("frame_coverage", "frame_coverage_recall"):
+        assert "InMemoryTableScan" not in executed(registry.QUERIES[name](spark, SF)), name
+
+
 def test_output_rows_of_one_pass_are_those_of_two(spark):
     from trackmend.operators import gaps
 
