@@ -204,8 +204,10 @@ def test_a_report_by_itself_keeps_nothing(spark):
     from trackmend.plans import registry
 
     spark.catalog.clearCache()
-    for name in ("frame_coverage", "frame_coverage_recall"):
+    for name in ("frame_coverage_recall", "validate_coverage_report", "validate_multibox_report", "validate_interpolation_report", "validate_corpus_of_lanes"):
         assert "InMemoryTableScan" not in executed(registry.QUERIES[name](spark, SF)), name
+    # the rates of clips are dealt once for both of their readers
+    assert executed(registry.QUERIES["validate_interpolation_report"](spark, SF)).count("REPARTITION_BY_COL") >= 2
 
 
 def test_output_rows_of_one_pass_are_those_of_two(spark):

@@ -70,6 +70,7 @@ def interpolation_rate(finalized: DataFrame, clips: DataFrame) -> DataFrame:
 
 def flag_interpolation_outliers(rates: DataFrame, most: float = 0.20) -> DataFrame:
     """Rates with the corpus mean, population deviation, and ``flagged``."""
+    rates = rates.repartition("cid")  # a row for each clip: both readers share what is dealt, not all that the rates come from
     corpus = rates.agg(F.avg("interpolation_rate").alias("mean_rate"), F.stddev_pop("interpolation_rate").alias("std_rate"))
     flagged = (F.col("interpolation_rate") > F.col("mean_rate") + 3 * F.col("std_rate")) | (F.col("interpolation_rate") > most)
     return rates.crossJoin(F.broadcast(corpus)).withColumn("flagged", flagged)  # one row

@@ -8,27 +8,42 @@ from trackmend.config import Config
 from trackmend.operators import validation as v
 from trackmend.operators.audit import status_counts
 from trackmend.operators.tracking import build_loose_tracks, stable_tracks
-from trackmend.plans.correct import finish, stage_survivor_ids, staged
+from trackmend.plans.correct import finish, finish_accepted, stage_survivor_ids, staged
 
 
-def validate_corpus(detections: DataFrame, frames: DataFrame, vio: DataFrame, clips: DataFrame, config: Config, stable_frames: int = 30, loose: Config | None = None, hidden: tuple[int, ...] | None = None, per_length: int = 15) -> dict[str, DataFrame]:
-    """The reports by name.  ``hidden`` are the numbers of frames that the synthetic dropouts hide, by default from two up
-    to beyond what is filled; ``loose`` has other gates for the tracks that stand for the truth."""
-    rows = staged(detections, frames, vio, config).persist()
-    # what several reports read is computed once, without the columns that none of them asks for
-    finalized = finish(rows, clips, config).select("cid", "frame", "x1", "y1", "x2", "y2", "status").persist()
-    tracks = build_loose_tracks(detections, frames, config, loose).persist()
+def validate_corpus(
+    detections: DataFrame, frames: DataFrame, vio: DataFrame, clips: DataFrame, config: Config, stable_frames: int = 30, loose: Config | None = None, hidden: tuple[int, ...] | None = None, per_length: int = 15, only: str | None = None
+) -> dict[str, DataFrame]:
+    """The reports by name, or ``only`` one.  ``hidden`` are the numbers of frames that the synthetic dropouts hide, by
+    default from two up to beyond what is filled; ``loose`` has other gates for the tracks that stand for the truth.
+
+    What several reports read is kept with ``persist()``.  A report by itself keeps nothing: it reads its steps once.
+    """
+    kept = (lambda rows: rows) if only else (lambda rows: rows.persist())
+    rows = kept(staged(detections, frames, vio, config))
+    # without the columns that no report asks for
+    finalized = kept(finish(rows, clips, config).select("cid", "frame", "x1", "y1", "x2", "y2", "status"))
+    tracks = kept(build_loose_tracks(detections, frames, config, loose))
     stable = stable_tracks(tracks, stable_frames)
     most = int(config.max_dropout_frames)
-    selected = rows.where("reject_stage is null")  # dropouts are hidden in what the correction selects
-    trials = v.dropout_trials(selected, list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most})), per_length)
-    proxies = v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable)).persist()
-    return {
-        "status_counts": status_counts(finalized),
-        "proxy_precision_recall": proxies,
-        "stage_summary": v.stage_summary(proxies),
-        "frame_coverage_recall": v.frame_coverage_recall(v.frame_coverage(stable, finalized)),
-        "multibox_resolution": v.multibox_resolution(detections, finalized, clips),
-        "synthetic_dropout": v.synthetic_dropout_summary(v.synthetic_dropout_eval(selected, clips, config, trials)),
-        "interpolation_rate": v.flag_interpolation_outliers(v.interpolation_rate(finalized, clips)),
+    lengths = list(hidden or sorted({2, 5, 10, most, most + 10, 2 * most}))
+
+    def proxies() -> DataFrame:
+        return v.proxy_precision_recall(detections, stage_survivor_ids(rows), v.real_ids(stable))
+
+    def dropouts() -> DataFrame:
+        # dropouts are hidden in what the correction selects; the draw and the trials both read it
+        selected = (rows.persist() if only else rows).where("reject_stage is null")
+        return v.synthetic_dropout_summary(v.synthetic_dropout_eval(selected, clips, config, v.dropout_trials(selected, lengths, per_length)))
+
+    shared = None if only else proxies().persist()
+    reports = {
+        "status_counts": lambda: status_counts(finalized),
+        "proxy_precision_recall": lambda: proxies() if only else shared,
+        "stage_summary": lambda: v.stage_summary(proxies() if only else shared),
+        "frame_coverage_recall": lambda: v.frame_coverage_recall(v.frame_coverage(stable, finish_accepted(rows, clips, config) if only else finalized)),
+        "multibox_resolution": lambda: v.multibox_resolution(detections, finish_accepted(rows, clips, config) if only else finalized, clips),
+        "synthetic_dropout": dropouts,
+        "interpolation_rate": lambda: v.flag_interpolation_outliers(v.interpolation_rate(finalized, clips)),
     }
+    return {name: report() for name, report in reports.items() if only in (None, name)}
