@@ -233,3 +233,22 @@ def test_a_summary_tells_missing_boxes_and_those_put_out_twice(spark):
     got = {r.cid: r.asDict() for r in sinks.run_summary(boxes, out).collect()}
     assert got[1] == {"cid": 1, "total_raw": 3, "accounted": 3, "missing": 0, "n_duplicated": 1, "ok": False, "reported": 1, "merged": 1, "rejected": 1, "interpolated": 1}
     assert got[2] == {"cid": 2, "total_raw": 1, "accounted": 1, "missing": 0, "n_duplicated": 0, "ok": True, "reported": 1, "merged": 0, "rejected": 0, "interpolated": 0}
+
+
+@pytest.mark.parametrize("name", ["derive_config"])
+def test_statistics_of_a_calibration_share_their_passes(spark, monkeypatch, name):
+    from trackmend.operators import calibration
+    from trackmend.plans import registry
+
+    spark.catalog.clearCache()
+    passes, histograms = [], calibration._histograms
+
+    def counted(values, prefixes, shift):
+        passes.append(len(prefixes))
+        return histograms(values, prefixes, shift)
+
+    monkeypatch.setattr(calibration, "_histograms", counted)
+    plan = executed(registry.QUERIES[name](spark, SF))
+    # tracks, camera, ranks and disparities, four passes each; the row that follows reads no table again
+    assert len(passes) == 16
+    assert "Scan parquet" not in plan and "InMemoryTableScan" not in plan
