@@ -235,7 +235,7 @@ def test_a_summary_tells_missing_boxes_and_those_put_out_twice(spark):
     assert got[2] == {"cid": 2, "total_raw": 1, "accounted": 1, "missing": 0, "n_duplicated": 0, "ok": True, "reported": 1, "merged": 0, "rejected": 0, "interpolated": 0}
 
 
-@pytest.mark.parametrize("name", ["derive_config"])
+@pytest.mark.parametrize("name", ["derive_config", "calibrate"])
 def test_statistics_of_a_calibration_share_their_passes(spark, monkeypatch, name):
     from trackmend.operators import calibration
     from trackmend.plans import registry

@@ -36,12 +36,13 @@ def report(
     given = disparity if disparity is not None else c.no_disparity(spark)
     if dev_clips is not None:
         given = given.join(dev_clips.select("cid").distinct(), "cid", "left_semi")
+    sizes, gaps, static = (held(row) for row in c.track_stats(stable, vio, at))
     found = {
-        "sizes": held(c.size_shape_speed_stats(stable)),
-        "gaps": held(c.dropout_stats(stable)),
+        "sizes": sizes,
+        "gaps": gaps,
         "pool": held(c.pool_width_stats(detections, tracks)),
         "camera": camera,
-        "static": held(c.static_motion_stats(stable, vio, at)),
+        "static": static,
         "disparity": held(c.pick_disparity_threshold(c.label_disparity(given, tracks, detections))),
     }
     found["derived"] = held(c.derived(*(found[k] for k in ("sizes", "gaps", "pool", "camera", "static", "disparity"))))
