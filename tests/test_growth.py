@@ -1,5 +1,6 @@
 """Jobs over boxes read and link them once, and blocks and batches of any size give the same results."""
 
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from trackmend.config import Config
 from trackmend.operators import tracking
 from trackmend.plans import correct
-from trackmend.plans.fixtures import CHAIN, CONFIG, Fixture
+from trackmend.plans.fixtures import CHAIN, CONFIG, STEADY, Fixture
 
 SF = "/root/testdata/sf0.001"
 BOX = "x1 double, y1 double, x2 double, y2 double"
@@ -252,3 +253,42 @@ def test_statistics_of_a_calibration_share_their_passes(spark, monkeypatch, name
     # tracks, camera, ranks and disparities, four passes each; the row that follows reads no table again
     assert len(passes) == 16
     assert "Scan parquet" not in plan and "InMemoryTableScan" not in plan
+
+
+def shuffled(spark):
+    import glob
+
+    return set(glob.glob(f"{spark.conf.get('spark.local.dir')}/blockmgr-*/*/shuffle_*.data"))
+
+
+def test_written_reports_leave_nothing_on_the_disk(spark):
+    import time
+
+    from trackmend.plans import registry
+
+    spark.catalog.clearCache()
+    folder, before = spark.conf.get("spark.checkpoint.dir"), shuffled(spark)
+    registry.QUERIES["write_reports"](spark, SF).count()
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.5)
+    assert len(shuffled(spark) - before) <= 8  # of the count itself, a file for each task at most
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert not [f for f in os.listdir(folder) if f.startswith("validation-")]
+
+
+def test_reports_of_written_steps_are_those_of_kept_ones(spark, tmp_path):
+    from trackmend.plans import registry
+    from trackmend.plans.validate import validate_corpus
+
+    fx = Fixture(spark, SF)
+    of = fx.steady, fx.frames, fx.vio, fx.clips, STEADY
+    plain = lambda rows: sorted(str(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in rows.collect())
+    # boxes that aren't finite, and loose tracks that merge by another threshold
+    cases = [(of, None), ((fx.detections.withColumn("x1", F.expr(registry._SPOILT)), fx.frames, fx.vio, fx.clips, CHAIN), registry.LOOSE.but(duplicate_overlap_threshold=0.9))]
+    for i, (given, loose) in enumerate(cases):
+        kept = {k: plain(r) for k, r in validate_corpus(*given, loose=loose).items()}
+        spark.catalog.clearCache()
+        assert {k: plain(r) for k, r in validate_corpus(*given, loose=loose, scratch=f"{tmp_path}/{i}").items()} == kept
+        assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+        assert i or len(kept["synthetic_dropout"]) > 2
