@@ -292,3 +292,16 @@ def test_reports_of_written_steps_are_those_of_kept_ones(spark, tmp_path):
         assert {k: plain(r) for k, r in validate_corpus(*given, loose=loose, scratch=f"{tmp_path}/{i}").items()} == kept
         assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
         assert i or len(kept["synthetic_dropout"]) > 2
+
+
+@pytest.mark.parametrize("of_lanes", [False, True])
+def test_all_frames_say_what_the_stereo_signal_is_worth(spark, of_lanes):
+    from trackmend.operators import calibration
+    from trackmend.plans import registry
+    from trackmend.plans.calibrate import report
+
+    fx = Fixture(spark, SF)
+    found = report(fx.detections, fx.frames, fx.vio, fx.disparity, CONFIG, loose=registry.LOOSE if of_lanes else None)[0]["disparity"].first()
+    frames = calibration.multibox_frames(fx.detections)
+    assert frames.groupBy("cid").count().where("count > 150").count()  # more than a stride would take
+    assert found.n_wearer + found.n_bystander == fx.disparity.where("disp is not null and match_conf >= 0.4").join(frames, ["cid", "frame"], "left_semi").count()

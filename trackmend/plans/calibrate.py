@@ -11,8 +11,8 @@ from trackmend.operators.tracking import build_loose_tracks, stable_tracks
 
 def calibrate(detections: DataFrame, frames: DataFrame, vio: DataFrame, disparity: DataFrame | None = None, base: Config | None = None, stable_frames: int = 30, dev_clips: DataFrame | None = None, loose: Config | None = None) -> tuple[DataFrame, Config]:
     """(one row of derived thresholds, the configuration).  The camera's percentiles are read first: the static
-    threshold depends on them.  ``dev_clips`` (cid) are the clips whose frames say what the stereo signal is worth, all if
-    not given; ``loose`` has other gates for the tracks that the thresholds are mined from."""
+    threshold depends on them.  ``dev_clips`` (cid) are the clips whose frames of many boxes, all of them, say what the
+    stereo signal is worth, all clips if not given; ``loose`` has other gates for the tracks that the thresholds are mined from."""
     found, config = report(detections, frames, vio, disparity, base, stable_frames, dev_clips, loose)
     return found["derived"], config
 
@@ -43,7 +43,7 @@ def report(
         "pool": held(c.pool_width_stats(detections, tracks)),
         "camera": camera,
         "static": static,
-        "disparity": held(c.pick_disparity_threshold(c.label_disparity(given, tracks, detections))),
+        "disparity": held(c.pick_disparity_threshold(c.label_disparity(given, tracks, detections, max_frames=None))),
     }
     found["derived"] = held(c.derived(*(found[k] for k in ("sizes", "gaps", "pool", "camera", "static", "disparity"))))
     tracks.unpersist()
