@@ -305,3 +305,4 @@ def test_all_frames_say_what_the_stereo_signal_is_worth(spark, of_lanes):
     frames = calibration.multibox_frames(fx.detections)
     assert frames.groupBy("cid").count().where("count > 150").count()  # more than a stride would take
     assert found.n_wearer + found.n_bystander == fx.disparity.where("disp is not null and match_conf >= 0.4").join(frames, ["cid", "frame"], "left_semi").count()
+    assert ("range(150)" in registry.ORACLES["derive_config"]) and "range(150)" not in registry.ORACLES["calibrate_of_lanes"]
