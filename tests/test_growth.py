@@ -306,3 +306,23 @@ def test_all_frames_say_what_the_stereo_signal_is_worth(spark, of_lanes):
     assert frames.groupBy("cid").count().where("count > 150").count()  # more than a stride would take
     assert found.n_wearer + found.n_bystander == fx.disparity.where("disp is not null and match_conf >= 0.4").join(frames, ["cid", "frame"], "left_semi").count()
     assert ("range(150)" in registry.ORACLES["derive_config"]) and "range(150)" not in registry.ORACLES["calibrate_of_lanes"]
+
+
+def test_a_validation_has_every_report(spark):
+    from trackmend.operators import validation
+    from trackmend.plans import registry
+
+    fx = Fixture(spark, SF)
+    got = {(r.report, r.cid, r["item"], r.measure): r.value for r in registry.QUERIES["validate_corpus"](spark, SF).collect()}
+    named = {"status_counts", "proxy_precision_recall", "stage_summary", "frame_coverage_recall", "multibox_resolution", "interpolation_rate"}
+    assert {k[0] for k in got} - {"synthetic_dropout"} == named  # no run is long enough here to hide frames in
+    # against what the whole correction puts out, gaps filled
+    out = correct.correct_detections(fx.detections, fx.frames, fx.vio, fx.clips, CONFIG).persist()
+    counts = {("status_counts", r.cid, r.status, "n"): r["count"] for r in out.groupBy("cid", "status").count().collect()}
+    assert {k: n for k, n in got.items() if k[0] == "status_counts"} == counts and any(k[2] == "interpolated" for k in counts)
+    stable = tracking.stable_tracks(tracking.build_loose_tracks(fx.detections, fx.frames, CONFIG))
+    cover = validation.frame_coverage_recall(validation.frame_coverage(stable, out))
+    assert {(r.cid, m): pytest.approx(r[m], abs=1e-6) for r in cover.collect() for m in cover.columns[1:]} == {(k[1], k[3]): n for k, n in got.items() if k[0] == "frame_coverage_recall"}
+    rates = validation.flag_interpolation_outliers(validation.interpolation_rate(out, fx.clips))
+    assert {(r.cid, m): pytest.approx(float(r[m]), abs=1e-6) for r in rates.collect() for m in rates.columns[1:]} == {(k[1], k[3]): n for k, n in got.items() if k[0] == "interpolation_rate"}
+    out.unpersist()

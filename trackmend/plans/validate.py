@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,18 @@ def validate_corpus(
     return {name: report() for name, report in reports.items() if only in (None, name)}
 
 
+def in_one_table(reports: dict[str, DataFrame]) -> DataFrame:
+    """(report, cid, item, measure, value): a row for each number of each report.  ``item`` is the status, the stage or the
+    length that it is of; ``cid`` is null where it is of all clips."""
+    parts = []
+    for name, rows in reports.items():
+        keys = [c for c in ("status", "stage", "k") if c in rows.columns]
+        cid, item = (F.col(c) if c in rows.columns else F.lit(None) for c in ("cid", *(keys or [""])))
+        each = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in rows.columns if c not in ("cid", *keys)]
+        parts.append(rows.select(F.lit(name).alias("report"), cid.alias("cid"), item.cast("string").alias("item"), F.explode(F.array(*each)).alias("m")).select("report", "cid", "item", "m.measure", "m.value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _written(detections: DataFrame, frames: DataFrame, vio: DataFrame, clips: DataFrame, config: Config, loose: Config, stable_frames: int, scratch: str) -> tuple[DataFrame, DataFrame]:
     """(the output rows with the tracks that candidates had before gaps split them, stable loose tracks), as tables."""
     merged = stored(merge_duplicates(detections, config), f"{scratch}/merged")
